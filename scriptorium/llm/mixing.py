@@ -144,8 +144,8 @@ def plan_mix(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS) -> Dat
         targets.select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")).alias("src"), "source_size", "target"),
         "mix-targets",
     )
-    # whole rounds over the source, then permuted blocks as long as they fit; the first block that
-    # does not fit is cut between documents
+    # whole rounds over the source, then permuted blocks as long as they fit; the smallest block
+    # that did not fit is cut between documents
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     per_source = (
         by_block.filter("words > 0")
@@ -159,18 +159,18 @@ def plan_mix(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS) -> Dat
         fits = x["words"] <= acc["left"]
         return F.struct(
             F.when(fits, acc["left"] - x["words"]).otherwise(acc["left"]).alias("left"),
-            F.when(fits | acc["cut"].isNotNull(), acc["cut"]).otherwise(x["block"]).alias("cut"),
+            F.when(fits, acc["cut"]).otherwise(F.least(acc["cut"], F.struct(x["words"].alias("words"), x["block"].alias("block")))).alias("cut"),
             F.array_append(acc["fits"], fits).alias("fits"),
         )
 
     start = F.struct(
         (F.col("target") - F.col("whole") * F.col("source_size")).alias("left"),
-        F.lit(None).cast("long").alias("cut"),
+        F.lit(None).cast("struct<words:bigint,block:bigint>").alias("cut"),
         F.expr("cast(array() as array<boolean>)").alias("fits"),
     )
     spent = per_source.withColumn("s", F.aggregate("permuted", start, spend))
     plan = spent.select(
-        "src", "source_size", "target", "whole", F.col("s.left").alias("left"), F.col("s.cut").alias("cut"),
+        "src", "source_size", "target", "whole", F.col("s.left").alias("left"), F.col("s.cut.block").alias("cut"),
         F.explode(F.arrays_zip("permuted", F.col("s.fits").alias("fits"))).alias("b"),
     ).select(
         "src", "source_size", "target", "left", F.col("b.permuted.block").alias("block"),

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing
+from . import exact_dedup, mixing, ngram_join, packing
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_mixing": mixing.op6_mixing,
     "op7_packing": packing.op7_packing,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
 }
 
 SQL = {
