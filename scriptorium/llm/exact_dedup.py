@@ -33,7 +33,9 @@ def _split(active: DataFrame, start: int, width: int, name: str, whole_rows: boo
         .filter("n > 1")
         .withColumn("next_gid", F.monotonically_increasing_id())
     )
-    joined = keyed.join(materialize(groups, f"{name}-groups"), ["gid", "digit", "ended"], "left")
+    # always a merge join: the shared groups grow with the input
+    groups = materialize(groups, f"{name}-groups").hint("merge")
+    joined = keyed.join(groups, ["gid", "digit", "ended"], "left")
     goes_on = F.col("n").isNotNull() & ~F.col("ended")
     sha = F.sha2(ascii_lower(F.col("body.text")).cast("binary"), 256) if start == 1 else F.col("sha")
     return materialize(
