@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, ngram_join, packing
+from . import exact_dedup, mixing, ngram_join, packing, pivot_dedup
 
 QUERIES = {
+    "op3_pivot_dedup": pivot_dedup.op3_pivot_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_mixing": mixing.op6_mixing,
     "op7_packing": packing.op7_packing,
