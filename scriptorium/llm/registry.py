@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, ngram_join, packing, pivot_dedup
+from . import exact_dedup, mixing, ngram_join, packing, pivot_dedup, substring_dedup
 
 QUERIES = {
     "op3_pivot_dedup": pivot_dedup.op3_pivot_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op7_packing": packing.op7_packing,
     "op8_ngram_join": ngram_join.op8_ngram_join,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 SQL = {
