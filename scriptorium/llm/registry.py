@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, ngram_join, packing, pivot_dedup, substring_dedup
+from . import exact_dedup, mixing, ngram_join, packing, pivot_dedup, substring_dedup, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_pivot_dedup": pivot_dedup.op3_pivot_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_mixing": mixing.op6_mixing,
