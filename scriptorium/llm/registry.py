@@ -2,16 +2,33 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, ngram_join, packing, pivot_dedup, substring_dedup, toxicity
+import corpus_pipeline
+
+from . import (
+    compaction,
+    exact_dedup,
+    license_scan,
+    mixing,
+    ngram_join,
+    packing,
+    pivot_dedup,
+    substring_dedup,
+    token_counts,
+    toxicity,
+)
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_pivot_dedup": pivot_dedup.op3_pivot_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_compaction": compaction.op5_compaction,
     "op6_mixing": mixing.op6_mixing,
     "op7_packing": packing.op7_packing,
     "op8_ngram_join": ngram_join.op8_ngram_join,
+    "op9_license_scan": license_scan.op9_license_scan,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
