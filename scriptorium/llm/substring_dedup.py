@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 from .fm_index import FmIndex, matched_windows
-from .ngram_join import WordHashes, gram_hashes
+from .hashing import gram_hashes, hashed_texts
 
 WINDOW = 50
 GRAM = 8
@@ -35,9 +35,13 @@ _P = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _P_INVERSE = tuple(np.uint64(pow(int(p), -1, 2**64)) for p in _P)
 
 
+def as_bytes(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
 def exact_words(text: str | None) -> list[bytes]:
     """Runs of characters other than the six ASCII white spaces, unchanged."""
-    return (text or "").encode("utf-8", "surrogatepass").split()
+    return as_bytes(text).split()
 
 
 class Rolling:
@@ -69,15 +73,14 @@ def _runs(docs: DataFrame, window: int) -> DataFrame:
     """m, h, doc_id, a, b: runs of windows a..b whose smallest k-gram is m, h hashing their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, rolling = WordHashes(), Rolling(0)
+        rolling = Rolling(0)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 piece, out = batch.slice(at, 1024), []
-                for doc, text in zip(piece.column("doc_id").to_pylist(), piece.column("text").to_pylist(), strict=True):
-                    words = exact_words(text)
-                    if len(words) < window:
+                texts = [as_bytes(t) for t in piece.column("text").to_pylist()]
+                for doc, hashes in zip(piece.column("doc_id").to_pylist(), hashed_texts(texts), strict=True):
+                    if len(hashes) < window:
                         continue
-                    hashes = memo.of(words)
                     least = window_minima(gram_hashes(hashes, GRAM), window - GRAM + 1)
                     a = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
                     size = np.diff(np.append(a, len(least)))
@@ -101,12 +104,12 @@ def _cut(docs: DataFrame, window: int) -> DataFrame:
     schema = pa.schema([(n, pa.binary() if n == "words" else pa.int64()) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, rolling = WordHashes(), (Rolling(0), Rolling(1))
+        rolling = (Rolling(0), Rolling(1))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 cold, hot = [], []
-                for row in batch.slice(at, 256).to_pylist():
-                    hashes = memo.of(exact_words(row["text"]))
+                rows = batch.slice(at, 256).to_pylist()
+                for row, hashes in zip(rows, hashed_texts([as_bytes(r["text"]) for r in rows]), strict=True):
                     for e in row["entries"]:
                         stop = e["b"] + window
                         if stop > len(hashes):
@@ -176,7 +179,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     wanted = several.groupBy(F.col("rep.doc_id").alias("doc_id")).agg(
         F.collect_list(F.struct("m", "h", F.col("rep.a").alias("a"), F.col("rep.b").alias("b"), "hot")).alias("entries")
     )
-    cut = materialize(_cut(rows.dropDuplicates(["doc_id"]).join(wanted, "doc_id"), window), "cut")
+    cut = materialize(_cut(rows.join(wanted, "doc_id"), window), "cut")
     cold = cut.filter("words is not null").select("m", "h", "doc_id", "words")
     shards = max(LEAST_SHARDS, cold.count() // SHARD_ENTRIES)
     searched = (
