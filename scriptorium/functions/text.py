@@ -7,13 +7,14 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Labels that stand for no transcription.
 JUNK = ("", ".", "-", "--", "---", "nan", "None", "null")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_accents(texts: pd.Series) -> pd.Series:
     """Compatibility decomposition, then everything outside ASCII dropped."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
