@@ -14,6 +14,7 @@ remaining pair across components. Pairs within a component cannot change it and
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, table
+from .common import components, drop_table, materialize, table
+from .hashing import counted, distinct, gram_hashes, hashed_texts
 
 N = 5
 #: Similarity as a whole percentage, so that the bound is exact in integers.
@@ -32,51 +34,21 @@ FREQUENT = 200_000
 #: Rows of a list compared in one block; longer lists are cut into pairs of blocks.
 BLOCK = 1024
 #: Bins of the suffix filter.
-BINS = 128
+BINS = 64
 LEADER_ROUNDS = 2
-_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
-MEMO = 500_000
 
 
-class WordHashes(dict):
-    """Word to 64-bit hash; forgets all when it has grown too large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        self[word] = value
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """Words of a text with A-Z lower-cased: bytes.split() cuts at the six ASCII white spaces."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
-def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all n consecutive words; of the whole sequence when there are fewer."""
-    n = min(n, len(words))
-    if not n:
-        return words
-    out = np.full(len(words) - n + 1, n, np.uint64)
-    for k in range(n):
-        out = (out ^ words[k : len(words) - n + 1 + k]) * _MIX[0]
-        out ^= out >> np.uint64(29)
-        out *= _MIX[1]
-        out ^= out >> np.uint64(32)
-    return out
+def lowered(text: str | None) -> bytes:
+    """Lower-cases A-Z only."""
+    return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    memo = WordHashes()
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             piece = batch.slice(at, 256)
-            yield piece, [np.unique(gram_hashes(memo.of(words_of(t)), n)) for t in piece.column("text").to_pylist()]
+            texts = [lowered(t) for t in piece.column("text").to_pylist()]
+            yield piece, [distinct(gram_hashes(w, n)) for w in hashed_texts(texts)]
 
 
 def overlap_needed(a, b, percent: int):
@@ -90,7 +62,7 @@ def prefix_length(size: int, percent: int) -> int:
 
 
 def bin_counts(grams: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((grams >> np.uint64(20)).astype(np.int64) % BINS, minlength=BINS), 65535).astype("<u2")
+    return np.bincount((grams >> np.uint64(20)).astype(np.int64) % BINS, minlength=BINS).astype("<u4")
 
 
 def _describe(docs: DataFrame, n: int) -> DataFrame:
@@ -110,7 +82,7 @@ def _describe(docs: DataFrame, n: int) -> DataFrame:
         pending, times, held = [], {}, 0
 
         def count():
-            grams, counts = np.unique(np.concatenate(pending), return_counts=True)
+            grams, counts = counted(np.concatenate(pending))
             pending.clear()
             again = counts > 1
             for g, c in zip(grams[again].view(np.int64).tolist(), counts[again].tolist(), strict=True):
@@ -138,8 +110,8 @@ def _describe(docs: DataFrame, n: int) -> DataFrame:
 def _frequent(described: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     """The ``most`` most frequent n-grams, sorted, with their counts. Which n-grams are among them
     decides only the order in which prefixes are taken, never the result."""
-    counted = described.filter("gram is not null").groupBy("gram").agg(F.sum("times").alias("times"))
-    top = counted.orderBy(F.desc("times"), "gram").limit(most).toPandas()
+    repeats = described.filter("gram is not null").groupBy("gram").agg(F.sum("times").alias("times"))
+    top = repeats.orderBy(F.desc("times"), "gram").limit(most).toPandas()
     grams = top["gram"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(grams)
     return grams[order], top["times"].to_numpy(np.int64)[order]
@@ -187,10 +159,25 @@ def _whole_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, grams binary, bins binary")
 
 
+def _with_both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """``pairs(u, v)`` with ``column`` of either side as a and b."""
+    of = lambda c, name: sets.select(F.col("id").alias(c), F.col(column).alias(name))
+    return pairs.join(of("u", "a"), "u").join(of("v", "b"), "v").select("u", "v", "a", "b")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(u, v)`` at or above the bound, each verified once on whole sets."""
+    """The pairs ``(u, v)`` at or above the bound: the suffix filter drops most others on their
+    binned counts, and what is left is verified once on whole sets."""
 
-    def run(batches):
+    def could_link(batches):
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+                x, y = (np.frombuffer(s.as_buffer(), "<u4") for s in (a, b))
+                keep.append(int(np.minimum(x, y).sum()) >= overlap_needed(int(x.sum()), int(y.sum()), percent))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    def link(batches):
         for batch in batches:
             keep = []
             for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
@@ -201,44 +188,56 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * same >= percent * (len(x) + len(y) - same))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(sets.select(F.col("id").alias("u"), F.col("grams").alias("a")), "u").join(
-        sets.select(F.col("id").alias("v"), F.col("grams").alias("b")), "v"
-    )
-    return joined.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    likely = materialize(_with_both(pairs, sets, "bins").mapInArrow(could_link, "u long, v long"), "ngram-likely")
+    return _with_both(likely, sets, "grams").mapInArrow(link, "u long, v long")
 
 
-def _across(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that meet in a list and pass all filters.
+def _across(lists: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that meet in a list and pass all filters, each about once.
 
-    Rows are dealt by list and pair of blocks; a task sees its lists one after the other and
-    compares two blocks of at most about ``BLOCK`` rows at a time.
+    Lists in which the same smallest component meets others hold much the same texts, so they are
+    compared together: a text comes once with all its places in them, and its pairs come once
+    however many n-grams they share. The texts of such an anchor are cut into blocks of about
+    ``BLOCK``, and tasks compare pairs of blocks.
     """
-    counts = lists.groupBy("gram").agg(F.count("*").alias("rows"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-    counts = counts.filter("c0 <> c1").select("gram", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    met = lists.groupBy("gram").agg(F.min("comp").alias("anchor"), F.max("comp").alias("c1")).filter("anchor <> c1").select("gram", "anchor")
+    texts = lists.join(met, "gram").groupBy("anchor", "id").agg(
+        F.first("size").alias("size"), F.first("comp").alias("comp"), F.collect_list("gram").alias("grams"), F.collect_list("pos").alias("places")
+    )
+    texts = materialize(texts, "ngram-anchored")
+    blocks = texts.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     dealt = (
-        lists.join(counts, "gram")
-        .withColumn("own", own)
+        texts.join(blocks, "anchor")
+        .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
         .drop("blocks", "other")
     )
 
     def pairs_of(group: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        size, pos, comp, ids, own = (group[c].to_numpy() for c in ("size", "pos", "comp", "id", "own"))
-        bins = np.stack([np.frombuffer(b, "<u2") for b in group["bins"]]).astype(np.int32)
+        size, comp, ids, own = (group[c].to_numpy() for c in ("size", "comp", "id", "own"))
+        bins = np.stack([np.frombuffer(b, "<u4") for b in group["bins"]]).astype(np.int32)
         lo, hi = int(group["lo"].iat[0]), int(group["hi"].iat[0])
+        lengths = group["grams"].map(len).to_numpy()
+        row, gram, place = np.repeat(np.arange(len(ids)), lengths), np.concatenate(group["grams"].to_list()), np.concatenate(group["places"].to_list())
+        order = np.argsort(gram, kind="stable")
+        row, gram, place = row[order], gram[order], place[order]
+        begin = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        end = np.append(begin[1:], len(gram))
+        span = dict(zip(gram[begin].tolist(), zip(begin.tolist(), end.tolist(), strict=True), strict=True))
         for i in np.flatnonzero(own == lo).tolist():
-            others = comp != comp[i]
-            others &= (own == hi) & (ids > ids[i]) if lo == hi else own == hi
-            least = overlap_needed(size[i], size, percent)
-            # length, then what can still follow this n-gram on both sides
-            others &= np.minimum(size[i], size) >= least
-            others &= 1 + np.minimum(pos[i], pos) + np.minimum(size[i] - pos[i], size - pos) - 1 >= least
-            others = np.flatnonzero(others)
+            found = []
+            for g, at in zip(group["grams"].iat[i], group["places"].iat[i], strict=True):
+                p, q = span[g]
+                if q - p > 1:
+                    j, there = row[p:q], place[p:q]
+                    # of a linked pair's shared n-grams the first has nothing shared before it
+                    found.append(j[np.minimum(size[i] - at, size[j] - there) >= overlap_needed(size[i], size[j], percent)])
+            others = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+            others = others[(comp[others] != comp[i]) & (own[others] == hi) & ((ids[others] > ids[i]) if lo == hi else True)]
             if len(others):
                 common = np.minimum(bins[others], bins[i]).sum(axis=1)
-                others = others[common >= least[others]]
+                others = others[common >= overlap_needed(size[i], size[others], percent)]
                 if len(others):
                     yield np.minimum(ids[i], ids[others]), np.maximum(ids[i], ids[others])
 
@@ -247,7 +246,7 @@ def _across(lists: DataFrame, percent: int) -> DataFrame:
 
         def out_of(frame):
             found = []
-            for _, group in frame.groupby(["gram", "lo", "hi"], sort=False):
+            for _, group in frame.groupby(["anchor", "lo", "hi"], sort=False):
                 if len(group) > 1 and group["comp"].nunique() > 1:
                     found.extend(pairs_of(group))
             if found:
@@ -256,21 +255,28 @@ def _across(lists: DataFrame, percent: int) -> DataFrame:
 
         for frame in frames:
             frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-            keys = frame[["gram", "lo", "hi"]].to_numpy()
+            keys = frame[["anchor", "lo", "hi"]].to_numpy()
             last = int(np.flatnonzero((keys == keys[-1]).all(axis=1))[0]) if len(keys) else 0
             rest = frame.iloc[last:]
             yield from out_of(frame.iloc[:last])
         if rest is not None and len(rest):
             yield from out_of(rest)
 
-    columns = ["gram", "lo", "hi", "own", "id", "size", "pos", "comp", "bins"]
+    columns = ["anchor", "lo", "hi", "own", "id", "size", "comp", "grams", "places", "bins"]
     return (
-        dealt.select(*columns)
-        .repartition("gram", "lo", "hi")
-        .sortWithinPartitions("gram", "lo", "hi")
+        dealt.join(bins, "id").select(*columns)
+        .repartition("anchor", "lo", "hi")
+        .sortWithinPartitions("anchor", "lo", "hi")
         .mapInPandas(run, "u long, v long")
         .distinct()
-    )
+    )
+
+
+def _positions_allow(percent: int):
+    """Length and positional filter for a row of a list and its leader ``l``. It is made for the first
+    n-gram that a linked pair shares: what is left from there on both sides must reach the bound."""
+    need = F.ceil(percent * (F.col("size") + F.col("l.size")) / (100 + percent))
+    return F.least(F.col("size") - F.col("pos"), F.col("l.size") - F.col("l.pos")) >= need
 
 
 def _with_components(rows: DataFrame, parts: DataFrame | None) -> DataFrame:
@@ -289,7 +295,8 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, frequen
     when 100 x intersection >= percent x union. ``class_id`` is the smallest id with an equal set,
     ``component_id`` the smallest id reachable by links. Texts without words, nulls included, have
     an empty set and link with nothing: both ids are their own. A null doc_id is left in the result
-    with null class and component and links with nothing. Repeated ids share their component. An
+    with null class and component and links with nothing. Rows that repeat an
+    id share their component: they link by any of their texts. An
     empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
@@ -308,28 +315,33 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, frequen
     lists = prefixes.groupBy("gram").agg(F.min("id").alias("i0"), F.max("id").alias("i1")).filter("i0 <> i1")
     met = prefixes.join(lists.select("gram"), "gram", "left_semi").join(leaders, "id", "left_semi")
     met = materialize(met, "ngram-lists")
-    shared = met.groupBy("gram").agg(F.min("id").alias("i0"), F.max("id").alias("i1")).filter("i0 <> i1")
-    met_ids = materialize(met.join(shared.select("gram"), "gram", "left_semi").select("id").distinct(), "ngram-ids")
-    candidates = rows.join(met_ids, rows["doc_id"] == met_ids["id"], "left_semi").dropDuplicates(["doc_id"])
+    # sets at the bound lie in one size band or in neighbouring ones, so lists are cut by band too
+    band = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / percent)).cast("long")
+    banded = met.select("id", "size", "pos", F.explode(F.array(F.xxhash64("gram", band), F.xxhash64("gram", band + 1))).alias("gram"))
+    shared = banded.groupBy("gram").agg(F.min("id").alias("i0"), F.max("id").alias("i1")).filter("i0 <> i1")
+    met = materialize(banded.join(shared.select("gram"), "gram", "left_semi"), "ngram-bands")
+    met_ids = materialize(met.select("id").distinct(), "ngram-ids")
+    drop_table(prefixes)
+    candidates = rows.join(met_ids, rows["doc_id"] == met_ids["id"], "left_semi")
     sets = materialize(_whole_sets(candidates, n), "ngram-sets")
 
     links, parts = None, None
     for k in range(LEADER_ROUNDS):
         here = _with_components(met, parts)
-        leader = F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "size", "comp"))
+        leader = F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "size", "pos", "comp"))
         led = here.groupBy("gram").agg(leader.alias("l"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1")
         pairs = (
             here.join(led, "gram")
             .filter(F.col("comp") != F.col("l.comp"))
-            .filter(F.least("size", "l.size") * 100 >= F.greatest("size", "l.size") * percent)
+            .filter(_positions_allow(percent))
             .select(F.least("id", "l.id").alias("u"), F.greatest("id", "l.id").alias("v"))
             .distinct()
         )
         found = materialize(_verify(pairs, sets, percent), "ngram-links")
         links = found if links is None else links.union(found)
         parts = components(links)
-    rest = _with_components(met, parts).join(sets.select("id", "bins"), "id")
-    links = links.union(materialize(_verify(materialize(_across(rest, percent), "ngram-rest"), sets, percent), "ngram-links"))
+    rest = _with_components(met, parts)
+    links = links.union(materialize(_verify(materialize(_across(rest, sets.select("id", "bins"), percent), "ngram-rest"), sets, percent), "ngram-links"))
     parts = components(links)
     parts = classes.join(parts.withColumnRenamed("node", "class_id"), "class_id", "left").select(
         "key", "class_id", F.coalesce("component", "class_id").alias("component")
