@@ -162,7 +162,9 @@ def _whole_sets(docs: DataFrame, n: int) -> DataFrame:
 def _with_both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
     """``pairs(u, v)`` with ``column`` of either side as a and b."""
     of = lambda c, name: sets.select(F.col("id").alias(c), F.col(column).alias(name))
-    return pairs.join(of("u", "a"), "u").join(of("v", "b"), "v").select("u", "v", "a", "b")
+    # always merge joins: pairs and sets both grow with the input
+    half = pairs.join(of("u", "a").hint("merge"), "u")
+    return half.join(of("v", "b").hint("merge"), "v").select("u", "v", "a", "b")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -322,7 +324,7 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, frequen
     met = materialize(banded.join(shared.select("gram"), "gram", "left_semi"), "ngram-bands")
     met_ids = materialize(met.select("id").distinct(), "ngram-ids")
     drop_table(prefixes)
-    candidates = rows.join(met_ids, rows["doc_id"] == met_ids["id"], "left_semi")
+    candidates = rows.join(met_ids.hint("merge"), rows["doc_id"] == met_ids["id"], "left_semi")
     sets = materialize(_whole_sets(candidates, n), "ngram-sets")
 
     links, parts = None, None
