@@ -66,10 +66,10 @@ def bin_counts(grams: np.ndarray) -> np.ndarray:
 
 
 def _describe(docs: DataFrame, n: int) -> DataFrame:
-    """Two kinds of rows from one pass. A row per document: doc_id, n_shingles and a 128-bit class
-    key of the set, empty where there is no word. And, with n_shingles null, rows ``gram, times`` of
-    n-grams that repeat within a task's rows."""
-    fields = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("gram", pa.int64()), ("times", pa.int64())]
+    """Two kinds of rows from one pass. A row per document: doc_id, n_shingles, the set's binned
+    counts and its 128-bit class key, empty where there is no word. And, with n_shingles null, rows
+    ``gram, times`` of n-grams that repeat within a task's rows."""
+    fields = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("bins", pa.binary()), ("gram", pa.int64()), ("times", pa.int64())]
     schema = pa.schema(fields)
 
     def rows(**columns) -> pa.RecordBatch:
@@ -90,7 +90,8 @@ def _describe(docs: DataFrame, n: int) -> DataFrame:
 
         for piece, sets in _sets(batches, n):
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else b"" for s in sets]
-            yield rows(doc_id=piece.column("doc_id").to_pylist(), n_shingles=[len(s) for s in sets], key=keys)
+            bins = [bin_counts(s).tobytes() for s in sets]
+            yield rows(doc_id=piece.column("doc_id").to_pylist(), n_shingles=[len(s) for s in sets], key=keys, bins=bins)
             pending.extend(sets)
             held += sum(map(len, sets))
             if held > 4_000_000:
@@ -104,7 +105,7 @@ def _describe(docs: DataFrame, n: int) -> DataFrame:
         if times:
             yield rows(gram=list(times), times=list(times.values()))
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, key binary, gram long, times long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, key binary, bins binary, gram long, times long")
 
 
 def _frequent(described: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,12 +152,9 @@ def _prefixes(docs: DataFrame, n: int, percent: int, frequent_b) -> DataFrame:
 def _whole_sets(docs: DataFrame, n: int) -> DataFrame:
     def run(batches):
         for piece, sets in _sets(batches, n):
-            yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bin_counts(s).tobytes() for s in sets], pa.binary())],
-                names=["id", "grams", "bins"],
-            )
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "grams"])
 
-    return docs.mapInArrow(run, "id long, grams binary, bins binary")
+    return docs.mapInArrow(run, "id long, grams binary")
 
 
 def _with_both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
@@ -167,9 +165,10 @@ def _with_both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
     return half.join(of("v", "b").hint("merge"), "v").select("u", "v", "a", "b")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, bins: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs ``(u, v)`` at or above the bound: the suffix filter drops most others on their
-    binned counts, and what is left is verified once on whole sets."""
+    binned counts, and what is left is verified once on whole sets, which are made from the texts
+    of those pairs alone."""
 
     def could_link(batches):
         for batch in batches:
@@ -190,8 +189,14 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * same >= percent * (len(x) + len(y) - same))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    likely = materialize(_with_both(pairs, sets, "bins").mapInArrow(could_link, "u long, v long"), "ngram-likely")
-    return _with_both(likely, sets, "grams").mapInArrow(link, "u long, v long")
+    likely = materialize(_with_both(pairs, bins, "bins").mapInArrow(could_link, "u long, v long"), "ngram-likely")
+    ids = likely.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    texts = docs.join(ids.hint("merge"), docs["doc_id"] == ids["id"], "left_semi")
+    sets = materialize(_whole_sets(texts, n), "ngram-sets")
+    found = materialize(_with_both(likely, sets, "grams").mapInArrow(link, "u long, v long"), "ngram-links")
+    for done in (likely, sets):
+        drop_table(done)
+    return found
 
 
 def _across(lists: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
@@ -324,8 +329,8 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, frequen
     met = materialize(banded.join(shared.select("gram"), "gram", "left_semi"), "ngram-bands")
     met_ids = materialize(met.select("id").distinct(), "ngram-ids")
     drop_table(prefixes)
-    candidates = rows.join(met_ids.hint("merge"), rows["doc_id"] == met_ids["id"], "left_semi")
-    sets = materialize(_whole_sets(candidates, n), "ngram-sets")
+    bins = passed.filter("n_shingles > 0").select(F.col("doc_id").alias("id"), "bins")
+    bins = materialize(bins.join(met_ids.hint("merge"), "id", "left_semi"), "ngram-bins")
 
     links, parts = None, None
     for k in range(LEADER_ROUNDS):
@@ -339,11 +344,11 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, frequen
             .select(F.least("id", "l.id").alias("u"), F.greatest("id", "l.id").alias("v"))
             .distinct()
         )
-        found = materialize(_verify(pairs, sets, percent), "ngram-links")
+        found = _verify(pairs, bins, rows, n, percent)
         links = found if links is None else links.union(found)
         parts = components(links)
     rest = _with_components(met, parts)
-    links = links.union(materialize(_verify(materialize(_across(rest, sets.select("id", "bins"), percent), "ngram-rest"), sets, percent), "ngram-links"))
+    links = links.union(_verify(materialize(_across(rest, bins, percent), "ngram-rest"), bins, rows, n, percent))
     parts = components(links)
     parts = classes.join(parts.withColumnRenamed("node", "class_id"), "class_id", "left").select(
         "key", "class_id", F.coalesce("component", "class_id").alias("component")
