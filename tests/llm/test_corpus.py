@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -289,6 +290,37 @@ def test_license_scan(spark, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def test_license_notices_over_lines(spark):
+    def scanned(text, **more):
+        return license_scan.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string"), **more).collect()
+
+    def confirmed(text, **more):
+        return [(r.line, r.license) for r in scanned(text, **more) if r.confirmed]
+
+    def wrapped(text, width, mark=""):
+        return "\n".join(mark + line for line in textwrap.wrap(text, width, break_long_words=False, break_on_hyphens=False))
+
+    notices = license_scan.TEMPLATES
+    for width, mark in ((70, ""), (60, " * "), (25, "# "), (12, "// ")):
+        for name in notices:
+            assert confirmed(f"some code\n{wrapped(notices[name], width, mark)}\nmore code") == [(1, name)]
+    assert confirmed(f"/*\n{wrapped(notices['Apache-2.0-notice'], 60, ' * ')}\n */") == [(1, "Apache-2.0-notice")]
+    # several in one line, twice the same, and one with words changed next to another
+    assert confirmed("Released under the MIT License. Licensed under the Apache License, Version 2.0.") == [(0, "MIT"), (0, "Apache-2.0")]
+    assert confirmed("Released under the MIT License. Released under the MIT License.") == [(0, "MIT")] * 2
+    changed = notices["MIT-notice"].replace("free of charge,", "gratis,").replace("sublicense,", "")
+    assert confirmed(f"{wrapped(changed, 50)}\n{wrapped(notices['MIT-notice'], 50)}") == [(0, "MIT-notice"), (len(wrapped(changed, 50).split("\n")), "MIT-notice")]
+    assert not confirmed("\n".join(wrapped(" ".join(notices["MIT-notice"].split()[:50]), 50).split("\n")))
+    # long wordings at any place, and wordings that never mention a license
+    long = {"long": " ".join(f"term{k}" if k % 40 else "license" for k in range(300)), "plain": "Do with this whatever you like at any time"}
+    for before in (0, 50, 100, 777):
+        text = f"{'word ' * before}{long['long']} {'word ' * 99}\n{wrapped(long['plain'], 20, '; ')}"
+        assert confirmed(text, templates=long) == [(0, "long"), (1, "plain")]
+    # a mention that no template confirms keeps its row
+    assert [(r.line, r.confirmed) for r in scanned("Released under the MIT License.\nour licence\nis our own\nand that licence too")] == [(0, True), (1, False), (3, False)]
+    assert [r.line for r in scanned("Permission\nis hereby given\n\nfree\n# software")] == [0, 3]
+
+
 def test_word_hashes_split_like_bytes():
     texts = [b"", b" ", b"a", b" a\tb\x0bc  ", "é x y".encode(), b"a b"]
     hashes, counts = hashing.word_hashes(texts)
