@@ -1,9 +1,9 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-A bounded sample of labelled rows is fitted: its terms are chosen by chi-square, and their TF-IDF
-weights go into an inverted index whose postings are held in blocks of examples with the largest
-weight of each term and block. A document visits blocks in order of their upper bound and stops
-when no block left can reach its k-th best similarity, so its neighbours are exact. Neighbours vote
+A bounded sample of labelled rows is fitted: the TF-IDF weights of all terms that say something of the
+label go into an inverted index whose postings are held in blocks of examples with the largest weight of each term and block. A
+document visits the blocks of the largest upper bounds, then all blocks that can still reach its
+k-th best similarity, so its neighbours are exact. Neighbours vote
 with their similarity; the vote is calibrated on the examples themselves, each left out in turn.
 """
 
@@ -23,13 +23,14 @@ from .common import materialize, table
 
 #: Labelled rows fitted at most, by label; the rows with the smallest hashes of their ids.
 EXAMPLES = {1: 1500, 0: 3000}
-#: Terms: at least so many examples, at most this share of them, chi-square at least, and the best so many.
+#: A term is left out if fewer examples hold it, or if chi-square is below this and the labels use it at rates within this factor.
 LEAST_EXAMPLES = 3
-MOST_SHARE = 0.2
 LEAST_CHI2 = 25.0
-MOST_TERMS = 5000
+NEUTRAL = 8.0
 NEIGHBOURS = 15
 BLOCK = 64
+#: Blocks visited before the others are pruned.
+FIRST = 8
 CUT = 0.7
 EVIDENCE = 3
 _LETTERS = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
@@ -41,11 +42,18 @@ def terms_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_CLEAR).lower().split()
 
 
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, and the range of each."""
+    sizes = ends - starts
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    return np.arange(len(of)) + (starts - np.cumsum(sizes) + sizes)[of], of
+
+
 @dataclass
 class BlockMaxIndex:
     vocabulary: dict[bytes, int]
     idf: np.ndarray
-    #: postings of term t in block b: places pointers[t * blocks + b] up to the next
+    #: postings of cell c: places pointers[c] up to the next
     pointers: np.ndarray
     slots: np.ndarray
     weights: np.ndarray
@@ -56,6 +64,15 @@ class BlockMaxIndex:
     slope: float = 8.0
     shift: float = -4.0
     empty: float = 0.0
+    #: cells of term t: firsts[t] up to the next, and their blocks; without them cell t * blocks + b is term t in block b
+    firsts: np.ndarray | None = None
+    cell_blocks: np.ndarray | None = None
+
+    def __post_init__(self):
+        if self.firsts is None:
+            self.firsts = np.arange(len(self.maxima) + 1) * self.blocks
+            self.cell_blocks = np.arange(len(self.maxima) * self.blocks) % self.blocks
+        self.maxima = self.maxima.ravel()
 
     def vector(self, counts: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
         t = np.array([a for a, _ in counts], np.int64)
@@ -64,24 +81,26 @@ class BlockMaxIndex:
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest positive cosine and their cosines, largest first; ties by place."""
-        bounds = weights @ self.maxima[terms]
-        best, places, floor = np.zeros(0), np.zeros(0, np.int64), 0.0
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or (len(best) == k and bounds[b] < floor - 1e-9):
-                break
-            ranges = [(int(self.pointers[t * self.blocks + b]), int(self.pointers[t * self.blocks + b + 1]), w) for t, w in zip(terms.tolist(), weights.tolist(), strict=True)]
-            score = np.zeros(BLOCK)
-            for lo, hi, w in ranges:
-                if hi > lo:
-                    score[self.slots[lo:hi]] += w * self.weights[lo:hi]
-            if skip // BLOCK == b and skip >= 0:
-                score[skip % BLOCK] = 0
-            at = np.flatnonzero(score > 0)
-            best, places = np.concatenate([best, score[at]]), np.concatenate([places, at + b * BLOCK])
-            order = np.lexsort((places, -best))[:k]
-            best, places = best[order], places[order]
-            floor = best[-1] if len(best) == k else 0.0
-        return places, best
+        cells, by = _ranges(self.firsts[terms], self.firsts[terms + 1])
+        at, most = self.cell_blocks[cells], weights[by] * self.maxima[cells]
+        bounds = np.bincount(at, most, self.blocks)
+        left = np.flatnonzero(bounds > 0)
+        left = left[np.argsort(-bounds[left], kind="stable")]
+        score = np.zeros(self.blocks * BLOCK)
+        for round in (left[:FIRST], left[FIRST:]):
+            if len(floor := np.sort(score[score > 0])[-k:]) == k:
+                round = round[bounds[round] >= floor[0] - 1e-9]
+            visited = np.zeros(self.blocks, bool)
+            visited[round] = True
+            use = visited[at]
+            postings, of = _ranges(self.pointers[cells[use]], self.pointers[cells[use] + 1])
+            places = at[use][of] * BLOCK + self.slots[postings]
+            score += np.bincount(places, weights[by[use][of]] * self.weights[postings], len(score))
+            if skip >= 0:
+                score[skip] = 0
+        places = np.flatnonzero(score > 0)
+        places = places[np.lexsort((places, -score[places]))[:k]]
+        return places, score[places]
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
         return float((cosines * self.labels[places]).sum() / cosines.sum()) if len(places) else math.nan
@@ -122,25 +141,35 @@ def fit(docs: DataFrame, labels: DataFrame) -> BlockMaxIndex:
     chosen = F.broadcast(materialize(chosen, "examples"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").dropDuplicates(["doc_id"])
     terms = materialize(_terms(rows), "example-terms")
-    sizes = {r["toxic"]: r["n"] for r in terms.groupBy("toxic").agg(F.countDistinct("doc_id").alias("n")).collect()}
-    n, n1 = sum(sizes.values()), sizes.get(1, 0)
+    postings = terms.toArrow().to_pandas()  # the terms of at most sum(EXAMPLES) texts
+    sizes = postings.groupby("toxic")["doc_id"].nunique().to_dict()
     prior = shares.get(1, 0) / max(1, sum(shares.values()))
-    used = terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("toxic").alias("df1"))
-    excess = F.col("df1") - F.col("df") * (n1 / max(n, 1))
-    chi2 = excess * excess * float(n) ** 3 / (F.col("df") * (n - F.col("df")) * float(max(n1 * (n - n1), 1)))
-    used = used.filter((F.col("df") >= LEAST_EXAMPLES) & (F.col("df") <= MOST_SHARE * n)).withColumn("chi2", chi2)
-    used = used.filter(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(MOST_TERMS).toPandas()
-    vocabulary = {bytes(t): k for k, t in enumerate(used["term"])}
-    held = docs.sparkSession.createDataFrame(used[["term"]].assign(term=used["term"].map(bytes)), "term binary")
-    postings = terms.join(F.broadcast(held), "term").toPandas()
-    return _build(vocabulary, np.log(max(n, 1) / used["df"].to_numpy(float)), postings, shares, sizes, prior)
-
-
-def _build(vocabulary, idf, postings, shares, sizes, prior) -> BlockMaxIndex:
-    postings = postings.assign(t=[vocabulary[bytes(x)] for x in postings["term"]])
+    return _build(postings, shares, sizes, prior)
+
+
+def _neutral(df: np.ndarray, df1: np.ndarray, n0: int, n1: int) -> np.ndarray:
+    """Terms that say nothing of the label. A term of ``LEAST_EXAMPLES`` examples that one label alone
+    uses, or at ``NEUTRAL`` times the other's rate, is never one of them, however common it is."""
+    if not n0 or not n1:
+        return np.zeros(len(df), bool)
+    n, excess = n0 + n1, df1 - df * n1 / (n0 + n1)
+    chi2 = np.divide(excess**2 * float(n) ** 3, df * (n - df) * float(n0 * n1), out=np.zeros(len(df)), where=df < n)
+    rate0, rate1 = (df - df1) / n0, df1 / n1
+    alike = np.maximum(rate0, rate1) < NEUTRAL * np.minimum(rate0, rate1)
+    return (df < LEAST_EXAMPLES) | ((chi2 < LEAST_CHI2) & alike)
+
+
+def _build(postings, shares, sizes, prior) -> BlockMaxIndex:
+    used = postings.groupby("term")["toxic"].agg(["size", "sum"])
+    neutral = _neutral(used["size"].to_numpy(float), used["sum"].to_numpy(float), sizes.get(0, 0), sizes.get(1, 0))
+    held = used.index[~neutral].tolist()
+    postings = postings[postings["term"].isin(held)]
+    vocabulary = {t: k for k, t in enumerate(held)}
+    postings = postings.assign(t=postings["term"].map(vocabulary).astype("int64")).drop(columns="term").sort_values(["doc_id", "t"])
+    idf = np.log(max(sum(sizes.values()), 1) / np.bincount(postings["t"], minlength=len(held)))
     postings["w"] = (1 + np.log(postings["tf"].to_numpy(float))) * idf[postings["t"].to_numpy(int)] if len(postings) else 0.0
     norm = np.sqrt((postings["w"] ** 2).groupby(postings["doc_id"]).transform("sum")) if len(postings) else 1.0
-    postings["w"] = postings["w"] / norm
+    postings["w"] = (postings["w"] / norm).fillna(0.0)
     # examples with the same heaviest term stand together, so that few blocks have high bounds
     top = postings.sort_values(["doc_id", "w", "t"]).groupby("doc_id").last().reset_index().sort_values(["toxic", "t", "doc_id"])
     place = {d: k for k, d in enumerate(top["doc_id"])}
@@ -150,11 +179,12 @@ def _build(vocabulary, idf, postings, shares, sizes, prior) -> BlockMaxIndex:
     t, w = postings["t"].to_numpy(np.int64), postings["w"].to_numpy(float)
     cell = t * blocks + at // BLOCK
     order = np.lexsort((at, cell))
-    maxima = np.zeros(terms * blocks)
-    np.maximum.at(maxima, cell, w)
+    cells, starts = np.unique(cell[order], return_index=True)
+    maxima = np.maximum.reduceat(w[order], starts) if len(cells) else np.zeros(0)
     index = BlockMaxIndex(
-        vocabulary, idf, np.searchsorted(cell[order], np.arange(terms * blocks + 1)), (at % BLOCK)[order], w[order],
-        maxima.reshape(terms, blocks), top["toxic"].to_numpy(float), top["doc_id"].to_numpy(np.int64), blocks, empty=prior,
+        vocabulary, idf, np.append(starts, len(order)), (at % BLOCK)[order], w[order],
+        maxima, top["toxic"].to_numpy(float), top["doc_id"].to_numpy(np.int64), blocks, empty=prior,
+        firsts=np.searchsorted(cells, np.arange(terms + 1) * blocks), cell_blocks=cells % blocks,
     )
     votes, truth = [], []
     for doc, group in postings.groupby("doc_id"):

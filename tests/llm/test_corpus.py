@@ -223,6 +223,18 @@ def test_toxicity(spark):
     assert {x.score for x in toxicity.toxicity(docs, labels.limit(0)).collect()} != {None}
 
 
+def test_toxicity_keeps_label_specific_terms(spark):
+    # "rare" stands in 12 toxic examples and "common" in all others, and neither in a clean one
+    learnt = [k for k in range(9_000) if zlib.crc32(str(k).encode()) % 3 != 1]
+    toxic, clean = learnt[:1500], learnt[1500:4500]
+    data = [(k, f"{'rare' if n < 12 else 'common'} a{k} b{k}", 1) for n, k in enumerate(toxic)] + [(k, f"c{k} d{k} said", 0) for k in clean]
+    index = toxicity.fit(spark.createDataFrame(data, "doc_id long, text string, toxic int"), spark.createDataFrame([(k, y) for k, _, y in data], "doc_id long, toxic int"))
+    assert {b"rare", b"common", b"said"} <= set(index.vocabulary)
+    for term in (b"rare", b"common", b"said"):
+        near = index.nearest(*index.vector([(index.vocabulary[term], 1)]), toxicity.NEIGHBOURS)
+        assert (index.score(index.vote(*near)) >= toxicity.CUT) == (term != b"said")
+
+
 def test_nearest_examples_are_exact():
     r = np.random.default_rng(4)
     dense = r.random((300, 40)) * (r.random((300, 40)) < 0.15)
