@@ -125,15 +125,17 @@ class ShardStore:
     # readers
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version with __run, __file, __file_bytes."""
+        """The rows of a version with __path, __file, __file_bytes, and __shard, the path in the store: files
+        of several arrivals that one task wrote have one name."""
         return self.spark.read.parquet(*[r.path for r in self.runs(version)]).withColumns(
-            {"__path": F.col("_metadata.file_path"), "__file": F.col("_metadata.file_name"), "__file_bytes": F.col("_metadata.file_size")}
+            {"__path": F.col("_metadata.file_path"), "__file": F.col("_metadata.file_name"), "__file_bytes": F.col("_metadata.file_size"),
+             "__shard": F.regexp_extract("_metadata.file_path", "^.*/(data/(?:in|run)-[0-9a-f]{32}/.*)$", 1)}
         )
 
 
 def compacted(docs: DataFrame, arrival: Column, root: str, **sizes) -> DataFrame:
     """Appends all arrivals of ``docs`` to a new store at ``root``, compacts it and returns one row
-    per row: doc_id, shard, shard_bytes, shard_rows, version.
+    per row: doc_id, shard, shard_bytes, shard_rows, version. A shard is a file, by its path in the store.
 
     Rows are kept as they are: nulls, empty texts and repeated rows too; an empty table gives a
     store without runs and no rows.
@@ -143,7 +145,7 @@ def compacted(docs: DataFrame, arrival: Column, root: str, **sizes) -> DataFrame
     version = store.compact()
     if not store.runs():
         return docs.select("doc_id").limit(0).selectExpr("doc_id", "'' as shard", "0L as shard_bytes", "0L as shard_rows", "0 as version")
-    rows = store.read().select("doc_id", F.col("__file").alias("shard"), F.col("__file_bytes").alias("shard_bytes"))
+    rows = store.read().select("doc_id", F.col("__shard").alias("shard"), F.col("__file_bytes").alias("shard_bytes"))
     counts = rows.groupBy("shard").agg(F.count("*").alias("shard_rows"))
     return rows.join(counts, "shard").select("doc_id", "shard", "shard_bytes", "shard_rows", F.lit(version).alias("version"))
 

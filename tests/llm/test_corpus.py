@@ -295,6 +295,16 @@ def test_compaction(docs, rows, empty, tmp_path):
         store.commit([], first)
 
 
+def test_compaction_shards_are_files(spark, docs, rows, tmp_path):
+    # one task writes all arrivals, and three runs stay unmerged
+    got = compaction.compacted(docs.coalesce(1), F.pmod(F.xxhash64("doc_id"), F.lit(3)), f"file://{tmp_path}/d", fanout=4).collect()
+    files = {str(f.relative_to(tmp_path / "d")): f for f in (tmp_path / "d" / "data").rglob("*.parquet")}
+    found = {r.shard: (r.shard_rows, r.shard_bytes) for r in got}
+    assert len({f.name for f in files.values()}) < len(files) == len(compaction.ShardStore(spark, f"file://{tmp_path}/d").runs())
+    assert found == {k: (spark.read.parquet(f"file://{f}").count(), f.stat().st_size) for k, f in files.items()}
+    assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows) and len({(r.shard, r.shard_rows, r.shard_bytes) for r in got}) == len(files)
+
+
 def test_license_scan(spark, empty):
     text = "intro\nReleased under the MIT License.\nLicensed under CC BY-NC 4.0.\nour licence is our own affair\n"
     got = [(r.line, r.license, r.confirmed) for r in license_scan.scan_licenses(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")).collect()]
