@@ -92,23 +92,30 @@ def fuzzy(tokens: DataFrame, lexicon: DataFrame, most: int = 2) -> DataFrame:
 
 
 def search(queries: DataFrame, lexicon: DataFrame, most: int = 6) -> DataFrame:
-    """Each query's best entries by tier: exact, prefix, substring, near. Blocking by trigrams and
-    prefixes keeps it an equi-join."""
-    q, k, w = F.col("query"), F.col("key"), F.col("weight")
-    grams = lambda c: F.expr(f"transform(sequence(1, greatest(1, length({c}) - 2)), i -> substring({c}, i, 3))")
-    left = queries.select("query", F.explode(F.array_distinct(grams("query"))).alias("gram"))
-    right = lexicon.select("key", "word", "weight", F.explode(F.array_distinct(grams("key"))).alias("gram"))
-    met = left.join(right, "gram").select("query", "key", "word", "weight").distinct()
-    distance = F.levenshtein(q, k)
-    near = F.when(F.length(q) <= 5, 1).otherwise(2)
+    """Each query's best entries by tier: exact, prefix, substring, near. Substrings and near entries
+    need three characters; near is OSA 1 up to five characters and 2 beyond.
+
+    All tiers are equi-joins that miss nothing: on exploded prefixes, on the query's first trigram, which
+    every entry that holds the query has, and on the deletion blocks of ``fuzzy``.
+    """
+    queries, entries = queries.select("query").distinct(), lexicon.select("key", "word", "weight").distinct()
+    q, k, w, distance = F.col("query"), F.col("key"), F.col("weight"), F.col("distance")
+    long, keys = queries.filter(F.length(q) >= 3), entries.select("key").distinct()
+    prefixes = keys.select("key", F.explode(F.expr("transform(sequence(1, greatest(1, length(key))), i -> left(key, i))")).alias("query"))
+    grams = keys.filter("length(key) >= 3").select("key", F.explode(F.array_distinct(F.expr("transform(sequence(1, length(key) - 2), i -> substring(key, i, 3))"))).alias("gram"))
+    inside = long.withColumn("gram", F.left("query", F.lit(3))).join(grams, "gram").filter(F.contains(k, q))
+    met = queries.join(prefixes, "query").select("query", "key", F.lit(None).cast("int").alias("distance")).union(inside.select("query", "key", F.lit(None).cast("int")))
+    for part, most_edits in ((long.filter(F.length(q) <= 5), 1), (long.filter(F.length(q) > 5), 2)):
+        met = met.union(fuzzy(part.select(q.alias("key")), entries, most_edits).select("token", "key", "distance"))
+    met = met.groupBy("query", "key").agg(F.min("distance").alias("distance")).join(entries, "key")
     score = (
         F.when(q == k, 1000 + w)
         .when(F.startswith(k, q), 500 + 100 * F.length(q) / F.length(k) + 0.5 * w)
         .when((F.length(q) >= 3) & F.contains(k, q), 300 + 0.4 * w)
-        .when((F.length(q) >= 3) & (distance <= near), 200 * (1 - distance / F.greatest(F.length(q), F.length(k))) + 0.3 * w)
+        .otherwise(200 * (1 - distance / F.greatest(F.length(q), F.length(k))) + 0.3 * w)
     )
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "key"))
-    return met.withColumn("score", F.round(score, 6)).filter("score is not null").withColumn("rank", rank.cast("long")).filter(F.col("rank") <= most)
+    return met.select("query", "key", "word", "weight", F.round(score, 6).alias("score")).withColumn("rank", rank.cast("long")).filter(F.col("rank") <= most)
 
 
 def lexicon_stats(lexicon: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ def join3(spark, d):
 @query("join4_lexicon_search")
 def join4(spark, d):
     v = Views(spark, d)
-    queries = v.tokens.filter("length(key) >= 3").select(F.col("key").alias("query")).distinct()
+    queries = v.tokens.filter("length(key) >= 1").select(F.col("key").alias("query")).distinct()
     return L.search(queries, v.lexicon).select("query", "word", "score", "rank")
 
 

@@ -79,6 +79,32 @@ def test_normalize(spark):
     assert [r[0] for r in spark.createDataFrame([("-",), ("a|b",), (None,)], "t string").select(T.clean_label(F.col("t"))).collect()] == ["", "a b", ""]
 
 
+def test_search_misses_nothing(spark):
+    r = random.Random(3)
+    words = {"".join(r.choice("abct") for _ in range(r.randrange(1, 9))) for _ in range(150)} | {"trish", "cuts", "form", "from", "cats", "trash", "ab", "abandoned"}
+    entries = {w: 0.5 + n % 4 for n, w in enumerate(sorted(words))}
+    queries = sorted(words)[::3] + ["trash", "cats", "form", "from", "tarsh", "a", "ab", "x", "abadnoend", "bandon"]
+
+    def score(q, k, w):
+        if q == k:
+            return 1000 + w
+        if k.startswith(q):
+            return 500 + 100 * len(q) / len(k) + 0.5 * w
+        if len(q) >= 3 and q in k:
+            return 300 + 0.4 * w
+        d = osa_distance(q, k)
+        return 200 * (1 - d / max(len(q), len(k))) + 0.3 * w if len(q) >= 3 and d <= (1 if len(q) <= 5 else 2) else None
+
+    want = set()
+    for q in set(queries):
+        all_of = sorted((-s, k) for k, w in entries.items() if (s := score(q, k, w)) is not None)
+        want |= {(q, k, round(-s, 4)) for s, k in all_of}
+    lex = spark.createDataFrame([(k, k, w) for k, w in entries.items()], "key string, word string, weight double")
+    asked = spark.createDataFrame([(q,) for q in queries], "query string")
+    assert {(x.query, x.word, round(x.score, 4)) for x in lexicon.search(asked, lex, 10_000).collect()} == want
+    assert {x.rank for x in lexicon.search(asked, lex).collect()} == set(range(1, 7))
+
+
 def test_fuzzy_join_misses_nothing(spark):
     r = random.Random(6)
     make = lambda n: sorted({"".join(r.choice("abcd") for _ in range(r.randrange(1, 9))) for _ in range(n)})
