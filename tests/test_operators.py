@@ -210,3 +210,21 @@ def test_first_submission_wins(spark):
     rows = [("s", 1, 1, "a", "b", 0.5, 1, 1), ("s", 1, 1, "a", "b", 0.5, 2, 2), ("s", 1, 1, "a", "c", 0.5, 3, 3)]
     got = feedback.first_submissions(spark.createDataFrame(rows, schema)).first()
     assert (got.replays, got.conflicts) == (1, 1)
+
+
+def test_rescore_by_phrases_fuzzy_words_and_context(spark):
+    beams = ["metoprolo 500mg", "bempedoic acid", "zzzz qqqq wwww", "metoprolol 500mg IV tablet", "xx yy vvvv metoprolo", "xx yy vvvv Metoprolo", "aspirin 30g bid"]
+    data = [(k, 0, n, t, p) for k, b in enumerate(beams) for n, (t, p) in enumerate([("qqqqqqqq", 0.0), (b, -1.0)])]
+    frame = spark.createDataFrame(data, "doc_id long, line_no int, beam_no int, text string, log_prob double")
+    lex = spark.createDataFrame([("metoprolol", 2.0), ("bempedoic acid", 1.0), ("aspirin", 1.0)], "key string, weight double")
+
+    def scores(**more):
+        return {x.doc_id: x.score for x in confusion.rescore(frame, lex, weights=(1.0, 0.8, 0.0), **more).collect() if x.beam_no == 1}
+
+    got = scores()
+    # the lone first word of weight 1.0 scores 1.5 as a phrase, more than its 1.0 as a word
+    want = [-1 + 1.5 * 0.9, -1 + 2.5, -1.0, -1 + 2.0 - 0.8, -1.0, -1 + 1.5 * 0.9, -1 + 1.5 + 0.8 * (0.3 - 1)]
+    assert [got[k] for k in range(7)] == pytest.approx(want, abs=1e-4)
+    meds = spark.createDataFrame([("metoprolol", [500.0], "PO", 1000.0)], "term string, strengths array<double>, route string, max_dose double")
+    fitted = scores(medications=meds)
+    assert fitted[0] == pytest.approx(got[0] + 0.8) and fitted[3] == pytest.approx(got[3] + 0.8 * 0.7) and fitted[6] == got[6]
