@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The scratch tables of each ``settle`` that runs, the innermost last.
+_open: list[list[DataFrame]] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is named."""
+    """The shared folder that the cluster names. A folder of our own only on a local master, where
+    driver and executors are one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -39,11 +47,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEAN_SHUFFLES, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _open:
+        _open[-1].append(out)
+    return out
+
+
+def settle(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Write what ``make`` returns and drop all scratch tables made on the way to it."""
+    _open.append([])
+    try:
+        out = materialize(make(), name)
+    finally:
+        made = _open.pop()
+    for done in made:
+        if done is not out:
+            drop_table(done)
+    if _open:
+        _open[-1].append(out)
+    return out
 
 
 def drop_table(df: DataFrame) -> None:
-    """Delete the files of a scratch table that nothing reads any more."""
+    """Delete the files of a scratch table that nothing reads any more; none if that is done already."""
     jvm, jsc = df.sparkSession._jvm, df.sparkSession._jsc
     for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(parent)

@@ -7,8 +7,10 @@ filter on binned counts prunes the rest, and each surviving pair is verified onc
 
 Texts with equal sets are one class and are joined once. A list in which many similar texts meet
 would give the square of its length in pairs. So pairs are taken in rounds: first each text with a
-leader of each of its lists, and only then, in lists where different components still meet, every
-remaining pair across components. Pairs within a component cannot change it and are left out.
+leader of each of its lists, for as long as that links many; then, in lists where different
+components still meet, all remaining pairs across components inside blocks, from which only rows
+with candidates and links that span components come out. Pairs within a component cannot change it
+and are left out.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop_table, materialize, table
+from .common import components, drop_table, materialize, settle, table
 from .hashing import counted, distinct, gram_hashes, hashed_texts
 
 N = 5
@@ -32,10 +34,15 @@ PERCENT = 80
 #: Entries of the table of frequent n-grams; it is broadcast, at 16 bytes an entry.
 FREQUENT = 200_000
 #: Rows of a list compared in one block; longer lists are cut into pairs of blocks.
-BLOCK = 1024
+BLOCK = 512
+#: Rows of blocks for each task that looks for candidates, and candidates of a row verified at once.
+TASK_ROWS = 4096
+VERIFIED = 64
 #: Bins of the suffix filter.
 BINS = 64
-LEADER_ROUNDS = 2
+#: Rounds of leaders at most, and the share of texts that a round must link for another to follow.
+LEADER_ROUNDS = 4
+LINKING = 0.02
 
 
 def lowered(text: str | None) -> bytes:
@@ -109,13 +116,22 @@ def _describe(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _frequent(described: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``most`` most frequent n-grams, sorted, with their counts. Which n-grams are among them
+    """The most frequent n-grams, ``most`` at most, sorted, with their counts: those above a count that
+    a histogram finds, so that no more than is kept comes to the driver. Which n-grams are among them
     decides only the order in which prefixes are taken, never the result."""
-    repeats = described.filter("gram is not null").groupBy("gram").agg(F.sum("times").alias("times"))
-    top = repeats.orderBy(F.desc("times"), "gram").limit(most).toPandas()
-    grams = top["gram"].to_numpy(np.int64).view(np.uint64)
+    repeats = materialize(described.filter("gram is not null").groupBy("gram").agg(F.sum("times").alias("times")), "ngram-repeats")
+    step = F.floor(F.log2("times") * 8).cast("int")
+    least, left = None, most
+    for r in sorted(repeats.groupBy(step.alias("step")).count().collect(), reverse=True):
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["step"]
+    top = repeats.filter(step >= least if least is not None else F.lit(False)).toArrow()
+    drop_table(repeats)
+    grams = top["gram"].to_numpy().view(np.uint64)
     order = np.argsort(grams)
-    return grams[order], top["times"].to_numpy(np.int64)[order]
+    return grams[order], top["times"].to_numpy()[order]
 
 
 def _rare_first(grams: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -150,11 +166,14 @@ def _prefixes(docs: DataFrame, n: int, percent: int, frequent_b) -> DataFrame:
 
 
 def _whole_sets(docs: DataFrame, n: int) -> DataFrame:
+    """id, size, grams: the distinct sets of each id, for ids may repeat."""
+
     def run(batches):
         for piece, sets in _sets(batches, n):
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "grams"])
+            columns = [piece.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "size", "grams"])
 
-    return docs.mapInArrow(run, "id long, grams binary")
+    return docs.mapInArrow(run, "id long, size int, grams binary").distinct()
 
 
 def _with_both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
@@ -199,17 +218,94 @@ def _verify(pairs: DataFrame, bins: DataFrame, docs: DataFrame, n: int, percent:
     return found
 
 
-def _across(lists: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that meet in a list and pass all filters, each about once.
+def _candidates(group: pd.DataFrame, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For rows of block ``lo`` the rows of block ``hi`` of other components that pass the positional
+    and the suffix filter, each pair once; rows are numbered as in ``group``."""
+    size, comp, ids, own = (group[c].to_numpy() for c in ("size", "comp", "id", "own"))
+    bins = np.stack([np.frombuffer(b, "<u4") for b in group["bins"]]).astype(np.int32)
+    lo, hi = int(group["lo"].iat[0]), int(group["hi"].iat[0])
+    lists, positions = group["grams"].to_list(), group["places"].to_list()
+    row, gram, place = np.repeat(np.arange(len(ids)), [len(g) for g in lists]), np.concatenate(lists), np.concatenate(positions)
+    order = np.argsort(gram, kind="stable")
+    row, gram, place = row[order], gram[order], place[order]
+    begin = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+    end = np.append(begin[1:], len(gram))
+    span = dict(zip(gram[begin].tolist(), zip(begin.tolist(), end.tolist(), strict=True), strict=True))
+    for i in np.flatnonzero(own == lo).tolist():
+        found = []
+        for g, at in zip(lists[i], positions[i], strict=True):
+            p, q = span[g]
+            if q - p > 1:
+                j, there = row[p:q], place[p:q]
+                # of a linked pair's shared n-grams the first has nothing shared before it
+                found.append(j[np.minimum(size[i] - at, size[j] - there) >= overlap_needed(size[i], size[j], percent)])
+        others = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        others = others[(comp[others] != comp[i]) & (own[others] == hi) & ((ids[others] > ids[i]) if lo == hi else True)]
+        if len(others):
+            common = np.minimum(bins[others], bins[i]).sum(axis=1)
+            others = others[common >= overlap_needed(size[i], size[others], percent)]
+            if len(others):
+                yield i, others
+
+
+def _spanning(group: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Verifies a block's candidates on whole sets; links that join components not yet joined here."""
+    ids, size, comp = (group[c].to_numpy() for c in ("id", "size", "comp"))
+    sets = [np.frombuffer(s, np.uint64) for s in group["whole"]]
+    _, root = np.unique(comp, return_inverse=True)  # the root of each row, kept flat
+    out = []
+    for i, others in _candidates(group, percent):
+        for at in range(0, len(others), VERIFIED):
+            some = others[at : at + VERIFIED]
+            some = some[root[some] != root[i]]
+            if not len(some):
+                continue
+            both = np.concatenate([sets[j] for j in some.tolist()])
+            place = np.minimum(np.searchsorted(sets[i], both), len(sets[i]) - 1)
+            starts = np.concatenate([[0], np.cumsum(size[some])[:-1]])
+            same = np.add.reduceat((sets[i][place] == both).astype(np.int64), starts)
+            for j in some[100 * same >= percent * (size[i] + size[some] - same)].tolist():
+                if root[i] != root[j]:
+                    root[root == root[j]] = root[i]
+                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return out
+
+
+def _by_block(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The groups of rows sorted by (anchor, lo, hi) that have more than one component."""
+    rest = None
+    for frame in frames:
+        frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+        keys = frame[_BLOCK_KEY].to_numpy()
+        last = int(np.flatnonzero((keys == keys[-1]).all(axis=1))[0]) if len(keys) else 0
+        rest = frame.iloc[last:]
+        yield from (g for _, g in frame.iloc[:last].groupby(_BLOCK_KEY, sort=False) if g["comp"].nunique() > 1)
+    if rest is not None and len(rest) and rest["comp"].nunique() > 1:
+        yield rest
+
+
+_BLOCK_KEY = ["anchor", "lo", "hi"]
+_BLOCK_ROW = "anchor long, lo int, hi int, own int, id long, size int, comp long, grams array<long>, places array<int>, bins binary"
+
+
+def _dealt(rows: DataFrame, tasks: int) -> DataFrame:
+    return rows.repartition(max(1, tasks), *_BLOCK_KEY).sortWithinPartitions(*_BLOCK_KEY)
+
+
+def _across(lists: DataFrame, bins: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links ``(u, v)`` that join all components which pairs of texts of one list link, found in blocks.
 
     Lists in which the same smallest component meets others hold much the same texts, so they are
     compared together: a text comes once with all its places in them, and its pairs come once
     however many n-grams they share. The texts of such an anchor are cut into blocks of about
-    ``BLOCK``, and tasks compare pairs of blocks.
+    ``BLOCK``, and tasks compare pairs of blocks, twice: first without sets, to keep only the rows
+    that have a candidate; then these rows come with their whole sets and are verified. No pair
+    leaves its block, only rows and links that span components do, so nothing grows with the
+    square of a group.
     """
     met = lists.groupBy("gram").agg(F.min("comp").alias("anchor"), F.max("comp").alias("c1")).filter("anchor <> c1").select("gram", "anchor")
-    texts = lists.join(met, "gram").groupBy("anchor", "id").agg(
-        F.first("size").alias("size"), F.first("comp").alias("comp"), F.collect_list("gram").alias("grams"), F.collect_list("pos").alias("places")
+    texts = lists.join(met, "gram").groupBy("anchor", "id", "size").agg(
+        F.first("comp").alias("comp"), F.collect_list("gram").alias("grams"), F.collect_list("pos").alias("places")
     )
     texts = materialize(texts, "ngram-anchored")
     blocks = texts.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
@@ -220,63 +316,30 @@ def _across(lists: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
         .withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
         .drop("blocks", "other")
     )
-
-    def pairs_of(group: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        size, comp, ids, own = (group[c].to_numpy() for c in ("size", "comp", "id", "own"))
-        bins = np.stack([np.frombuffer(b, "<u4") for b in group["bins"]]).astype(np.int32)
-        lo, hi = int(group["lo"].iat[0]), int(group["hi"].iat[0])
-        lengths = group["grams"].map(len).to_numpy()
-        row, gram, place = np.repeat(np.arange(len(ids)), lengths), np.concatenate(group["grams"].to_list()), np.concatenate(group["places"].to_list())
-        order = np.argsort(gram, kind="stable")
-        row, gram, place = row[order], gram[order], place[order]
-        begin = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-        end = np.append(begin[1:], len(gram))
-        span = dict(zip(gram[begin].tolist(), zip(begin.tolist(), end.tolist(), strict=True), strict=True))
-        for i in np.flatnonzero(own == lo).tolist():
-            found = []
-            for g, at in zip(group["grams"].iat[i], group["places"].iat[i], strict=True):
-                p, q = span[g]
-                if q - p > 1:
-                    j, there = row[p:q], place[p:q]
-                    # of a linked pair's shared n-grams the first has nothing shared before it
-                    found.append(j[np.minimum(size[i] - at, size[j] - there) >= overlap_needed(size[i], size[j], percent)])
-            others = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-            others = others[(comp[others] != comp[i]) & (own[others] == hi) & ((ids[others] > ids[i]) if lo == hi else True)]
-            if len(others):
-                common = np.minimum(bins[others], bins[i]).sum(axis=1)
-                others = others[common >= overlap_needed(size[i], size[others], percent)]
-                if len(others):
-                    yield np.minimum(ids[i], ids[others]), np.maximum(ids[i], ids[others])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-
-        def out_of(frame):
-            found = []
-            for _, group in frame.groupby(["anchor", "lo", "hi"], sort=False):
-                if len(group) > 1 and group["comp"].nunique() > 1:
-                    found.extend(pairs_of(group))
-            if found:
-                u, v = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pd.DataFrame({"u": u, "v": v}).drop_duplicates()
-
-        for frame in frames:
-            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-            keys = frame[["anchor", "lo", "hi"]].to_numpy()
-            last = int(np.flatnonzero((keys == keys[-1]).all(axis=1))[0]) if len(keys) else 0
-            rest = frame.iloc[last:]
-            yield from out_of(frame.iloc[:last])
-        if rest is not None and len(rest):
-            yield from out_of(rest)
-
-    columns = ["anchor", "lo", "hi", "own", "id", "size", "comp", "grams", "places", "bins"]
-    return (
-        dealt.join(bins, "id").select(*columns)
-        .repartition("anchor", "lo", "hi")
-        .sortWithinPartitions("anchor", "lo", "hi")
-        .mapInPandas(run, "u long, v long")
-        .distinct()
-    )
+    dealt = materialize(dealt.join(bins.hint("merge"), ["id", "size"]).selectExpr(*[c.split()[0] for c in _BLOCK_ROW.split(", ")]), "ngram-dealt")
+
+    def likely(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _by_block(frames):
+            keep = np.zeros(len(group), bool)
+            for i, others in _candidates(group, percent):
+                keep[i] = True
+                keep[others] = True
+            if keep.any():
+                yield group[keep]
+
+    def link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _by_block(frames):
+            if found := _spanning(group, percent):
+                yield pd.DataFrame(found, columns=["u", "v"])
+
+    kept = materialize(_dealt(dealt, dealt.count() // TASK_ROWS).mapInPandas(likely, _BLOCK_ROW), "ngram-rest")
+    sets = _whole_sets(docs.join(kept.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), n)
+    sets = materialize(sets.withColumnRenamed("grams", "whole"), "ngram-sets")
+    whole = kept.join(sets.hint("merge"), ["id", "size"])
+    found = materialize(_dealt(whole, kept.count() // BLOCK).mapInPandas(link, "u long, v long").distinct(), "ngram-links")
+    for done in (texts, dealt, kept, sets):
+        drop_table(done)
+    return found
 
 
 def _positions_allow(percent: int):
@@ -294,13 +357,19 @@ def _with_components(rows: DataFrame, parts: DataFrame | None) -> DataFrame:
     )
 
 
+def _joined(parts: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components of known ones and more links; a known one stands for its links as a star."""
+    known = links if parts is None else links.union(parts.selectExpr("node as u", "component as v"))
+    return materialize(components(known), "ngram-components")
+
+
 def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, class_id, component_id.
+    """One row per row of ``docs``: doc_id, n_shingles, class_id, component_id, class_key.
 
     Words are runs of characters other than ASCII white space with A-Z lower-cased; a text's set
     holds its distinct word n-grams, or its whole sequence when it has fewer words. Two texts link
     when 100 x intersection >= percent x union. ``class_id`` is the smallest id with an equal set,
-    ``component_id`` the smallest id reachable by links. Texts without words, nulls included, have
+    ``component_id`` the smallest id reachable by links; ``class_key`` is the set's 128-bit key. Texts without words, nulls included, have
     an empty set and link with nothing: both ids are their own. A null doc_id is left in the result
     with null class and component and links with nothing. Rows that repeat an
     id share their component: they link by any of their texts. An
@@ -329,10 +398,10 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, frequen
     met = materialize(banded.join(shared.select("gram"), "gram", "left_semi"), "ngram-bands")
     met_ids = materialize(met.select("id").distinct(), "ngram-ids")
     drop_table(prefixes)
-    bins = passed.filter("n_shingles > 0").select(F.col("doc_id").alias("id"), "bins")
-    bins = materialize(bins.join(met_ids.hint("merge"), "id", "left_semi"), "ngram-bins")
+    bins = passed.filter("n_shingles > 0").select(F.col("doc_id").alias("id"), F.col("n_shingles").cast("int").alias("size"), "bins")
+    bins = materialize(bins.join(met_ids.hint("merge"), "id", "left_semi").distinct(), "ngram-bins")
 
-    links, parts = None, None
+    parts, texts = None, met_ids.count()
     for k in range(LEADER_ROUNDS):
         here = _with_components(met, parts)
         leader = F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "size", "pos", "comp"))
@@ -345,26 +414,39 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, frequen
             .distinct()
         )
         found = _verify(pairs, bins, rows, n, percent)
-        links = found if links is None else links.union(found)
-        parts = components(links)
-    rest = _with_components(met, parts)
-    links = links.union(_verify(materialize(_across(rest, bins, percent), "ngram-rest"), bins, rows, n, percent))
-    parts = components(links)
+        parts = _joined(parts, found)
+        if found.count() <= LINKING * texts:
+            break
+    parts = _joined(parts, _across(_with_components(met, parts), bins, rows, n, percent))
     parts = classes.join(parts.withColumnRenamed("node", "class_id"), "class_id", "left").select(
         "key", "class_id", F.coalesce("component", "class_id").alias("component")
     )
     found = described.join(parts, "key", "left")
     lone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     own = lambda c: F.when(lone, F.col("doc_id")).otherwise(F.col(c))
-    return found.select("doc_id", "n_shingles", own("class_id").alias("class_id"), own("component").alias("component_id"))
+    return found.select("doc_id", "n_shingles", own("class_id").alias("class_id"), own("component").alias("component_id"), F.col("key").alias("class_key"))
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """Of each group of near duplicates the row with the smallest id, all columns as they are;
-    texts without words and rows without an id stay."""
-    found = near_duplicates(docs, n, percent).filter("component_id <> doc_id").select(F.col("doc_id").alias("__dropped"))
-    return docs.join(found, docs["doc_id"] == found["__dropped"], "left_anti")
+    """Of each group of near duplicates the row with the smallest id, all columns as they are.
+
+    Texts without words and rows without an id stay. So do rows whose id repeats under different
+    sets, as it does not tell which of them is linked; other rows still go for them. Rows that
+    repeat id and set go or stay together. An empty table stays empty.
+    """
+
+    def dropped() -> DataFrame:
+        found = near_duplicates(docs, n, percent).groupBy("doc_id").agg(
+            F.min("class_key").alias("k0"), F.max("class_key").alias("k1"), F.min("component_id").alias("component_id")
+        )
+        return found.filter("k0 = k1 and component_id <> doc_id").select("doc_id")
+
+    gone = settle(dropped, "ngram-dropped").toDF("gone").hint("merge")
+    key = F.col("c0").cast("long") == F.col("gone")
+    names = ["doc_id", *[c for c in docs.columns if c != "doc_id"]]
+    rows = docs.select(*names).toDF(*[f"c{k}" for k in range(len(names))]).join(gone, key, "left_anti")
+    return rows.toDF(*names).select(*docs.columns)
 
 
 def op8_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=90)
+    return near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=90).drop("class_key")
