@@ -43,6 +43,34 @@ def edit_counts(a, b) -> tuple[int, int, int, int]:
     return s, d, n, h
 
 
+def edit_distance(a, b) -> int:
+    """Levenshtein distance of two sequences without their common ends, a bit for each item of the
+    shorter one in whole numbers, so that a row of the table costs a few operations."""
+    if len(a) > len(b):
+        a, b = b, a
+    start, m, n = 0, len(a), len(b)
+    while start < m and a[start] == b[start]:
+        start += 1
+    while m > start and a[m - 1] == b[n - 1]:
+        m, n = m - 1, n - 1
+    a, b = a[start:m], b[start:n]
+    if not len(a):
+        return len(b)
+    at: dict = {}
+    for k, x in enumerate(a):
+        at[x] = at.get(x, 0) | (1 << k)
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, cost = full, 0, len(a)
+    for x in b:
+        same = at.get(x, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        right, left = down | (full ^ ((diagonal | up) & full)), up & diagonal
+        cost += bool(right & top) - bool(left & top)
+        right, left = ((right << 1) | 1) & full, (left << 1) & full
+        up, down = left | (full ^ ((diagonal | right) & full)), right & diagonal
+    return cost
+
+
 def osa_distance(a: str, b: str) -> int:
     """Optimal string alignment: Levenshtein with transposition of neighbours, each piece edited once."""
     older, last = None, list(range(len(b) + 1))

@@ -40,13 +40,11 @@ def allow_deny(requested: DataFrame, enabled: DataFrame, excluded: DataFrame) ->
 def split_by_ratio(rows: DataFrame, seed: int = 7, train: float = 0.70, val: float = 0.15) -> DataFrame:
     """Writers in hash order: the first share trains, the next validates, the rest tests.
 
-    Only the distinct writers, each one row, are ordered; samples inherit by a join.
+    Only the distinct writers, each one row, are ordered, by hash ranges; samples inherit by a join.
     """
     owned = rows.withColumn("writer_id", F.coalesce("writer_id", F.concat(F.lit("w_"), F.col("sample_id"))))
-    writers = owned.select("writer_id").distinct()
-    ordered = Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("writer_id"))), "writer_id")
-    n = F.count("*").over(Window.partitionBy())
-    ranked = writers.select("writer_id", F.row_number().over(ordered).alias("r"), n.alias("n"))
+    writers = owned.select(F.col("writer_id").alias("key")).distinct()
+    ranked = numbered(writers, salt=f"{seed}:").select(F.col("key").alias("writer_id"), (F.col("place") + 1).alias("r"), "n")
     n_train = F.greatest(F.lit(1), F.bround(F.col("n") * train).cast("int"))
     n_val = F.when(F.col("n") <= 2, 0).otherwise(F.greatest(F.lit(1), F.bround(F.col("n") * val).cast("int")))
     short = (F.col("n") > 1) & (n_train + n_val >= F.col("n"))
@@ -98,34 +96,45 @@ def exclude_holdout(rows: DataFrame, holdout: DataFrame, digest: Column) -> tupl
     return marked.join(holdout, "digest", "left_anti"), marked.join(holdout, "digest", "left_semi")
 
 
-def replay_batches(feedback: DataFrame, anchors: DataFrame, batch_size: int, ratio: float) -> DataFrame:
+def replay_batches(feedback: DataFrame, anchors: DataFrame, batch_size: int, ratio: float, drop_last: bool = False, max_batches: int | None = None) -> DataFrame:
     """Batches of a fixed share of feedback: every batch draws ``n_fb`` feedback and the rest anchor
-    rows; the smaller pool starts over, in another order each cycle.
+    rows; the smaller pool starts over, in another order each cycle: batch, pool, cycle, key.
 
-    Pools carry ``key`` and rows number per hash bucket, so that no pool is ordered in one task.
+    As many batches as the larger need of either pool; ``drop_last`` leaves out one that its pool cannot
+    fill. Each pool comes once a cycle, numbered by hash ranges, so that none is ordered in one task.
     """
     n_fb = min(max(round(batch_size * ratio), 1 if 0 < ratio < 1 else 0), batch_size - (1 if 0 < ratio < 1 else 0))
     take = {"feedback": n_fb, "anchor": batch_size - n_fb}
-    pools = {"feedback": numbered(feedback), "anchor": numbered(anchors)}
+    pools = {"feedback": feedback, "anchor": anchors}
     sizes = {k: p.count() for k, p in pools.items()}
-    batches = max(1, *(-(-sizes[k] // take[k]) for k in take if take[k] and sizes[k]))
+    needs = [sizes[k] // take[k] if drop_last else -(-sizes[k] // take[k]) for k in take if take[k] and sizes[k]]
+    batches = max([0 if drop_last else 1, *needs])
+    batches = batches if max_batches is None else min(batches, max_batches)
     out = None
     for kind, n in take.items():
         if not n or not sizes[kind]:
             continue
-        slots = feedback.sparkSession.range(batches * n).select(
-            (F.expr(f"id div {n}")).alias("batch"), (F.col("id") % sizes[kind]).alias("place"), F.expr(f"id div {sizes[kind]}").alias("cycle"), (F.col("id") % n).alias("slot")
-        )
-        part = slots.join(pools[kind], "place").select("batch", F.lit(kind).alias("pool"), "cycle", "key")
+        cycles = F.sequence(F.lit(0).cast("long"), F.lit(max(0, -(-batches * n // sizes[kind]) - 1)).cast("long"))
+        again = pools[kind].select("key", F.explode(cycles).alias("cycle"))
+        slot = F.col("cycle") * sizes[kind] + F.col("place")
+        drawn = numbered(again, ["cycle"]).filter(slot < batches * n)
+        part = drawn.select(F.floor(slot / n).alias("batch"), F.lit(kind).alias("pool"), "cycle", "key")
         out = part if out is None else out.unionByName(part)
+    if out is None:
+        return feedback.select(F.lit(0).cast("long").alias("batch"), F.lit("").alias("pool"), F.lit(0).cast("long").alias("cycle"), "key").limit(0)
     return out
 
 
-def numbered(pool: DataFrame, buckets: int = 1024) -> DataFrame:
-    """``place`` 0, 1, ... over the pool's keys in hash order, by counts of hash ranges and ranks in each."""
-    h = F.conv(F.substring(F.md5(F.col("key").cast("string")), 1, 3), 16, 10).cast("int") % buckets
-    hashed = pool.select("key", h.alias("bucket"))
-    counts = hashed.groupBy("bucket").count()
-    base = F.coalesce(F.sum("count").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.md5(F.col("key").cast("string")), "key"))
-    return hashed.withColumn("rank", rank).join(counts.select("bucket", base.alias("base")), "bucket").select("key", (F.col("base") + F.col("rank") - 1).alias("place"))
+def numbered(pool: DataFrame, within: list[str] | None = None, salt: str = "") -> DataFrame:
+    """``place`` 0, 1, ... of the pool's keys in the order of an MD5 of salt, group and key, for each group
+    of ``within``, with the group's size ``n``: by counts of hash ranges and ranks inside them."""
+    by = within or []
+    digest = F.md5(F.concat(F.lit(salt), *[c for g in by for c in (F.col(g).cast("string"), F.lit(":"))], F.col("key").cast("string")))
+    hashed = pool.select("key", *by, digest.alias("digest")).withColumn("range", F.conv(F.substring("digest", 1, 3), 16, 10).cast("int"))
+    counts = hashed.groupBy(*by, "range").agg(F.count("*").alias("here"))  # 4,096 rows a group at most
+    group = Window.partitionBy(*by)
+    before = F.sum("here").over(group.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*by, "range", F.coalesce(before, F.lit(0)).alias("before"), F.sum("here").over(group).alias("n"))
+    rank = F.row_number().over(Window.partitionBy(*by, "range").orderBy("digest", "key"))
+    placed = hashed.withColumn("rank", rank).join(counts, [*by, "range"])
+    return placed.select("key", *by, (F.col("before") + F.col("rank") - 1).alias("place"), "n")

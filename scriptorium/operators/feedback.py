@@ -15,7 +15,7 @@ def reasons() -> Column:
         "blank_document_id": blank("document_id"), "blank_original": F.col("original").isNull(), "blank_correction": F.col("correction").isNull(),
         "original_too_long": long("original"), "correction_too_long": long("correction"),
         "confidence_out_of_range": conf.isNotNull() & (F.isnan(conf) | (conf < 0) | (conf > 1)),
-        "bad_submission_id": ~F.coalesce(F.col("submission_id"), F.lit("")).rlike("^[a-zA-Z0-9_-]{1,100}$"), "demo": F.coalesce(F.col("is_demo"), F.lit(False)),
+        "bad_submission_id": F.col("submission_id").isNotNull() & ~F.col("submission_id").rlike("^[a-zA-Z0-9_-]{1,100}$"), "demo": F.coalesce(F.col("is_demo"), F.lit(False)),
     }
     return F.filter(F.array(*[F.when(bad, F.lit(code)) for code, bad in rules.items()]), lambda r: r.isNotNull())
 

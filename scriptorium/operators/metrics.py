@@ -2,29 +2,52 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
-from scriptorium.functions.align import edit_counts
+from scriptorium.functions.align import edit_counts, edit_distance
+
+
+#: Pairs whose table has more cells than this go to the bit-parallel distance in Arrow batches.
+NATIVE_CELLS = 200 * 200
+_SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
+
+
+@F.pandas_udf(IntegerType())
+def _long_edits(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else edit_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+
+@F.pandas_udf(IntegerType())
+def _long_word_edits(a: pd.Series, b: pd.Series) -> pd.Series:
+    split = lambda t: [w for w in _SPACE.split(t) if w]
+    return pd.Series([None if x is None else edit_distance(split(x), split(y)) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
 def char_edits(ref: Column | str, hyp: Column | str) -> Column:
-    """Levenshtein distance; equal texts, the common case, are settled without the table."""
+    """Levenshtein distance. Equal texts, the common case, are settled without a table and short ones
+    natively; only long ones reach Python."""
     a, b = (F.col(c) if isinstance(c, str) else c for c in (ref, hyp))
-    return F.when(a == b, 0).otherwise(F.levenshtein(a, b))
+    long = (a != b) & (F.length(a).cast("long") * F.length(b) > NATIVE_CELLS)
+    native = F.when(a == b, 0).when(~long, F.levenshtein(a, b))
+    return F.coalesce(native, _long_edits(F.when(long, a), F.when(long, b)))
 
 
 def word_edits(ref: Column, hyp: Column) -> Column:
-    """Levenshtein distance over words: each distinct word of the pair becomes one character."""
+    """Levenshtein distance over words: each distinct word of a short pair becomes one character."""
     a, b = _words(ref), _words(hyp)
     names = F.array_distinct(F.concat(a, b))
     # characters from U+4E00 on, through UTF-16 bytes, as chr() covers one byte only
     point = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(names, w) + 0x4E00), 4, "0")), "UTF-16BE")
     code = lambda x: F.array_join(F.transform(x, point), "")
-    return F.when(a == b, 0).otherwise(F.levenshtein(code(a), code(b)))
+    long = (ref != hyp) & (F.length(ref).cast("long") * F.length(hyp) > NATIVE_CELLS)
+    native = F.when(ref == hyp, 0).when(~long, F.when(a == b, 0).otherwise(F.levenshtein(code(a), code(b))))
+    return F.coalesce(native, _long_word_edits(F.when(long, ref), F.when(long, hyp)))
 
 
 def _words(col: Column) -> Column:
@@ -86,10 +109,10 @@ def metric_bundle(rows: DataFrame) -> DataFrame:
 
 
 def stratified(rows: DataFrame, group: str, flag: str) -> DataFrame:
-    """Error rates by ``group``, by ``flag`` and overall, in one pass of grouping sets."""
-    measured = rows.withColumns({"e": char_edits("ref", "hyp"), "c": F.length("ref")})
-    return measured.groupingSets([[F.col(group)], [F.col(flag)], []], F.col(group), F.col(flag)).agg(
-        F.count("*").alias("n"), F.sum("e").alias("edits"), F.round(F.sum("e") / F.sum("c"), 4).alias("cer")
+    """Error rates by ``group``, by ``flag`` and overall: one sum for each pair of them, then grouping sets."""
+    each = rows.groupBy(group, flag).agg(F.count("*").alias("k"), F.sum(char_edits("ref", "hyp")).alias("e"), F.sum(F.length("ref")).alias("c"))
+    return each.groupingSets([[F.col(group)], [F.col(flag)], []], F.col(group), F.col(flag)).agg(
+        F.sum("k").alias("n"), F.sum("e").alias("edits"), F.round(F.sum("e") / F.sum("c"), 4).alias("cer")
     )
 
 

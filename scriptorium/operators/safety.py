@@ -6,26 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def name_counts(rows: DataFrame, names: DataFrame) -> DataFrame:
-    """How often each name of ``names(name)`` stands in a row's reference and hypothesis, by an
-    equi-join on words."""
-    word = lambda c: F.explode(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9_ -]", ""), " +"))
-    sides = rows.select("doc_id", "line_no", F.lit(1).alias("r"), F.lit(0).alias("h"), word("ref").alias("name")).union(
-        rows.select("doc_id", "line_no", F.lit(0), F.lit(1), word("hyp"))
-    )
-    return sides.join(names, "name").groupBy("doc_id", "line_no", "name").agg(F.sum("r").alias("in_ref"), F.sum("h").alias("in_hyp"))
-
-
-def lasa_audit(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+def lasa_audit(rows: DataFrame, pairs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows whose reference has one name of a pair and not the other while the hypothesis has the
-    other, in either direction: doc_id, line_no, expected, found."""
+    other, in either direction: doc_id, line_no, expected, found, and the columns ``keep``.
+
+    One pass: the words of a reference meet the catalogue of names, which Spark broadcasts while it is
+    small; only rows with a name are looked at again.
+    """
     both = pairs.select(F.col("drug_a").alias("a"), F.col("drug_b").alias("b"))
     directed = both.union(both.select("b", "a")).distinct()
-    names = directed.select(F.col("a").alias("name")).distinct()
-    counts = name_counts(rows, names)
-    has = counts.filter("in_ref > 0").selectExpr("doc_id", "line_no", "name as a")
-    seen = counts.selectExpr("doc_id", "line_no", "name as b", "in_ref as b_ref", "in_hyp as b_hyp")
-    return has.join(directed, "a").join(seen, ["doc_id", "line_no", "b"]).filter("b_ref = 0 and b_hyp > 0").select("doc_id", "line_no", F.col("a").alias("expected"), F.col("b").alias("found"))
+    clean = lambda c: F.split(F.regexp_replace(F.lower(c), "[^a-z0-9_ -]", ""), " +")
+    words = rows.select("doc_id", "line_no", *keep, F.array_distinct(clean("ref")).alias("rw"), clean("hyp").alias("hw"))
+    hit = words.select("*", F.explode("rw").alias("a")).join(directed, "a")
+    found = hit.filter(~F.array_contains("rw", F.col("b")) & F.array_contains("hw", F.col("b")))
+    return found.select("doc_id", "line_no", *keep, F.col("a").alias("expected"), F.col("b").alias("found"))
 
 
 def lasa_near_miss(rows: DataFrame, pairs: DataFrame) -> DataFrame:

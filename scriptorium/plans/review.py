@@ -111,12 +111,21 @@ def agg15(spark, d):
 
 
 @query("snk2_token_csv_export", """
-SELECT doc_id, line_no, word_no, '"' || doc_id || '","' || page_no || '","' || line_no || '","' || word_no || '","' || CASE WHEN regexp_matches(text, '^[=+@-]') THEN '''' ELSE '' END || replace(text, '"', '""') || '","'
-  || CASE WHEN confidence IS NULL THEN '' ELSE printf('%.4f', confidence) END || '"' AS row FROM words""", "words")
+WITH w AS (SELECT doc_id::VARCHAR AS doc_id, page_no::VARCHAR AS page, (line_no + 1)::VARCHAR AS line_number, 'L' || line_no AS line_id, '-' || word_no AS w, confidence, text, word_no % 7 = 0 AS e, line_no, word_no FROM words)
+SELECT doc_id, page, line_number, line_id, '''' || w AS word_id, CASE WHEN confidence IS NOT NULL THEN printf('%.4f', confidence) END AS confidence,
+  CASE WHEN regexp_matches(text, '^[=+@-]') THEN '''' ELSE '' END || text || CASE WHEN e THEN '!' ELSE '' END AS text,
+  CASE WHEN regexp_matches(text, '^[=+@-]') THEN '''' ELSE '' END || text AS original_text, CASE WHEN e THEN 'TRUE' ELSE 'FALSE' END AS is_edited,
+  printf('%.5f', (line_no % 20) / 20.0::DOUBLE) AS ymin, printf('%.5f', (word_no % 10) / 10.0::DOUBLE) AS xmin, printf('%.5f', (line_no % 20 + 1) / 20.0::DOUBLE) AS ymax, printf('%.5f', (word_no % 10 + 1) / 10.0::DOUBLE) AS xmax FROM w""", "words")
 def snk2(spark, d):
+    words = Views(spark, d).words.selectExpr(
+        "doc_id", "page_no as page", "line_no + 1 as line_number", "concat('L', line_no) as line_id", "concat('-', word_no) as word_id", "confidence",
+        "case when word_no % 7 = 0 then concat(text, '!') else text end as text", "text as original_text", "word_no % 7 = 0 as is_edited",
+        "(line_no % 20) / 20.0D as ymin", "(word_no % 10) / 10.0D as xmin", "(line_no % 20 + 1) / 20.0D as ymax", "(word_no % 10 + 1) / 10.0D as xmax",
+    )
     path = f"{scratch(spark)}/tokens-{uuid.uuid4().hex}"
-    D.token_export(Views(spark, d).words).write.json(path)
-    return spark.read.schema("doc_id long, line_no long, word_no long, row string").json(path)
+    options = {"header": True, "quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    D.token_export(words).write.options(**options).csv(path)
+    return spark.read.schema(D.TOKEN_EXPORT).options(**options).csv(path)
 
 
 @query("snk3_document_export", r"""
@@ -159,7 +168,7 @@ def flt3(spark, d):
 
 @query("prj4_line_text_repair")
 def prj4(spark, d):
-    lines = Views(spark, d).lines.selectExpr("doc_id", "line_no", "concat(text, case line_no % 5 when 0 then ' .' when 1 then ' DICKD.' when 2 then ', Which' when 3 then '...' else ' x' end) as text")
+    lines = Views(spark, d).lines.selectExpr("doc_id", "line_no", "concat(text, case line_no % 5 when 0 then ' .' when 1 then ' MARIANB.' when 2 then ', Which' when 3 then '...' else ' x' end) as text")
     fixed = P.repair(lines)
     # counted without exploding: a filter on the rules' outcome would be pushed through every rule
     counts = fixed.agg(*[F.count_if(F.array_contains("fixes", r[0])).alias(r[0]) for r in P.REPAIRS])

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 class Views:
-    """Lazily defined views of one data folder. Texts are reduced to printable ASCII."""
+    """Lazily defined views of one data folder. Texts keep all characters but control characters."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -17,7 +17,7 @@ class Views:
 
     @property
     def lines(self) -> DataFrame:
-        clean = F.trim(F.regexp_replace(F.regexp_replace("raw", r"[^\x20-\x7E]", ""), " +", " "))
+        clean = F.trim(F.regexp_replace(F.regexp_replace("raw", r"[\x00-\x1F\x7F]", ""), " +", " "))
         split = spread(self.table("documents")).select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
         return split.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "lang", "source", clean.alias("text")).filter("text <> ''")
 
@@ -26,7 +26,7 @@ class Views:
         return self.lines.selectExpr(
             "doc_id", "line_no", "lang", "source", "text as ref",
             """case (doc_id * 31 + line_no) % 5 when 0 then text when 1 then replace(replace(text, 'rn', 'm'), 'in', 'm') when 2 then replace(text, 'e', 'c')
-               when 3 then case when length(text) > 4 then left(text, length(text) - 2) else text end else upper(text) end as hyp""",
+               when 3 then case when length(text) > 4 then left(text, length(text) - 2) else text end else translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') end as hyp""",
         )
 
     @property
@@ -73,6 +73,16 @@ class Views:
         top = counted.orderBy(F.desc("count"), "key").limit(40).groupBy().agg(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), "key"))).alias("k"))
         return top.select(F.explode(F.sequence(F.lit(0), F.size("k") - 2, F.lit(2))).alias("i"), "k").selectExpr("k[i].key as drug_a", "k[i + 1].key as drug_b")
 
+    @property
+    def swapped(self) -> DataFrame:
+        """``ref_hyp`` in which hypotheses have one name for another: document k swaps pair k % 20."""
+        order = F.row_number().over(Window.orderBy("drug_a")) - 1  # twenty rows
+        pairs = self.pairs.select(order.alias("pair"), "drug_a", "drug_b")
+        rows = self.ref_hyp.withColumn("pair", (F.col("doc_id") % 20).cast("int")).join(pairs, "pair", "left")
+        padded = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
+        swap = F.trim(F.replace(padded("hyp"), padded("drug_a"), padded("drug_b")))
+        return rows.withColumn("hyp", F.coalesce(swap, "hyp")).drop("pair", "drug_a", "drug_b")
+
     @property
     def words(self) -> DataFrame:
         split = self.lines.select("doc_id", "line_no", F.posexplode(F.split("text", " ")).alias("w", "text"))

@@ -2,24 +2,34 @@
 
 from __future__ import annotations
 
+#: DuckDB's levenshtein compares bytes. The letters of the tables' four languages beyond ASCII become control
+#: characters, which no line holds, so that a character is a byte.
+ACCENTED = "ÀÁÂÄÇÈÉÊÍÑÓÖÚÜßàáâäçèéêíñóöúü"
+_PLAIN = " || ".join(f"chr({k})" for k in [*range(1, 32), 127][: len(ACCENTED)])
+
+
+def distance(a: str, b: str) -> str:
+    return f"levenshtein(translate({a}, '{ACCENTED}', {_PLAIN}), translate({b}, '{ACCENTED}', {_PLAIN}))"
+
+
 #: name: (views it uses, body)
 VIEWS: dict[str, tuple[str, str]] = {
     "lines": (
         "",
         r"""SELECT doc_id, line_no, lang, source, text FROM (
   SELECT doc_id, lang, source, generate_subscripts(p, 1) - 1 AS line_no,
-    trim(regexp_replace(regexp_replace(unnest(p), '[^\x20-\x7E]', '', 'g'), ' +', ' ', 'g')) AS text
+    trim(regexp_replace(regexp_replace(unnest(p), '[\x00-\x1F\x7F]', '', 'g'), ' +', ' ', 'g')) AS text
   FROM (SELECT doc_id, lang, source, string_split(text, chr(10)) AS p FROM documents)) WHERE text <> ''""",
     ),
     "ref_hyp": (
         "lines",
         """SELECT doc_id, line_no, lang, source, text AS ref, CASE (doc_id * 31 + line_no) % 5 WHEN 0 THEN text
   WHEN 1 THEN replace(replace(text, 'rn', 'm'), 'in', 'm') WHEN 2 THEN replace(text, 'e', 'c')
-  WHEN 3 THEN CASE WHEN length(text) > 4 THEN left(text, length(text) - 2) ELSE text END ELSE upper(text) END AS hyp FROM lines""",
+  WHEN 3 THEN CASE WHEN length(text) > 4 THEN left(text, length(text) - 2) ELSE text END ELSE translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') END AS hyp FROM lines""",
     ),
     "scored": (
         "ref_hyp",
-        """SELECT *, levenshtein(ref, hyp) AS edits, length(ref) AS ref_chars, levenshtein(lower(ref), lower(hyp)) AS edits_uncased FROM ref_hyp""",
+        f"""SELECT *, {distance("ref", "hyp")} AS edits, length(ref) AS ref_chars, {distance("lower(ref)", "lower(hyp)")} AS edits_uncased FROM ref_hyp""",
     ),
     "stage_hyp": (
         "ref_hyp",
@@ -51,6 +61,11 @@ VIEWS: dict[str, tuple[str, str]] = {
         "tokens",
         """SELECT drug_a, drug_b FROM (SELECT key AS drug_a, lead(key) OVER (ORDER BY n DESC, key) AS drug_b, row_number() OVER (ORDER BY n DESC, key) AS r
   FROM (SELECT key, count(*) AS n FROM tokens WHERE length(key) >= 4 AND regexp_matches(key, '^[a-z]+$') GROUP BY key)) WHERE r % 2 = 1 AND r <= 40 AND drug_b IS NOT NULL""",
+    ),
+    "swapped": (
+        "ref_hyp pairs",
+        """SELECT doc_id, line_no, lang, source, ref, coalesce(trim(replace(' ' || hyp || ' ', ' ' || drug_a || ' ', ' ' || drug_b || ' ')), hyp) AS hyp
+  FROM ref_hyp LEFT JOIN (SELECT row_number() OVER (ORDER BY drug_a) - 1 AS pair, drug_a, drug_b FROM pairs) p ON doc_id % 20 = pair""",
     ),
     "words": (
         "lines",

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
-from scriptorium.functions.align import align, edit_counts, osa_distance
+from scriptorium.functions.align import align, edit_counts, edit_distance, osa_distance
 from scriptorium.operators import confusion, curation, documents, feedback, lexicon, metrics, pages, safety
 
 
@@ -33,6 +33,38 @@ def test_edit_counts_add_up():
         assert s + d + h == len(a) and s + i + h == len(b) and s + d + i == lev(a, b)
 
 
+def test_edit_distance():
+    for a, b in random_pairs(400, 7):
+        assert edit_distance(a, b) == lev(a, b) == edit_distance(list(a), list(b))
+
+
+def test_long_pairs_match_plain_ones(spark):
+    r = random.Random(8)
+    text = lambda n: " ".join("".join(r.choice("abé") for _ in range(r.randrange(1, 4))) for _ in range(n))
+    pairs = [(a := text(150), a[:200] + "x y" + a[230:]), (text(120), text(100)), (text(90), ""), ("", text(90))]
+    got = metrics.error_rates(spark.createDataFrame(pairs, "ref string, hyp string")).first()
+    assert got.char_edits == sum(lev(a, b) for a, b in pairs) and got.word_edits == sum(lev(a.split(), b.split()) for a, b in pairs)
+
+
+def test_replay_cycles_differ(spark):
+    pool = lambda p, n: spark.createDataFrame([(f"{p}{k}",) for k in range(n)], "key string")
+    rows = curation.replay_batches(pool("f", 6), pool("a", 60), 8, 0.25).collect()
+    cycles = {}
+    for x in sorted((x for x in rows if x.pool == "feedback"), key=lambda x: x.batch):
+        cycles.setdefault(x.cycle, []).append(x.key)
+    whole = [tuple(c) for c in cycles.values() if len(c) == 6]
+    assert len(whole) == 3 and all(set(c) == set(whole[0]) for c in whole)
+    batches = lambda **more: len({x.batch for x in curation.replay_batches(pool("f", 6), pool("a", 61), 8, 0.25, **more).collect()})
+    assert (batches(), batches(drop_last=True), batches(max_batches=4)) == (11, 10, 4)
+
+
+def test_feedback_without_a_submission_id_passes(spark):
+    row = (None, "d", "a", "b", 0.5, False)
+    rows = spark.createDataFrame([row, ("bad id!", *row[1:])], "submission_id string, document_id string, original string, correction string, confidence double, is_demo boolean")
+    good, bad = feedback.validate(rows)
+    assert good.count() == 1 and bad.first().reasons == ["bad_submission_id"]
+
+
 def test_osa_distance():
     assert osa_distance("ca", "abc") == 3 and osa_distance("ab", "ba") == 1 and osa_distance("", "ab") == 2
     for a, b in random_pairs(200, 2):
@@ -188,9 +220,24 @@ def test_loops_are_cut(spark):
 
 
 def test_repairs(spark):
-    rows = spark.createDataFrame([("It ended ... ",), ("Dear me DICKD.",), ("the end , Which",), ("a plain line",)], "text string")
-    got = [r.text for r in pages.repair(rows).collect()]
-    assert got == ["It ended.", "Dear me Dick D.", "the end, which", "a plain line"]
+    texts = ["It ended ... ", "Dear me MARIANB.", "the end , Which", "a plain line", "yours truly Marian B.", "the dog 's bone's s end x", 'he  said "', "MARIANB", None, "Then Paul Said so"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    got = [r.text for r in pages.repair(rows).orderBy("k").collect()]
+    assert got == ["It ended.", "Dear me. Marian B.", "the end, which", "a plain line", "yours truly. Marian B.", "the dog's bone's end x", "he said", "Marian B.", None, "Then Paul said so"]
+    assert [r.fixes for r in pages.repair(rows).orderBy("k").collect()][3] == []
+
+
+def test_continued_lines(spark):
+    page = ["the end of the af-", "ter noon. it was.", "a good day in the", "Big city was bright today", 'And "so it ended']
+    rows = spark.createDataFrame([(1, k, t) for k, t in enumerate(page)], "page int, line int, text string")
+    got = [r.fixed for r in pages.continue_lines(rows).orderBy("line").collect()]
+    assert got == ["the end of the after", "noon. it was.", "a good day in the", "Big city was bright today.", 'And "so it ended."']
+
+
+def test_page_cleanup(spark):
+    page = ["First we went to the market.", "Ann B.", "x", "First we went to the market.", "zz top", "market day", "edit", "and then First we went to the market. again we bought bread"]
+    rows = spark.createDataFrame([(1, k, t) for k, t in enumerate(page)], "page long, line long, text string")
+    assert [r.line for r in pages.finalize(rows).orderBy("line").collect()] == [0, 1, 5, 7]
 
 
 def test_noise_lines(spark):
