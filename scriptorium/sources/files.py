@@ -6,10 +6,14 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+_own: dict[str, str] = {}
+
 
 def scratch(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the cluster names; one of our own only on a local master."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or _own.get("dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = _own["dir"] = "file://" + tempfile.mkdtemp(prefix="spark-")
     return found
