@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from scriptorium.sources import catalogs as K
 from scriptorium.sources import readers as R
 from scriptorium.sources.files import scratch
 
@@ -18,27 +19,74 @@ def _folder(spark, name: str) -> str:
 
 
 @query("src1_manifest_ingest", r"""
-SELECT 'd' || doc_id AS sample_id, 'img/' || doc_id || '.png' AS image_path, CASE WHEN doc_id % 3 = 0 THEN lang || ' 5mg' || chr(10) || 'Sig: ' || source || chr(10) || 'Disp: #30 Refills: 0' ELSE text END AS full_text, lang AS category
-FROM documents WHERE doc_id % 5 <> 4""")
+SELECT 'd' || doc_id AS sample_id, 'img/' || doc_id || '.png' AS image_path,
+  CASE WHEN doc_id % 3 = 0 THEN lang || ' 5mg' || chr(10) || 'Sig: ' || source || chr(10) || 'Disp: #30 Refills: ' || CASE WHEN doc_id % 2 = 0 THEN '0' ELSE '2' END ELSE text END AS full_text,
+  lang AS category, CASE WHEN lang <> 'en' THEN 'en' END AS template_category, source, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE md5(text) END AS text_md5 FROM documents WHERE doc_id % 5 <> 4""")
 def src1(spark, d):
+    """The documents as JSON lines, with items as objects for even ids and as lists for odd ones."""
     path = _folder(spark, "manifest")
     rows = Views(spark, d).table("documents").selectExpr(
         "case when doc_id % 2 = 0 then concat('d', doc_id) end as sample_id", "concat('d', doc_id) as id", "concat('img/', doc_id, case when doc_id % 5 = 4 then '_syn.png' else '.png' end) as image",
-        "case when doc_id % 3 <> 0 then text end as full_text", "lang as category", "array(named_struct('name', lang, 'strength', '5mg', 'instructions', source, 'disp', '#30', 'refills', '')) as items",
+        "case when doc_id % 3 <> 0 then text end as text", "lang as category", "source", "map('category', 'en', 'source', 'other') as metadata",
+        "case when doc_id % 2 = 0 then array(named_struct('name', lang, 'strength', '5mg', 'instructions', source, 'disp', '#30')) end as items",
+        "case when doc_id % 2 = 1 then array(array(lang, '5mg', source, '#30', '2')) end as medications",
     )
     rows.write.json(path)
-    return R.read_manifest(spark, path).select("sample_id", "image_path", "full_text", F.col("metadata")["template_category"].alias("category"))
+    meta = F.col("metadata")
+    return R.read_manifest(spark, path).select("sample_id", "image_path", "full_text", meta["category"].alias("category"), meta["template_category"].alias("template_category"), meta["source"].alias("source"), F.md5(meta["text"]).alias("text_md5"))
+
+
+@query("src1_manifest_csv", "SELECT 'd' || doc_id AS sample_id, text AS full_text, lang AS category FROM documents")
+def src1_csv(spark, d):
+    path = _folder(spark, "manifest-csv")
+    rows = Views(spark, d).table("documents").selectExpr("concat('d', doc_id) as id", "text", "lang as category", "'' as image")
+    rows.write.options(header=True, quoteAll=True, escape='"').csv(path)
+    return R.read_manifest(spark, path, multi_line=True, form="csv").select("sample_id", "full_text", F.col("metadata")["category"].alias("category"))
+
+
+@query("src4_nested_catalogs", """
+WITH g AS (SELECT p_name AS generic, bool_or(p_partkey % 7 = 0) AS lasa FROM part GROUP BY p_name), e AS (
+  SELECT 0 AS o, generic AS word, 2.0 + CASE WHEN lasa THEN 0.5 ELSE 0 END AS weight, 'medication_generic' AS kind FROM g
+  UNION ALL SELECT DISTINCT 0, p_brand, 1.5, 'medication_brand' FROM part
+  UNION ALL SELECT 1, r_name, 3.0, 'direction' FROM region
+  UNION ALL SELECT 2, n_name, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey / 10.0 ELSE 4.0 END, 'client' FROM nation),
+  k AS (SELECT *, regexp_replace(lower(trim(word)), '[^a-z0-9 _-]', '', 'g') AS key FROM e)
+SELECT key, min_by(word, (o, word)) AS word, max(weight)::DOUBLE AS weight, max_by(kind, (o, word)) AS kind FROM k WHERE key <> '' GROUP BY key""")
+def src4_nested(spark, d):
+    """Catalogues written as the nested documents that the readers take, one for each kind."""
+    v, path = Views(spark, d), _folder(spark, "catalogs")
+    meds = v.table("part").groupBy(F.col("p_name").alias("generic_name")).agg(F.bool_or(F.col("p_partkey") % 7 == 0).alias("is_lasa"), F.collect_set("p_brand").alias("brand_names"))
+    meds.groupBy(F.pmod(F.xxhash64("generic_name"), F.lit(8)).alias("h")).agg(F.collect_list(F.struct("generic_name", "is_lasa", "brand_names")).alias("medications")).write.partitionBy("h").json(f"{path}/m")
+    v.table("region").agg(F.collect_list(F.struct(F.col("r_name").alias("code"))).alias("codes")).write.json(f"{path}/d")
+    prior = F.when(F.col("n_nationkey") % 2 == 0, F.col("n_nationkey") / 10)
+    v.table("nation").agg(F.collect_list(F.struct(F.col("n_name").alias("name"), prior.alias("confidence_prior"))).alias("entities")).write.json(f"{path}/c")
+    merged = K.merge_catalogs(K.read_medications(spark, f"{path}/m"), K.read_directions(spark, f"{path}/d"), K.read_clients(spark, f"{path}/c"))
+    return merged.select("key", "word", "weight", F.col("metadata")["type"].alias("kind"))
+
+
+@query("src3_private_labels", "SELECT count(*) FILTER (doc_id % 4 <> 3) AS labels, count(*) FILTER (doc_id % 4 = 3) AS put_aside, count(*) FILTER (doc_id % 4 = 1) AS corrected FROM lines", "lines")
+def src3_private(spark, d):
+    path = _folder(spark, "private")
+    cells = F.concat_ws("\t", F.concat("doc_id", F.lit(".png")), "text", "source", "lang", F.lit("0 0 1 1"))
+    last = F.element_at(F.array(F.lit("\t0"), F.lit("\tYes"), F.lit("\tno"), F.lit("")), (F.col("doc_id") % 4 + 1).cast("int"))
+    Views(spark, d).lines.select(F.concat(cells, last).alias("value")).write.text(path)
+    good, bad = R.read_private_labels(spark, path)
+    counts = good.agg(F.count("*").alias("labels"), F.count_if("human_corrected").alias("corrected"))
+    return counts.crossJoin(bad.agg(F.count("*").alias("put_aside")))  # a row each
 
 
 @query("src2_line_index_ingest", """
-SELECT 'f' || (doc_id % 9) || '-' || doc_id || '-' || line_no AS line_id, 'f' || (doc_id % 9) || '-' || doc_id AS form_id, doc_id::VARCHAR AS writer, line_no % 50 AS x, replace(text, '|', ' ') AS text FROM lines""", "lines")
+SELECT 'f' || (doc_id % 9) || '-' || doc_id || '-' || line_no AS line_id, 'f' || (doc_id % 9) || '-' || doc_id AS form_id, CASE WHEN doc_id % 2 = 0 THEN 'w' || source ELSE doc_id::VARCHAR END AS writer, line_no % 50 AS x, replace(text, '|', ' ') AS text FROM lines""", "lines")
 def src2(spark, d):
     path = _folder(spark, "lines")
     rows = Views(spark, d).lines
     line = F.concat(F.lit("f"), F.col("doc_id") % 9, F.lit("-"), F.col("doc_id"), F.lit("-"), F.col("line_no"))
     value = F.concat_ws(" ", line, F.lit("ok"), F.lit("154"), F.lit("19"), F.col("line_no") % 50, F.lit("1"), F.lit("2"), F.lit("x"), F.replace("text", F.lit(" "), F.lit("|")))
     rows.select(value.alias("value")).write.text(path)
-    found = R.read_line_index(spark, path)
+    form = F.concat(F.lit("f"), F.col("doc_id") % 9, F.lit("-"), "doc_id")
+    forms = F.concat_ws(" ", form, F.concat(F.lit("w"), F.replace("source", F.lit(" "), F.lit("_"))), F.lit("2"))
+    Views(spark, d).table("documents").filter("doc_id % 2 = 0").select(forms.alias("value")).write.text(f"{path}-forms")
+    found = R.with_forms(R.read_line_index(spark, path), R.read_forms(spark, f"{path}-forms"))
     return found.select("line_id", "form_id", "writer", F.col("x").cast("long").alias("x"), "text")
 
 
@@ -55,10 +103,10 @@ SELECT conv_id || ':' || turn AS feedback_id, 'crop/' || conv_id AS crop, text F
 def src5(spark, d):
     path = _folder(spark, "feedback")
     rows = Views(spark, d).table("conversations").filter("role <> 'system'").selectExpr(
-        "concat(conv_id, ':', turn) as id", "concat('crop/', conv_id) as crop_path", "text as correction", "(conv_id + turn) % 7 = 0 as evaluation_only"
+        "concat(conv_id, ':', turn) as sample_id", "concat('crop/', conv_id) as relative_image_path", "text as ground_truth", "(conv_id + turn) % 7 = 0 as evaluation_only"
     )
     lines = rows.select(F.to_json(F.struct("*")).alias("value"))
-    lines.union(rows.filter("evaluation_only").selectExpr("concat('{broken ', id)")).write.text(path)
+    lines.union(rows.filter("evaluation_only").selectExpr("concat('{broken ', sample_id)")).write.text(path)
     return R.read_feedback(spark, path)[0]
 
 
@@ -70,9 +118,12 @@ def src6(spark, d):
     return R.read_metric_log(spark, path)
 
 
-@query("src7_asset_inventory")
+@query("src7_asset_inventory", """
+SELECT ['pdf', 'bmp', 'webp', 'tiff', 'unknown'][doc_id % 5 + 1] AS format, count(DISTINCT doc_id % 40) AS files, sum([5, 2, 4, 4, 1][doc_id % 5 + 1] + strlen(replace(text, chr(10), ' ')) + 1)::BIGINT AS bytes, 0 AS too_small FROM documents GROUP BY 1""")
 def src7(spark, d):
+    """The documents in files of five formats, told apart by their leading bytes; the tests have a PNG."""
     path = _folder(spark, "assets")
-    # each document as a file of its own in one of several shapes
-    Views(spark, d).table("documents").select(F.concat(F.lit("%PDF "), F.coalesce("text", F.lit(""))).alias("value"), "lang").write.partitionBy("lang").option("lineSep", "\n%%EOF\n").text(path)
+    head = F.element_at(F.array(*[F.lit(h) for h in ("%PDF-", "BM", "RIFF", "II*\u0000", "?")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    rows = Views(spark, d).table("documents").select(F.concat(head, F.translate("text", "\n", " ")).alias("value"), (F.col("doc_id") % 40).alias("file"))
+    rows.repartition("file").write.partitionBy("file").text(path)
     return R.asset_inventory(spark, f"{path}/*/*.txt").groupBy("format").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.count_if("too_small").alias("too_small"))

@@ -2,59 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .manifests import first_of, read_manifest
 
-def first_of(*names: str) -> Column:
-    """The first value that is neither null nor empty."""
-    return F.coalesce(*[F.nullif(F.col(n), F.lit("")) for n in names])
-
-
-MANIFEST = (
-    "sample_id string, id string, image_path string, image string, full_text string, text string, category string, writer_id string, "
-    "items array<struct<medication:string,name:string,dosage:string,strength:string,sig:string,instructions:string,dispense:string,disp:string,refills:string>>, metadata map<string,string>"
-)
-
-
-def read_manifest(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Sample manifests as JSON lines, or one JSON list with ``multi_line``: aliases are resolved, a
-    missing text is rebuilt from the items, and synthetic rows are left out."""
-    raw = spark.read.schema(MANIFEST).option("multiLine", multi_line).json(path)
-    pick = lambda x, a, b: F.coalesce(F.nullif(x[a], F.lit("")), x[b], F.lit(""))
-    items = F.transform(
-        F.coalesce("items", F.array().cast(raw.schema["items"].dataType)),
-        lambda x: F.struct(
-            pick(x, "medication", "name").alias("medication"), pick(x, "dosage", "strength").alias("dosage"), pick(x, "sig", "instructions").alias("sig"),
-            pick(x, "dispense", "disp").alias("dispense"), F.coalesce(F.nullif(x["refills"], F.lit("")), F.lit("0")).alias("refills"),
-        ),
-    )
-    rebuilt = F.array_join(
-        F.transform("items", lambda x: F.concat(x["medication"], F.lit(" "), x["dosage"], F.lit("\nSig: "), x["sig"], F.lit("\nDisp: "), x["dispense"], F.lit(" Refills: "), x["refills"])), "\n"
-    )
-    rows = raw.withColumn("items", items).select(
-        first_of("sample_id", "id").alias("sample_id"), first_of("image_path", "image").alias("image_path"), F.coalesce(first_of("full_text", "text"), rebuilt).alias("full_text"),
-        "writer_id", "items",
-        F.map_concat(F.coalesce("metadata", F.create_map().cast("map<string,string>")), F.when(F.col("category").isNotNull(), F.create_map(F.lit("template_category"), F.col("category"))).otherwise(F.create_map().cast("map<string,string>"))).alias("metadata"),
-    )
-    return rows.filter(~F.coalesce(F.endswith("image_path", F.lit("_syn.png")), F.lit(False)))
+__all__ = ["asset_inventory", "read_feedback", "read_forms", "read_labels", "read_line_index", "read_manifest", "read_metric_log", "read_private_labels", "with_forms"]
 
 
 def read_line_index(spark: SparkSession, path: str) -> DataFrame:
-    """Space-delimited line indexes: comments, blanks and short rows are skipped, bars are spaces, and
-    numbers that are none are 0."""
+    """Space-delimited line indexes: comments, blanks and rows of fewer than eight fields are skipped, bars
+    are spaces, numbers that are none are 0, and a row without words has an empty text."""
     f = F.split("value", " ")
     number = lambda k: F.coalesce(F.get(f, F.lit(k)).try_cast("int"), F.lit(0))
-    rows = spark.read.text(path).filter(~F.startswith("value", F.lit("#")) & (F.trim("value") != "") & (F.size(f) > 8))
+    rows = spark.read.text(path).filter(~F.startswith("value", F.lit("#")) & (F.trim("value") != "") & (F.size(f) >= 8))
     line = F.get(f, F.lit(0))
     return rows.select(
         line.alias("line_id"), F.get(f, F.lit(1)).alias("status"), number(2).alias("threshold"), number(3).alias("components"),
         *[number(k).alias(n) for k, n in ((4, "x"), (5, "y"), (6, "w"), (7, "h"))],
-        F.replace(F.array_join(F.slice(f, F.lit(9), F.size(f)), " "), F.lit("|"), F.lit(" ")).alias("text"),
+        F.replace(F.array_join(F.slice(f, F.lit(9), F.greatest(F.size(f) - 8, F.lit(0))), " "), F.lit("|"), F.lit(" ")).alias("text"),
         F.substring_index(line, "-", 2).alias("form_id"), F.get(F.split(line, "-"), F.lit(1)).alias("writer"),
     )
 
 
+def read_forms(spark: SparkSession, path: str) -> DataFrame:
+    """form_id, form_writer of a space-delimited list of forms; comments, blanks and short rows are skipped."""
+    f = F.split(F.trim("value"), " ")
+    rows = spark.read.text(path).filter(~F.startswith(F.trim("value"), F.lit("#")) & (F.size(f) >= 2))
+    # of a form that is listed twice the last writer would hold; rows of a split file have no order, so the largest does
+    return rows.select(F.get(f, F.lit(0)).alias("form_id"), F.get(f, F.lit(1)).alias("writer")).groupBy("form_id").agg(F.max("writer").alias("form_writer"))
+
+
+def with_forms(lines: DataFrame, forms: DataFrame) -> DataFrame:
+    """Lines with the writer of their form where the forms know it."""
+    return lines.join(forms, "form_id", "left").withColumn("writer", F.coalesce("form_writer", "writer")).drop("form_writer")
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """``filename<TAB>text`` labels, split on the first tab only; rows without a tab are not labels."""
     parts = F.split("value", "\t", 2)
@@ -63,13 +46,34 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(name.alias("filename"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), F.get(parts, F.lit(1)).alias("text"))
 
 
-def read_feedback(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(corrections, malformed lines). Aliases are resolved and evaluation-only rows left out."""
-    schema = "feedback_id string, id string, image_crop_path string, crop_path string, image string, operator_correction string, correction string, text string, is_demo boolean, evaluation_only boolean, bad string"
-    raw = spark.read.schema(schema).options(mode="PERMISSIVE", columnNameOfCorruptRecord="bad").json(path)
+PRIVATE = ["filename", "text", "source_id", "writer_hash", "crop_box", "human_corrected"]
+
+
+def read_private_labels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(labels, rows put aside) of tab-separated labels with six fields; rows with fewer are put aside."""
+    f = F.split("value", "\t")
+    raw = spark.read.text(path).filter(F.trim("value") != "")
+    rows = raw.filter(F.size(f) >= len(PRIVATE)).select(*[F.get(f, F.lit(k)).alias(c) for k, c in enumerate(PRIVATE)])
+    yes = F.lower(F.trim("human_corrected")).isin("1", "true", "yes")
+    return rows.withColumn("human_corrected", yes), raw.filter(F.size(f) < len(PRIVATE))
+
+
+def read_feedback(spark: SparkSession, path: str, max_samples: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(corrections, malformed lines). Aliases are resolved and evaluation-only rows left out; at most
+    ``max_samples`` corrections, those of the smallest ids, are kept where that is given."""
+    names = {
+        "feedback_id": ("feedback_id", "sample_id", "id"),
+        "crop": ("line_crop", "crop_path", "image_path", "relative_image_path", "image_crop_path", "image"),
+        "text": ("operator_correction", "text", "transcription", "ground_truth", "label", "correction"),
+    }
+    fields = ", ".join(f"{c} string" for of in names.values() for c in of)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"}
+    record = F.from_json("value", f"{fields}, is_demo boolean, evaluation_only boolean, bad string", options)
+    raw = spark.read.text(path).filter(F.trim("value") != "").select(record.alias("r")).select("r.*")
     good = raw.filter("bad is null and not coalesce(is_demo, false) and not coalesce(evaluation_only, false)")
-    picked = good.select(first_of("feedback_id", "id").alias("feedback_id"), first_of("image_crop_path", "crop_path", "image").alias("crop"), first_of("operator_correction", "correction", "text").alias("text"))
-    return picked.filter("text is not null"), raw.filter("bad is not null").select("bad")
+    picked = good.select(*[first_of(*of).alias(c) for c, of in names.items()]).filter("text is not null")
+    picked = picked if max_samples is None else picked.orderBy("feedback_id", "crop", "text").limit(max_samples)
+    return picked, raw.filter("bad is not null").select("bad")
 
 
 def read_metric_log(spark: SparkSession, path: str) -> DataFrame:
