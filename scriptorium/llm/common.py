@@ -22,17 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: The scratch tables of each ``settle`` that runs, the innermost last.
 _open: list[list[DataFrame]] = []
+#: The folder of a local master without the setting.
+_own: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names. A folder of our own only on a local master, where
     driver and executors are one machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or _own.get("dir")
     if not found:
-        if not spark.sparkContext.master.split("[")[0] == "local":
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own["dir"] = "file://" + tempfile.mkdtemp(prefix="spark-")
     return found
 
 
