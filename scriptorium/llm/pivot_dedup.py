@@ -1,7 +1,7 @@
 """Near-duplicate vectors through a pivot-permutation index.
 
 A vector is described by its nearest reference points in order. Inverted lists hold, for each
-label and pivot, the vectors that have the pivot among their nearest. Two vectors that share at
+label and pivot, the classes of equal vectors that have the pivot among their nearest. Two that share at
 least ``MIN_SHARED`` pivots are verified by cosine in double precision, once: in the list of the
 smallest pivot they share. Lists longer than a block are dealt as pairs of blocks, and only sums and
 spanning links leave a block, never its pairs.
@@ -23,96 +23,99 @@ THRESHOLD = 0.93
 #: Nearest pivots that describe a vector, and how many of them a candidate pair must share.
 NEAREST = 8
 MIN_SHARED = 2
-#: Pivots: one for each so many vectors, within bounds that keep them broadcastable.
+#: Pivots: one for each so many distinct vectors, within bounds that keep them broadcastable: the most are
+#: 8 MB at 64 dimensions. Of pairs at a cosine of exactly 0.93 there, 8 nearest pivots share 2 in all cases
+#: with 64 pivots, in 0.991 with 2,048 and in 0.970 with 16,384.
 VECTORS_PER_PIVOT = 400
-PIVOTS = (64, 2048)
+PIVOTS = (64, 16_384)
 BLOCK = 1024
 
 
-def choose_pivots(vectors: DataFrame, n_vectors: int) -> np.ndarray:
-    """Reference points: a bounded sample of the distinct directions by hash of the id."""
-    k = int(min(max(n_vectors // VECTORS_PER_PIVOT, PIVOTS[0]), PIVOTS[1]))
-    rows = vectors.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(2 * k).select("vector").toPandas()["vector"]
-    found, width = [], max(map(len, rows), default=0)
+def choose_pivots(classes: DataFrame, n_classes: int) -> np.ndarray:
+    """Reference points: a bounded sample of the distinct directions by hash of the class."""
+    k = int(min(max(n_classes // VECTORS_PER_PIVOT, PIVOTS[0]), PIVOTS[1]))
+    rows = classes.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(2 * k).select("vector").toPandas()["vector"]
+    width = max(map(len, rows), default=0)
+    found, n = np.zeros((min(k, len(rows)), width)), 0
     for row in rows:
-        v = np.asarray(row, float)
-        v = np.pad(v, (0, width - len(v)))
+        v = np.pad(np.asarray(row, float), (0, width - len(row)))
         # near copies of a pivot would only split its list
-        if not found or max(np.dot(p, v) for p in found) < THRESHOLD:
-            found.append(v)
-    return np.array(found[:k]) if found else np.zeros((0, 0))
+        if n < len(found) and (not n or (found[:n] @ v).max() < THRESHOLD):
+            found[n] = v
+            n += 1
+    return found[:n]
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
-    """Rows that can link, as unit vectors: id, label, vector (array of double)."""
+    """Rows that can link, as unit vectors: id, label, vector (array of double). Vectors are scaled by
+    their largest component first, so that no finite one is lost to overflow or underflow."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    squares = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     rows = vectors.filter(F.col("embedding").isNotNull() & F.col("label").isNotNull() & F.col("id").isNotNull() & finite)
-    rows = rows.withColumn("norm", F.sqrt(squares)).filter("norm > 0 and norm < double('infinity')")
-    return rows.select("id", "label", F.transform("embedding", lambda x: x.cast("double") / F.col("norm")).alias("vector"))
+    rows = rows.withColumn("top", F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))).filter("top > 0")
+    rows = rows.withColumn("scaled", F.transform("embedding", lambda x: x.cast("double") / F.col("top")))
+    rows = rows.withColumn("norm", F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda a, x: a + x * x)))
+    return rows.select("id", "label", F.transform("scaled", lambda x: x / F.col("norm")).alias("vector"))
 
 
-def _index(vectors: DataFrame, pivots_b) -> DataFrame:
-    """Each usable vector with its nearest pivots, nearest first."""
+def _index(classes: DataFrame, pivots_b) -> DataFrame:
+    """Each class with its vector's nearest pivots, nearest first; ties by number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots = pivots_b.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            near = []
-            for v in batch.column("vector").to_pylist():
-                v = np.asarray(v)
-                width = min(len(v), pivots.shape[1])
-                near.append(np.argsort(-(pivots[:, :width] @ v[:width]), kind="stable")[:NEAREST].astype(np.int32))
-            near = pa.array(near, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, near], names=["id", "label", "vector", "near"])
+            for at in range(0, batch.num_rows, 256):
+                piece = batch.slice(at, 256)
+                rows = [np.asarray(v) for v in piece.column("vector").to_pylist()]
+                width = pivots.shape[1]
+                dense = np.stack([np.pad(v[:width], (0, width - min(len(v), width))) for v in rows])
+                near = np.argsort(-(dense @ pivots.T), axis=1, kind="stable")[:, :NEAREST].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(list(near), pa.list_(pa.int32()))], names=["cid", "label", "vector", "n", "near"])
 
-    return vectors.mapInArrow(run, "id long, label long, vector array<double>, near array<int>")
+    return classes.select("cid", "label", "vector", "n").mapInArrow(run, "cid long, label long, vector array<double>, n long, near array<int>")
 
 
 def _block_links(group: pd.DataFrame) -> pd.DataFrame:
     """Link counts and spanning links of one pair of blocks of one inverted list."""
     pivot, lo, hi = (int(group[c].iat[0]) for c in ("pivot", "lo", "hi"))
+    group = group.reset_index(drop=True)
     left = group[group["own"] == lo]
     right = left if lo == hi else group[group["own"] == hi]
-    out = []
-    lengths = group["vector"].map(len)
-    if len(left) and len(right):
-        width = int(lengths.max())
-        member = lambda g: (lambda m: (np.put_along_axis(m, np.stack(g["near"]), 1, 1), m)[1])(np.zeros((len(g), int(group["top"].iat[0]) + 1), np.float32))
-        dense = lambda g: np.stack([np.pad(v, (0, width - len(v)), constant_values=0.0) for v in g["vector"]])
-        a, b, x, y = member(left), member(right), dense(left), dense(right)
-        shared, earlier = a @ b.T, a[:, :pivot] @ b[:, :pivot].T
-        hit = (shared >= min(MIN_SHARED, a.shape[1])) & (earlier == 0) & (x @ y.T >= THRESHOLD)
-        hit &= lengths[left.index].to_numpy()[:, None] == lengths[right.index].to_numpy()[None, :]
-        ids, others = left["id"].to_numpy(), right["id"].to_numpy()
-        if lo == hi:
-            np.fill_diagonal(hit, False)
-        counts = [(ids, hit.sum(axis=1))] + ([] if lo == hi else [(others, hit.sum(axis=0))])
-        for i, n in counts:
-            out.append(pd.DataFrame({"id": i[n > 0], "n": n[n > 0], "to": np.int64(-1)}))
-        # a spanning forest of the block's links
-        root = {}
-
-        def find(i):
-            while root.setdefault(i, i) != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for i, row in zip(ids.tolist(), hit, strict=True):
-            for j in others[row].tolist():
-                p, q = find(i), find(j)
-                if p != q:
-                    root[max(p, q)] = min(p, q)
-        spans = [(i, find(i)) for i in list(root) if find(i) != i]
-        if spans:
-            i, to = np.array(spans).T
-            out.append(pd.DataFrame({"id": i, "n": 0, "to": to, "linked": True}))
-    frame = pd.concat(out, ignore_index=True) if out else pd.DataFrame({"id": [], "n": [], "to": []})
-    linked = frame["linked"].fillna(False).astype(bool) if "linked" in frame else pd.Series(False, index=frame.index)
-    return pd.DataFrame({"id": frame["id"].astype("int64"), "n": frame["n"].astype("int64"), "to": frame["to"].astype("int64"), "linked": linked})
+    none = pd.DataFrame({"cid": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "to": np.zeros(0, np.int64), "linked": np.zeros(0, bool)})
+    if not len(left) or not len(right):
+        return none
+    lengths = group["vector"].map(len).to_numpy()
+    dense = np.stack([np.pad(v, (0, lengths.max() - len(v))) for v in group["vector"]])
+    # which pivots each row has, of those that any has, in order
+    have, near = np.unique(np.stack(group["near"]), return_inverse=True)
+    near = near.reshape(len(group), -1)
+    has = np.zeros((len(group), len(have)), np.float32)
+    np.put_along_axis(has, near, 1, 1)
+    i, j, before = left.index.to_numpy(), right.index.to_numpy(), int(np.searchsorted(have, pivot))
+    # verified in the list of the smallest pivot that two rows share
+    hit = (has[i] @ has[j].T >= min(MIN_SHARED, near.shape[1])) & (has[i, :before] @ has[j, :before].T == 0) & (dense[i] @ dense[j].T >= THRESHOLD)
+    hit &= lengths[i][:, None] == lengths[j][None, :]
+    ids, others = left["cid"].to_numpy(), right["cid"].to_numpy()
+    if lo == hi:
+        np.fill_diagonal(hit, False)
+    counts = [(ids, hit @ right["n"].to_numpy())] + ([] if lo == hi else [(others, hit.T @ left["n"].to_numpy())])
+    out = [pd.DataFrame({"cid": i[n > 0], "n": n[n > 0], "to": np.int64(-1), "linked": False}) for i, n in counts]
+    # a spanning forest of the block's links
+    root: dict[int, int] = {}
+
+    def find(i):
+        while root.setdefault(i, i) != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, row in zip(ids.tolist(), hit, strict=True):
+        for j in others[row].tolist():
+            p, q = find(i), find(j)
+            if p != q:
+                root[max(p, q)] = min(p, q)
+    spans = np.array([(i, find(i)) for i in list(root) if find(i) != i], np.int64).reshape(-1, 2)
+    out.append(pd.DataFrame({"cid": spans[:, 0], "n": np.int64(0), "to": spans[:, 1], "linked": True}))
+    return pd.concat([none, *out], ignore_index=True)
 
 
 def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -121,34 +124,46 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     Vectors are compared only under equal, non-null labels; they link at cosine >= ``THRESHOLD`` in
     double precision. Vectors that are null, empty, zero or hold null or non-finite components, and
     rows with a null id, link with nothing: n_links 0 and their own id as component. Vectors of
-    different length do not link. Equal vectors under different ids link like any other pair; rows
-    that repeat an id are summed into its one count. An empty table gives no rows.
+    different length do not link. Equal vectors of a label are one class, compared once and counted
+    by its rows. Rows that repeat an id share their component, and their links are summed into one
+    count. An empty table gives no rows; other columns are not read.
     """
     spark = vectors.sparkSession
     rows = vectors.select(
         F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("embedding"), F.col(label_col).cast("long").alias("label")
     )
     usable = materialize(_usable(rows), "vectors")
-    pivots = choose_pivots(usable, usable.count())
-    top = len(pivots) - 1
-    described = materialize(_index(usable, spark.sparkContext.broadcast(pivots)), "pivots")
-    lists = described.select("id", "label", "vector", "near", F.explode("near").alias("pivot"))
-    sizes = lists.groupBy("label", "pivot").agg(F.count("*").alias("n")).filter("n > 1")
-    sizes = sizes.select("label", "pivot", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    classes = usable.groupBy("label", "vector").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
+    pivots = choose_pivots(classes, classes.count())
+    described = materialize(_index(classes, spark.sparkContext.broadcast(pivots)), "pivots")
+    lists = described.withColumn("pivot", F.explode("near"))
+    sizes = lists.groupBy("label", "pivot").agg(F.count("*").alias("size")).filter("size > 1")
+    sizes = sizes.select("label", "pivot", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     dealt = (
         lists.join(sizes, ["label", "pivot"])
-        .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other"), "top": F.lit(top)})
+        .withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
         .drop("blocks", "other")
     )
     found = materialize(
-        dealt.groupBy("label", "pivot", "lo", "hi").applyInPandas(_block_links, "id long, n long, to long, linked boolean"),
+        dealt.groupBy("label", "pivot", "lo", "hi").applyInPandas(_block_links, "cid long, n long, to long, linked boolean"),
         "vector-links",
     )
-    counts = found.filter("not linked").groupBy("id").agg(F.sum("n").alias("n_links"))
-    parts = components(found.filter("linked").select(F.col("id").alias("u"), F.col("to").alias("v")))
-    out = rows.select("id").join(counts, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
+    # merge joins: both sides grow with the input
+    member = usable.join(classes.select("label", "vector", "cid").hint("merge"), ["label", "vector"]).select("id", "cid")
+    member = materialize(member, "vector-members")
+    again = member.groupBy("id").agg(F.min("cid").alias("c0"), F.max("cid").alias("c1")).filter("c0 <> c1")
+    edges = found.filter("linked").select(F.col("cid").alias("u"), F.col("to").alias("v"))
+    parts = components(edges.union(member.join(again, "id").select("cid", "c0")))
+    links = found.filter("not linked").groupBy("cid").agg(F.sum("n").alias("links"))
+    each = classes.select("cid", "id", "n").join(links, "cid", "left").join(parts.withColumnRenamed("node", "cid"), "cid", "left")
+    each = each.select("cid", "id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "cid").alias("root"))
+    tops = each.groupBy("root").agg(F.min("id").alias("component"))
+    each = materialize(each.join(tops, "root").select("cid", "n_links", "component"), "vector-each")
+    linked = member.distinct().join(each.hint("merge"), "cid").groupBy("id").agg(F.sum("n_links").alias("n_links"), F.min("component").alias("component"))
+    out = rows.select("id").join(linked.hint("merge"), "id", "left")
     component = F.coalesce("component", "id")
     return out.select(
         F.col("id").alias("vec_id"),
