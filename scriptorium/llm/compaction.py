@@ -4,13 +4,15 @@ A store is a folder of runs and a folder of manifest versions. Arrivals are appe
 of immutable files. Runs of one size tier are merged, ``FANOUT`` or more at a time, into a run of
 target-sized files. Each change writes its files first and then commits one new manifest version by
 a rename that fails if the version exists, so readers always see a whole version, and a job that
-is lost before its commit leaves nothing but files that no manifest names.
+is lost before its commit leaves nothing but files that no manifest names. Merged runs stay readable
+by the versions that name them until ``vacuum`` removes them.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import re
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -28,8 +30,12 @@ ARRIVALS = 16
 @dataclass(frozen=True)
 class Run:
     path: str
-    bytes: int
-    files: int
+    #: name, bytes and rows of each file, a shard
+    files: tuple[tuple[str, int, int], ...]
+
+    @property
+    def bytes(self) -> int:
+        return sum(f[1] for f in self.files)
 
     def tier(self, least: int, fanout: int) -> int:
         return max(0, math.floor(math.log(max(self.bytes, 1) / least, fanout)) + 1) if self.bytes > least else 0
@@ -62,36 +68,51 @@ class ShardStore:
             return []
         name = f"{self.root}/manifest/v{known[-1] if version is None else version:08d}.json"
         lines = self.spark.read.text(name).collect()  # a line per run: few, as runs are merged
-        return [Run(**json.loads(r["value"])) for r in lines]
+        return [Run(x["path"], tuple(map(tuple, x["files"]))) for x in (json.loads(r["value"]) for r in lines)]
 
     def commit(self, runs: list[Run], base: int) -> int:
         """Version base + 1, or an error if another writer committed it first."""
         part = self._path(f"manifest/.{uuid.uuid4().hex}")
-        out = self._fs.create(part, False)
-        out.write(bytearray("\n".join(json.dumps(asdict(r)) for r in runs) + "\n" if runs else "", "utf-8"))
-        out.close()
-        renames = self._hadoop.fs.Options.Rename
-        options = self.spark.sparkContext._gateway.new_array(renames, 1)
-        options[0] = renames.NONE
-        context = self._hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
-        context.rename(part, self._path(f"manifest/v{base + 1:08d}.json"), options)
+        try:
+            out = self._fs.create(part, False)
+            out.write(bytearray("\n".join(json.dumps(asdict(r)) for r in runs) + "\n" if runs else "", "utf-8"))
+            out.close()
+            renames = self._hadoop.fs.Options.Rename
+            options = self.spark.sparkContext._gateway.new_array(renames, 1)
+            options[0] = renames.NONE
+            context = self._hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
+            context.rename(part, self._path(f"manifest/v{base + 1:08d}.json"), options)
+        finally:
+            self._fs.delete(part, False)  # still there only if the commit failed
         return base + 1
 
     def _last(self) -> int:
         return (self.versions() or [0])[-1]
 
-    def _measured(self, path: str) -> Run:
-        files = [s for s in self._fs.listStatus(self._hadoop.fs.Path(path)) if s.getPath().getName().endswith(".parquet")]
-        return Run(path, sum(s.getLen() for s in files), len(files))
+    def _measured(self, path: str, *folders: str) -> list[Run]:
+        """The runs in ``folders`` of ``path``; rows are counted from the files' footers in one job."""
+        hidden = [F.col(f"_metadata.{c}") for c in ("file_path", "file_size")]
+        counts = self.spark.read.parquet(path).groupBy(*hidden).count().collect() if folders else []
+        by: dict[str, list] = {f: [] for f in folders}
+        for where, size, n in counts:
+            folder, _, name = where.rpartition("/")
+            by[folder].append((name, size, n))
+        return [Run(f, tuple(sorted(found))) for f, found in by.items() if found]
+
+    def _folder(self, path: str) -> str:
+        return self._fs.resolvePath(self._hadoop.fs.Path(path)).toString()
 
     # writers
 
     def append(self, rows: DataFrame, arrival: Column) -> int:
         """Append arrivals, one small run each, in one pass without a shuffle."""
         base, stage = self._last(), f"{self.root}/data/in-{uuid.uuid4().hex}"
-        rows.withColumn("__arrival", arrival).write.partitionBy("__arrival").option("compression", "zstd").parquet(stage)
+        at = "arrival"
+        while at in rows.columns:
+            at += "_"
+        rows.withColumn(at, arrival).write.partitionBy(at).option("compression", "zstd").parquet(stage)
         folders = [s.getPath().toString() for s in self._fs.listStatus(self._hadoop.fs.Path(stage)) if s.isDirectory()]
-        return self.commit(self.runs() + [self._measured(f) for f in sorted(folders)], base)
+        return self.commit(self.runs() + self._measured(stage, *sorted(folders)), base)
 
     def compact(self) -> int:
         """Merge tiers that hold ``fanout`` runs or more until there is none; the last version."""
@@ -104,33 +125,44 @@ class ShardStore:
             if not full:
                 return base
             old = full[min(full)]
-            new = self._merge(old)
-            self.commit([r for r in runs if r not in old] + [new], base)
-            self._drop(old)
+            self.commit([r for r in runs if r not in old] + self._merge(old), base)
 
-    def _merge(self, old: list[Run]) -> Run:
+    def _merge(self, old: list[Run]) -> list[Run]:
         size = sum(r.bytes for r in old)
         path = f"{self.root}/data/run-{uuid.uuid4().hex}"
         rows = self.spark.read.parquet(*[r.path for r in old])
         # small files are packed into tasks as they are read, so nothing is shuffled
         rows.coalesce(max(1, math.ceil(size / self.target))).write.option("compression", "zstd").parquet(path)
-        return self._measured(path)
+        return self._measured(path, self._folder(path))
 
-    def _drop(self, runs: list[Run]) -> None:
-        """Files of runs that the last version no longer names. A store with readers of older
-        versions would keep them for a while."""
-        for run in runs:
-            self._fs.delete(self._hadoop.fs.Path(run.path), True)
+    def vacuum(self, keep: int = 1) -> None:
+        """Delete what the last ``keep`` versions do not name: older manifests and the files of their runs."""
+        known = self.versions()
+        old, named = known[:-keep], {r.path for v in known[-keep:] for r in self.runs(v)}
+        gone = {r.path for v in old for r in self.runs(v)} - named
+        for version in old:
+            self._fs.delete(self._path(f"manifest/v{version:08d}.json"), False)
+        for path in sorted(gone):
+            self._fs.delete(self._hadoop.fs.Path(path), True)
 
     # readers
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version with __path, __file, __file_bytes, and __shard, the path in the store: files
-        of several arrivals that one task wrote have one name."""
-        return self.spark.read.parquet(*[r.path for r in self.runs(version)]).withColumns(
-            {"__path": F.col("_metadata.file_path"), "__file": F.col("_metadata.file_name"), "__file_bytes": F.col("_metadata.file_size"),
-             "__shard": F.regexp_extract("_metadata.file_path", "^.*/(data/(?:in|run)-[0-9a-f]{32}/.*)$", 1)}
-        )
+        """The rows of a version, with the columns that were appended."""
+        return self.spark.read.parquet(*[r.path for r in self.runs(version)])
+
+    def shards(self, version: int | None = None) -> DataFrame:
+        """shard, shard_bytes, shard_rows of a version's files, from its manifest; a shard's name is its path
+        in the store, as files of several arrivals that one task wrote have one name."""
+        found = [(_in_store(f"{r.path}/{name}"), size, n) for r in self.runs(version) for name, size, n in r.files]
+        return self.spark.createDataFrame(found, "shard string, shard_bytes long, shard_rows long")
+
+
+_IN_STORE = "^.*/(data/(?:in|run)-[0-9a-f]{32}/.*)$"
+
+
+def _in_store(path: str) -> str:
+    return re.sub(_IN_STORE, r"\1", path)
 
 
 def compacted(docs: DataFrame, arrival: Column, root: str, **sizes) -> DataFrame:
@@ -145,9 +177,9 @@ def compacted(docs: DataFrame, arrival: Column, root: str, **sizes) -> DataFrame
     version = store.compact()
     if not store.runs():
         return docs.select("doc_id").limit(0).selectExpr("doc_id", "'' as shard", "0L as shard_bytes", "0L as shard_rows", "0 as version")
-    rows = store.read().select("doc_id", F.col("__shard").alias("shard"), F.col("__file_bytes").alias("shard_bytes"))
-    counts = rows.groupBy("shard").agg(F.count("*").alias("shard_rows"))
-    return rows.join(counts, "shard").select("doc_id", "shard", "shard_bytes", "shard_rows", F.lit(version).alias("version"))
+    rows = store.read().select("doc_id", F.regexp_extract("_metadata.file_path", _IN_STORE, 1).alias("shard"))
+    # a row for each file of the manifest: Spark broadcasts it while it is small
+    return rows.join(store.shards(), "shard").select("doc_id", "shard", "shard_bytes", "shard_rows", F.lit(version).alias("version"))
 
 
 def op5_compaction(spark, sf_dir: str) -> DataFrame:
