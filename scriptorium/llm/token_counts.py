@@ -1,9 +1,10 @@
 """Token counts that follow edits.
 
-A text is cut into leaves at places where the pre-tokenizer always breaks (a single space between
-two word characters), so counts of leaves add up. A document's tree holds the leaves' characters and
-tokens with subtree sums. An edit re-encodes the leaves it touches, and neighbours as long as the
-cut beside the edited piece is no longer such a place, and updates the sums on the way to the root.
+A text is cut into leaves at places where the pre-tokenizer always breaks, so counts of leaves add up:
+before a single space or line end between letters, digits and punctuation, and between a letter and
+punctuation. A document's tree holds characters and tokens as subtree sums, and is stored as such. An
+edit re-encodes the leaves it touches, and neighbours as long as the cut beside the edited piece is
+no longer such a place, and updates the sums on the way to the root.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +23,10 @@ from .common import materialize, table
 from .packing import default_encoder
 
 LEAF = 192
-_CUT = re.compile(r"(?<=\w) (?=\w)")
-#: Redactions: e-mail addresses, and runs of seven digits or more with single separators.
-REDACTIONS = ((re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"), "[email]"), (re.compile(r"\+?\d(?:[ .-]?\d){6,}"), "[number]"))
+_CUT = regex.compile(r"(?<=[\p{L}\p{N}\p{P}])[ \n](?=[\p{L}\p{N}\p{P}])|(?<=\p{L})(?=\p{P})")
+#: Redactions: e-mail addresses, and runs of seven digits or more with single separators. An address starts
+#: where its run of characters does, so that long words are read once.
+REDACTIONS = ((re.compile(r"(?<![\w.+-])[\w.+-]++@[\w-]+(?:\.[\w-]+)+"), "[email]"), (re.compile(r"\+?\d(?:[ .-]?\d){6,}"), "[number]"))
 
 
 def leaves_of(text: str, leaf: int = LEAF) -> list[int]:
@@ -38,7 +41,8 @@ def leaves_of(text: str, leaf: int = LEAF) -> list[int]:
 
 
 class SegmentTree:
-    """Sums of (characters, tokens) over leaves, as a complete binary tree in one array."""
+    """Sums of (characters, tokens) over leaves, as a complete binary tree in one array: node k has the
+    children 2k and 2k + 1, and the second half of the array are the leaves."""
 
     def __init__(self, chars: list[int], tokens: list[int]):
         self.width = 1 << max(0, (len(chars) - 1).bit_length())
@@ -48,6 +52,16 @@ class SegmentTree:
             lo = 1 << level
             self.sums[lo : 2 * lo] = self.sums[2 * lo : 4 * lo : 2] + self.sums[2 * lo + 1 : 4 * lo : 2]
 
+    @classmethod
+    def stored(cls, nodes: bytes) -> SegmentTree:
+        tree = cls.__new__(cls)
+        tree.sums = np.frombuffer(nodes, "<i8").reshape(-1, 2).copy()
+        tree.width = len(tree.sums) // 2
+        return tree
+
+    def nodes(self) -> bytes:
+        return self.sums.astype("<i8").tobytes()
+
     @property
     def tokens(self) -> int:
         return int(self.sums[1, 1])
@@ -112,9 +126,14 @@ def apply_edits(text: str, tree: SegmentTree, edits: list[tuple[int, int, str]],
             grown += tree.chars(last)
         piece = text[lo:grown]
         again += len(piece)
-        tree.set(first, len(piece), count(piece))
-        for leaf in range(first + 1, last + 1):
-            tree.set(leaf, 0, 0)
+        # the piece is cut anew over the leaves that it takes, the last of which holds what is left
+        sizes = leaves_of(piece)
+        room = last - first + 1
+        sizes = [*sizes[: room - 1], sum(sizes[room - 1 :])]
+        for leaf in range(first, last + 1):
+            size = sizes[leaf - first] if leaf - first < len(sizes) else 0
+            tree.set(leaf, size, count(text[lo : lo + size]) if size else 0)
+            lo += size
     return text, again
 
 
@@ -123,27 +142,29 @@ def _key(text: str) -> int:
 
 
 def build_trees(docs: DataFrame, make_encoder=default_encoder) -> DataFrame:
-    """doc_id, text_key, leaf_chars, leaf_tokens: the trees' leaves, from which sums are rebuilt."""
+    """doc_id, text_key, n_leaves, n_tokens, nodes: the trees with their subtree sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = make_encoder()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 piece = batch.slice(at, 512)
-                keys, chars, tokens = [], [], []
+                keys, leaves, tokens, nodes = [], [], [], []
                 for text in piece.column("text").to_pylist():
                     text, place, counts = text or "", 0, []
                     sizes = leaves_of(text)
                     for size in sizes:
                         counts.append(len(encode(text[place : place + size])))
                         place += size
+                    tree = SegmentTree(sizes, counts)
                     keys.append(_key(text))
-                    chars.append(sizes)
-                    tokens.append(counts)
-                ints = pa.list_(pa.int32())
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(keys, pa.int64()), pa.array(chars, ints), pa.array(tokens, ints)], names=["doc_id", "text_key", "leaf_chars", "leaf_tokens"])
+                    leaves.append(len(sizes))
+                    tokens.append(tree.tokens)
+                    nodes.append(tree.nodes())
+                columns = [piece.column("doc_id"), pa.array(keys, pa.int64()), pa.array(leaves, pa.int32()), pa.array(tokens, pa.int64()), pa.array(nodes, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "n_leaves", "n_tokens", "nodes"])
 
-    return docs.mapInArrow(run, "doc_id long, text_key long, leaf_chars array<int>, leaf_tokens array<int>")
+    return docs.mapInArrow(run, "doc_id long, text_key long, n_leaves int, n_tokens long, nodes binary")
 
 
 def find_redactions(docs: DataFrame) -> DataFrame:
@@ -172,8 +193,8 @@ def recount(trees: DataFrame, edited: DataFrame, make_encoder=default_encoder) -
         encode = make_encoder()
         for batch in batches:
             after, again, n = [], [], []
-            for row in batch.select(["text", "edits", "leaf_chars", "leaf_tokens"]).to_pylist():
-                tree = SegmentTree(row["leaf_chars"], row["leaf_tokens"])
+            for row in batch.select(["text", "edits", "nodes"]).to_pylist():
+                tree = SegmentTree.stored(row["nodes"])
                 edits = [(e["start"], e["stop"], e["new"]) for e in row["edits"]]
                 _, redone = apply_edits(row["text"], tree, edits, lambda t: len(encode(t)))
                 after.append(tree.tokens)
@@ -184,7 +205,7 @@ def recount(trees: DataFrame, edited: DataFrame, make_encoder=default_encoder) -
     edited = edited.withColumnRenamed("doc_id", "e_id").withColumnRenamed("text_key", "e_key")
     same = F.col("doc_id").eqNullSafe(F.col("e_id")) & (F.col("text_key") == F.col("e_key"))
     joined = edited.join(trees, same).dropDuplicates(["doc_id", "text_key"])
-    joined = joined.select("doc_id", "text_key", "text", "edits", "leaf_chars", "leaf_tokens")
+    joined = joined.select("doc_id", "text_key", "text", "edits", "nodes")
     return joined.mapInArrow(run, "doc_id long, text_key long, n_edits long, n_tokens_after long, n_chars_again long")
 
 
@@ -197,8 +218,7 @@ def counts_with_redactions(docs: DataFrame, make_encoder=default_encoder) -> Dat
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     trees = materialize(build_trees(rows, make_encoder), "trees")
     after = recount(trees, find_redactions(rows), make_encoder).withColumnsRenamed({"doc_id": "a_id", "text_key": "a_key"})
-    total = F.aggregate("leaf_tokens", F.lit(0).cast("long"), lambda a, x: a + x)
-    before = trees.select("doc_id", "text_key", F.size("leaf_chars").alias("n_leaves"), total.alias("n_tokens"))
+    before = trees.select("doc_id", "text_key", "n_leaves", "n_tokens")
     joined = before.join(after, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("text_key") == F.col("a_key")), "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return joined.select("doc_id", "n_leaves", "n_tokens", zero("n_edits"), F.coalesce("n_tokens_after", "n_tokens").alias("n_tokens_after"), zero("n_chars_again"))
