@@ -24,12 +24,13 @@ VOCABULARY = "byte_bpe_50k"
 CHUNK = 512
 
 
-def load_encoder(ranks_path: str, pattern: str, end_of_text: int):
+def load_encoder(ranks_path: str, pattern: str, end_of_text: int, tokenizer_path: str | None = None):
     """The byte-level BPE as a function from text to a numpy array of uint32 ids.
 
     The rank file holds the same vocabulary and merges as the tokenizers file of that name and
     gives the same ids several times faster (a test holds both against each other). The special
-    token's string in a text becomes its id, as the tokenizers file does.
+    token's string in a text becomes its id, as the tokenizers file does. Texts that the fast coder
+    refuses, such as those with some hundred thousand white spaces in a row, go to the tokenizers file.
     """
     import tiktoken
 
@@ -37,13 +38,27 @@ def load_encoder(ranks_path: str, pattern: str, end_of_text: int):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     special = {"<|endoftext|>": end_of_text}
     coder = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: coder.encode_to_numpy(text, allowed_special="all")
+    slow = []
+
+    def encode(text: str) -> np.ndarray:
+        try:
+            return coder.encode_to_numpy(text, allowed_special="all")
+        except Exception:
+            if tokenizer_path is None:
+                raise
+            if not slow:
+                from tokenizers import Tokenizer
+
+                slow.append(Tokenizer.from_file(tokenizer_path))
+            return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
+
+    return encode
 
 
 def default_encoder():
     import public_tokenizers as tokenizers_of
 
-    return load_encoder(tokenizers_of.path(f"{VOCABULARY}.tiktoken"), tokenizers_of.PATTERN, 50256)
+    return load_encoder(tokenizers_of.path(f"{VOCABULARY}.tiktoken"), tokenizers_of.PATTERN, 50256, tokenizers_of.path(f"{VOCABULARY}.json"))
 
 
 _ENCODED = pa.schema(
