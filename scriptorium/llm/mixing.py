@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, n_words, table
+from .common import materialize, n_words, settle, table
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -22,6 +22,8 @@ MOST = 2
 #: Blocks per source; bounds every window over blocks whatever the input.
 BLOCKS = 1024
 SHARDS = 16
+#: Parts in which a shard's rows are shuffled.
+PARTS = 64
 SEED = 20240
 
 
@@ -194,31 +196,58 @@ def plan_mix(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS) -> Dat
         "doc_id", "src", "block", "size", "source_size", "target", "left", F.coalesce("boundary", F.lit(False)).alias("boundary"),
         F.when(F.col("size") > 0, F.col("homes")).alias("homes"),
     )
-    # the block in which a source's last round ends is cut between documents, at the nearest end
-    inside = Window.partitionBy("src", "block").orderBy("size", _hash("doc_id"), "doc_id")
-    before = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1))
-    cut = F.coalesce(before, F.lit(0)) + F.col("size") / 2 > F.col("left")
-    ends = placed.filter("boundary").withColumn("homes", F.when(cut, F.expr("slice(homes, 1, size(homes) - 1)")).otherwise(F.col("homes")))
-    return placed.filter("not boundary").union(ends).select(
+    # the block in which a source's last round ends is cut between documents, at the nearest end; rows
+    # that repeat an id within a source are taken alike, so that their id names the decision
+    edge = placed.filter("boundary")
+    units = edge.groupBy("src", "doc_id").agg(F.sum("size").alias("words"), F.first("left").alias("left"))
+    inside = Window.partitionBy("src").orderBy("words", _hash("doc_id"), "doc_id")
+    before = F.sum("words").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    cut = F.coalesce(before, F.lit(0)) + F.col("words") / 2 > F.col("left")
+    units = units.select(F.col("src").alias("u_src"), F.col("doc_id").alias("u_id"), cut.alias("cut"))
+    ends = edge.join(units, (F.col("src") == F.col("u_src")) & F.col("doc_id").eqNullSafe(F.col("u_id")))
+    ends = ends.withColumn("homes", F.when(F.col("cut"), F.expr("slice(homes, 1, size(homes) - 1)")).otherwise(F.col("homes")))
+    return placed.filter("not boundary").union(ends.select(*placed.columns)).select(
         "doc_id", "src", "size", "source_size", "target",
         F.coalesce("homes", F.expr("cast(array() as array<bigint>)")).alias("mix_shards"),
     )
 
 
-def mix(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS) -> DataFrame:
-    """The mixed rows: the columns of ``docs`` with mix_shard and mix_order, a row for each time
-    it is taken, shuffled within each shard of a task's output."""
-    plan = plan_mix(docs.select("doc_id", "source", "text"), shards, blocks)
-    homes = materialize(
-        plan.filter("size(mix_shards) > 0").groupBy(F.col("doc_id").alias("mix_id"), F.col("src").alias("mix_src")).agg(F.first("mix_shards").alias("mix_shards")),
-        "mix-docs",
-    )
-    same = docs["doc_id"].eqNullSafe(homes["mix_id"]) & (
-        F.coalesce(F.concat(F.lit("="), docs["source"]), F.lit("null")) == homes["mix_src"]
-    )
-    taken = docs.join(homes, same).drop("mix_id", "mix_src").filter(n_words(docs["text"]) > 0)
-    out = taken.select(*[docs[c] for c in docs.columns], F.posexplode("mix_shards").alias("mix_copy", "mix_shard"))
-    return out.withColumn("mix_order", _hash("doc_id", "mix_copy")).sortWithinPartitions("mix_shard", "mix_order").drop("mix_copy")
+def _taken(docs: DataFrame, shards: int, blocks: int, parts: int) -> DataFrame:
+    """The columns of ``docs`` as c0, c1, ..., with mix_shard and mix_order, a row for each time it is taken."""
+
+    def homes() -> DataFrame:
+        plan = plan_mix(docs.select("doc_id", "source", "text"), shards, blocks)
+        # rows of one id differ only in that those without words have no shards
+        return plan.filter("size(mix_shards) > 0").groupBy("doc_id", "src").agg(F.max("mix_shards").alias("mix_shards"))
+
+    taken = settle(homes, "mix-docs").toDF("mix_id", "mix_src", "mix_shards")
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    at = {c: F.col(n) for c, n in zip(docs.columns, names, strict=True)}
+    same = at["doc_id"].cast("long").eqNullSafe(F.col("mix_id")) & (F.coalesce(F.concat(F.lit("="), at["source"]), F.lit("null")) == F.col("mix_src"))
+    # a merge join at every size: both sides grow with the input
+    rows = docs.toDF(*names).join(taken.hint("merge"), same).filter(n_words(at["text"]) > 0)
+    out = rows.select(*names, F.posexplode("mix_shards").alias("mix_copy", "mix_shard"))
+    out = out.withColumn("mix_order", _hash(at["doc_id"].cast("long"), "mix_copy")).withColumn("mix_part", F.pmod(F.xxhash64("mix_order"), F.lit(parts)))
+    out = out.repartition("mix_shard", "mix_part").sortWithinPartitions("mix_shard", "mix_part", "mix_order")
+    return out.select(*names, "mix_shard", "mix_order")
+
+
+def mix(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, parts: int = PARTS) -> DataFrame:
+    """The mixed rows: the columns of ``docs``, then mix_shard and mix_order, a row for each time it is taken.
+
+    Rows are dealt to shards, each in ``parts`` parts by hash, and lie in the order of mix_order within
+    a part. Rows without words are never taken; rows that repeat id and source are taken alike. An
+    empty table stays empty. Columns of ``docs`` named mix_shard or mix_order are left out for these.
+    """
+    out = _taken(docs, shards, blocks, parts)
+    kept = [(n, c) for n, c in zip(out.columns, docs.columns, strict=False) if c not in ("mix_shard", "mix_order")]
+    return out.select(*[n for n, _ in kept], "mix_shard", "mix_order").toDF(*[c for _, c in kept], "mix_shard", "mix_order")
+
+
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """The rows of ``mix`` with the columns of ``docs`` alone, whatever their names."""
+    out = _taken(docs, SHARDS, BLOCKS, PARTS)
+    return out.select(*out.columns[: len(docs.columns)]).toDF(*docs.columns)
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
