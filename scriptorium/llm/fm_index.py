@@ -5,6 +5,10 @@ from __future__ import annotations
 import numpy as np
 
 _ONE = np.uint64(1)
+#: Rows of a block of the owners' range minima.
+SAMPLE = 16
+_STEPS = np.arange(SAMPLE)
+_NONE = np.int32(np.iinfo(np.int32).max)
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -61,10 +65,13 @@ class FmIndex:
         every = np.arange(symbols, dtype=np.int64)
         self.base = np.zeros(symbols, np.int64)
         self.base = starts - self.step(every, np.zeros(symbols, np.int64))
-        # range minima of the owners in suffix order
-        self.minima = [owners[order].astype(np.int32)]
+        # range minima of the owners in suffix order, sampled: a table over blocks, and the owners themselves
+        blocks = -(-len(text) // SAMPLE)
+        self.owners = np.full((blocks + 1) * SAMPLE, np.iinfo(np.int32).max, np.int32)
+        self.owners[: len(text)] = owners[order]
+        self.minima = [self.owners.reshape(-1, SAMPLE).min(axis=1)]
         span = 1
-        while 2 * span <= len(text):
+        while 2 * span <= blocks:
             last = self.minima[-1]
             self.minima.append(np.minimum(last[:-span], last[span:]))
             span *= 2
@@ -78,19 +85,28 @@ class FmIndex:
         return self.base[symbol] + i
 
     def least_owner(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        level = np.frexp((hi - lo).astype(np.float64))[1] - 1
-        out = np.empty(len(lo), np.int32)
-        for k in np.unique(level).tolist():
-            at = level == k
-            table = self.minima[k]
-            out[at] = np.minimum(table[lo[at]], table[hi[at] - (1 << k)])
+        """The least owner of the rows from lo to below hi, of which there is one at least."""
+        head = lo[:, None] + _STEPS
+        out = np.where(head < hi[:, None], self.owners[np.minimum(head, self.size)], _NONE).min(axis=1)
+        more = np.flatnonzero(hi - lo > SAMPLE)
+        if len(more):
+            end = hi[more]
+            out[more] = np.minimum(out[more], self.owners[end[:, None] - 1 - _STEPS].min(axis=1))
+            first, last = lo[more] // SAMPLE + 1, end // SAMPLE
+            whole = last > first
+            more, first, last = more[whole], first[whole], last[whole]
+            level = np.frexp((last - first).astype(np.float64))[1] - 1
+            for k in np.unique(level).tolist():
+                at = level == k
+                table = self.minima[k]
+                out[more[at]] = np.minimum(out[more[at]], np.minimum(table[first[at]], table[last[at] - (1 << k)]))
         return out
 
 
 def matched_windows(index: FmIndex, text: np.ndarray, starts: np.ndarray, counts: np.ndarray, ranks: np.ndarray, window: int) -> list[np.ndarray]:
-    """For each streamed segment the windows, as booleans, that a document of lower rank holds.
+    """For each streamed segment the windows, as booleans, that a document of a rank below ``ranks[k]`` holds.
 
-    Segment k has windows at starts[k] ... starts[k] + counts[k] - 1 of ``text``. Matches are grown
+    Segment k has windows at starts[k] ... starts[k] + counts[k] - 1 of ``text``; two may be one place of it. Matches are grown
     backwards, all segments at once. A match over several windows settles all of them; one that
     fails at word s settles the windows it held whole; and a single window that fails at s settles
     every window from it to s, for they all hold the failed piece.
@@ -103,7 +119,7 @@ def matched_windows(index: FmIndex, text: np.ndarray, starts: np.ndarray, counts
     at = last + window - 1
     while len(lane):
         symbol = text[starts[lane] + at]
-        a, b = index.step(symbol, lo), index.step(symbol, hi)
+        a, b = np.split(index.step(np.concatenate([symbol, symbol]), np.concatenate([lo, hi])), 2)
         grows = b > a
         if grows.any():
             grows[grows] = index.least_owner(a[grows], b[grows]) < ranks[lane[grows]]

@@ -1,11 +1,11 @@
 """Removal of repeated passages through sharded FM-indexes.
 
 A passage of ``WINDOW`` words that two documents share has the same smallest k-gram in both, so
-runs of windows are dealt to shards by that k-gram. Runs of one content are one entry, held by
-the smallest document that has it: all other documents lose the whole run. Entries of one k-gram
-but different contents are the text of a shard's FM-index, against which each of them is streamed
-backwards; windows whose match is also held by a smaller document are reported. K-grams with more
-entries than a shard takes are matched window by window with pre-aggregated minima instead.
+runs of windows are dealt to shards by that k-gram. Runs of one content are one entry, which knows
+the smallest document that has it and whether others have it too. The entries are the text of their
+shard's FM-index, and each is streamed backwards against it: once for its smallest document, to
+report the windows that still smaller documents hold in other entries, and once for the others.
+Entries of which neither side of the k-gram is found anywhere else share no window and stay out.
 """
 
 from __future__ import annotations
@@ -27,10 +27,12 @@ WINDOW = 50
 GRAM = 8
 #: Windows of a run at most; longer runs are cut.
 RUN = 64
-#: Entries of a shard on average, and of one k-gram at most before it is matched window by window.
+#: Entries of a shard on average.
 SHARD_ENTRIES = 4000
 LEAST_SHARDS = 64
-HOT = 1000
+#: Most entries of one k-gram in a shard, a bound on its memory; the windows of k-grams with more are
+#: matched by 128-bit hashes and pre-aggregated minima, as exact as the rest.
+HOT = 4000
 _P = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _P_INVERSE = tuple(np.uint64(pow(int(p), -1, 2**64)) for p in _P)
 
@@ -69,8 +71,32 @@ def window_minima(grams: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(out[: len(grams) - span + 1], out[span - have :][: len(grams) - span + 1])
 
 
+def _sides(hashes: np.ndarray, grams: np.ndarray, least: np.ndarray, a: np.ndarray, b: np.ndarray, window: int, rolling: Rolling):
+    """For each run a..b with the smallest k-gram ``least``: hashes of the words before and after it, and
+    whether it has them. A window holds at least one side of its k-gram, so runs that share a window
+    share a side. A run in which the k-gram occurs twice has no sides."""
+    reach = (window - GRAM + 1) // 2
+    size = b - a + 1 + window - GRAM
+    of = np.repeat(np.arange(len(a)), size)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size - a, size)
+    hit = grams[at] == least[of]
+    once = np.bincount(of[hit], minlength=len(a)) == 1
+    place = np.zeros(len(a), np.int64)
+    place[of[hit]] = at[hit]
+    sides = []
+    for start in (place - reach, place + GRAM):
+        inside = once & (start >= a) & (start + reach <= b + window)
+        s = np.where(inside, start, 0)
+        value = rolling.of(hashes, s, np.where(inside, s + reach, s)).view(np.int64)
+        sides.append(np.where(inside, value, 0))
+        sides.append(inside)
+    return *sides, ~once
+
+
 def _runs(docs: DataFrame, window: int) -> DataFrame:
-    """m, h, doc_id, a, b: runs of windows a..b whose smallest k-gram is m, h hashing their words."""
+    """m, h, doc_id, key, a, b, left, has_left, right, has_right, twice: runs of windows a..b whose
+    smallest k-gram is m, h hashing their words, and the sides of the k-gram."""
+    names = ["m", "h", "doc_id", "key", "a", "b", "left", "has_left", "right", "has_right", "twice"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling(0)
@@ -78,10 +104,11 @@ def _runs(docs: DataFrame, window: int) -> DataFrame:
             for at in range(0, batch.num_rows, 1024):
                 piece, out = batch.slice(at, 1024), []
                 texts = [as_bytes(t) for t in piece.column("text").to_pylist()]
-                for doc, hashes in zip(piece.column("doc_id").to_pylist(), hashed_texts(texts), strict=True):
+                for doc, key, hashes in zip(piece.column("doc_id").to_pylist(), piece.column("key").to_pylist(), hashed_texts(texts), strict=True):
                     if len(hashes) < window:
                         continue
-                    least = window_minima(gram_hashes(hashes, GRAM), window - GRAM + 1)
+                    grams = gram_hashes(hashes, GRAM)
+                    least = window_minima(grams, window - GRAM + 1)
                     a = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
                     size = np.diff(np.append(a, len(least)))
                     if size.max() > RUN:
@@ -91,17 +118,20 @@ def _runs(docs: DataFrame, window: int) -> DataFrame:
                         a = np.repeat(a, parts) + step * RUN
                         size = np.minimum(RUN, end - a)
                     b = a + size - 1
-                    out.append((least[a].view(np.int64), rolling.of(hashes, a, b + window).view(np.int64), np.full(len(a), doc, np.int64), a.astype(np.int32), b.astype(np.int32)))
+                    whole = rolling.of(hashes, a, b + window).view(np.int64)
+                    sides = _sides(hashes, grams, least[a], a, b, window, rolling)
+                    out.append((least[a].view(np.int64), whole, np.full(len(a), doc, np.int64), np.full(len(a), key, np.int64), a.astype(np.int32), b.astype(np.int32), *sides))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["m", "h", "doc_id", "a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=names)
 
-    return docs.mapInArrow(run, "m long, h long, doc_id long, a int, b int")
+    return docs.mapInArrow(run, "m long, h long, doc_id long, key long, a int, b int, left long, has_left boolean, right long, has_right boolean, twice boolean")
 
 
 def _cut(docs: DataFrame, window: int) -> DataFrame:
     """The entries' words as hashes, or for entries of hot k-grams a row per window."""
-    names = ["m", "h", "doc_id", "words", "rel", "w0", "w1"]
-    schema = pa.schema([(n, pa.binary() if n == "words" else pa.int64()) for n in names])
+    names = ["m", "h", "doc_id", "more", "words", "rel", "w0", "w1"]
+    kinds = {"words": pa.binary(), "more": pa.bool_()}
+    schema = pa.schema([(n, kinds.get(n, pa.int64())) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = (Rolling(0), Rolling(1))
@@ -112,30 +142,30 @@ def _cut(docs: DataFrame, window: int) -> DataFrame:
                 for row, hashes in zip(rows, hashed_texts([as_bytes(r["text"]) for r in rows]), strict=True):
                     for e in row["entries"]:
                         stop = e["b"] + window
-                        if stop > len(hashes):
-                            continue
                         if not e["hot"]:
-                            cold.append((e["m"], e["h"], row["doc_id"], hashes[e["a"] : stop].tobytes()))
+                            cold.append((e["m"], e["h"], row["doc_id"], e["more"], hashes[e["a"] : stop].tobytes()))
                             continue
                         first = np.arange(e["a"], e["b"] + 1)
                         w = [r.of(hashes, first, first + window).view(np.int64) for r in rolling]
                         n = len(first)
                         hot.append((np.full(n, e["m"]), np.full(n, e["h"]), np.full(n, row["doc_id"]), first - e["a"], *w))
                 if cold:
-                    m, h, d, words = zip(*cold, strict=True)
+                    m, h, d, more, words = zip(*cold, strict=True)
                     none = pa.nulls(len(m), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(h), pa.array(d), pa.array(words, pa.binary()), none, none, none], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(h), pa.array(d), pa.array(more), pa.array(words, pa.binary()), none, none, none], schema=schema)
                 if hot:
                     m, h, d, rel, w0, w1 = (pa.array(np.concatenate(x), pa.int64()) for x in zip(*hot, strict=True))
-                    yield pa.RecordBatch.from_arrays([m, h, d, pa.nulls(len(m), pa.binary()), rel, w0, w1], schema=schema)
+                    yield pa.RecordBatch.from_arrays([m, h, d, pa.nulls(len(m), pa.bool_()), pa.nulls(len(m), pa.binary()), rel, w0, w1], schema=schema)
 
-    return docs.mapInArrow(run, "m long, h long, doc_id long, words binary, rel long, w0 long, w1 long")
+    return docs.mapInArrow(run, "m long, h long, doc_id long, more boolean, words binary, rel long, w0 long, w1 long")
 
 
 def _search_shard(group: pd.DataFrame, window: int) -> pd.DataFrame:
-    """Builds a shard's index and streams its entries through it; m, h, doc_id, ra, rb: runs of
-    windows, counted from the entry's first, that a smaller document holds too."""
-    group = group.sort_values(["doc_id", "m", "h"]).reset_index(drop=True)
+    """Builds a shard's index and streams its entries through it; m, h, doc_id, others, ra, rb: runs of
+    windows, counted from the entry's first, that a document smaller than doc_id holds, or with
+    ``others`` one smaller than those which have the entry besides doc_id."""
+    # rows that repeat id and text have the same entries
+    group = group.drop_duplicates(["m", "h"]).sort_values(["doc_id", "m", "h"]).reset_index(drop=True)
     pieces = [np.frombuffer(w, np.uint64) for w in group["words"]]
     lengths = np.array([len(p) for p in pieces])
     _, ids = np.unique(np.concatenate(pieces), return_inverse=True)
@@ -147,62 +177,79 @@ def _search_shard(group: pd.DataFrame, window: int) -> pd.DataFrame:
     owners = np.full(len(text), len(group), np.int32)
     owners[places] = np.repeat(ranks, lengths)
     index = FmIndex(text, owners, RUN + window)
-    found = matched_windows(index, text, starts, lengths - window + 1, ranks.astype(np.int32), window)
+    more = np.flatnonzero(group["more"].to_numpy(bool))
+    streamed = np.concatenate([np.arange(len(group)), more])
+    below = np.concatenate([ranks, ranks[more] + 1]).astype(np.int32)
+    found = matched_windows(index, text, starts[streamed], (lengths - window + 1)[streamed], below, window)
     rows = []
     for k, hit in enumerate(found):
         edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
         rows += [(k, a, b - 1) for a, b in edge.reshape(-1, 2).tolist()]
     k, ra, rb = np.array(rows, np.int64).reshape(-1, 3).T
-    out = group[["m", "h", "doc_id"]].iloc[k].reset_index(drop=True)
-    return out.assign(ra=ra, rb=rb)
+    out = group[["m", "h", "doc_id"]].iloc[streamed[k]].reset_index(drop=True)
+    return out.assign(others=k >= len(group), ra=ra, rb=rb)
+
+
+def _that_may_share(entries: DataFrame) -> DataFrame:
+    """The entries ``m, h`` of a k-gram with several of which a side is that of another too."""
+    grams = entries.groupBy("m").agg(F.count("*").alias("n"), F.min("rep.doc_id").alias("d0"), F.max("top").alias("d1"), F.max("rep.twice").alias("twice"))
+    several = entries.join(grams.filter("n > 1 and d0 <> d1").select("m", F.col("twice").alias("any_twice")), "m")
+    side = lambda k, name: F.when(F.col(f"rep.has_{name}"), F.struct(F.lit(k).alias("side"), F.col(f"rep.{name}").alias("words")))
+    sides = several.filter("not any_twice").select("m", "h", F.explode(F.array(side(0, "left"), side(1, "right"))).alias("s")).filter("s is not null")
+    shared = sides.groupBy("m", "s").agg(F.count("*").alias("n")).filter("n > 1")
+    return sides.join(shared, ["m", "s"], "left_semi").select("m", "h").union(several.filter("any_twice").select("m", "h")).distinct()
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, spans: the word spans [start, stop) of each document that a window covers whose
+    """doc_id, key, spans: the word spans [start, stop) of each document that a window covers whose
     words also start somewhere in a document with a smaller id. Documents without any are left out.
 
     Words are runs of characters other than ASCII white space, unchanged; a null text has none.
     Rows with a null id neither lose nor take anything. Repeats within one document do not count.
-    Rows that repeat an id are taken for copies of one document.
+    Rows that repeat an id are one document of several texts, told apart by ``key``, a hash of the text.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
+    rows = _keyed(docs).filter("doc_id is not null")
     runs = materialize(_runs(rows, window), "runs")
-    entries = runs.groupBy("m", "h").agg(F.min(F.struct("doc_id", "a", "b")).alias("rep"), F.max("doc_id").alias("top"))
-    entries = materialize(entries, "entries")
-    grams = entries.groupBy("m").agg(F.count("*").alias("n"), F.min("rep.doc_id").alias("d0"), F.max("top").alias("d1"))
-    grams = grams.filter("d0 <> d1")
-    # one content: every document but the smallest loses the run
-    same = entries.filter("rep.doc_id <> top").select("m", "h", F.col("rep.doc_id").alias("least"))
-    whole = runs.join(same, ["m", "h"]).filter("doc_id > least").select("doc_id", "a", (F.col("b") + window).alias("stop"))
-    # several contents of one k-gram: search them in one another
-    several = entries.join(grams.filter("n > 1").select("m", (F.col("n") > HOT).alias("hot")), "m")
-    wanted = several.groupBy(F.col("rep.doc_id").alias("doc_id")).agg(
-        F.collect_list(F.struct("m", "h", F.col("rep.a").alias("a"), F.col("rep.b").alias("b"), "hot")).alias("entries")
-    )
-    cut = materialize(_cut(rows.join(wanted, "doc_id"), window), "cut")
-    cold = cut.filter("words is not null").select("m", "h", "doc_id", "words")
+    rep = F.min(F.struct("doc_id", "key", "a", "b", "left", "has_left", "right", "has_right", "twice")).alias("rep")
+    entries = materialize(runs.groupBy("m", "h").agg(rep, F.max("doc_id").alias("top")), "entries")
+    more = F.col("rep.doc_id") != F.col("top")
+    wanted = _that_may_share(entries).withColumn("searched", F.lit(True))
+    wanted = entries.join(wanted, ["m", "h"], "left").filter(more | F.col("searched"))
+    wanted = materialize(wanted.select("m", "h", "rep.doc_id", "rep.key", "rep.a", "rep.b", more.alias("more")), "wanted")
+    crowds = wanted.groupBy("m").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("m", F.lit(True).alias("hot"))
+    dealt = wanted.join(crowds, "m", "left").select("m", "h", "doc_id", "key", "a", "b", "more", F.coalesce("hot", F.lit(False)).alias("hot"))
+    dealt = dealt.groupBy("doc_id", "key").agg(F.collect_list(F.struct("m", "h", "a", "b", "more", "hot")).alias("entries"))
+    cut = materialize(_cut(rows.join(dealt, ["doc_id", "key"]), window), "cut")
+    cold = cut.filter("words is not null").select("m", "h", "doc_id", "more", "words")
     shards = max(LEAST_SHARDS, cold.count() // SHARD_ENTRIES)
     searched = (
         cold.withColumn("shard", F.pmod(F.xxhash64("m"), F.lit(shards)))
         .groupBy("shard")
-        .applyInPandas(lambda g: _search_shard(g.drop(columns="shard"), window), "m long, h long, doc_id long, ra long, rb long")
+        .applyInPandas(lambda g: _search_shard(g.drop(columns="shard"), window), "m long, h long, doc_id long, others boolean, ra long, rb long")
     )
     hot = cut.filter("rel is not null")
     least = hot.groupBy("w0", "w1").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("top")).filter("least <> top")
-    hot = hot.join(least, ["w0", "w1"]).filter("doc_id > least").select("m", "h", "doc_id", F.col("rel").alias("ra"), F.col("rel").alias("rb"))
-    found = materialize(searched.union(hot), "found")
-    parts = runs.join(found, ["m", "h", "doc_id"]).select(
-        "doc_id", (F.col("a") + F.col("ra")).alias("a"), (F.col("a") + F.col("rb") + window).alias("stop")
+    no = F.lit(False).alias("others")
+    windows = hot.join(least, ["w0", "w1"]).filter("doc_id > least").select("m", "h", "doc_id", no, F.col("rel").alias("ra"), F.col("rel").alias("rb"))
+    whole = wanted.join(crowds, "m").filter("more").select("m", "h", "doc_id", F.lit(True), F.lit(0).cast("long"), (F.col("b") - F.col("a")).cast("long"))
+    found = materialize(searched.union(windows).union(whole).withColumnRenamed("doc_id", "of"), "found")
+    mine = F.when(F.col("others"), F.col("doc_id") > F.col("of")).otherwise(F.col("doc_id") == F.col("of"))
+    parts = runs.join(found, ["m", "h"]).filter(mine).select(
+        "doc_id", "key", F.struct((F.col("a") + F.col("ra")).cast("int").alias("start"), (F.col("a") + F.col("rb") + window).cast("int").alias("stop")).alias("span")
     )
-    spans = whole.union(parts).groupBy("doc_id").agg(F.array_distinct(F.collect_list(F.struct(F.col("a").cast("int").alias("start"), F.col("stop").cast("int").alias("stop")))).alias("spans"))
-    return spans
+    return parts.groupBy("doc_id", "key").agg(F.array_distinct(F.collect_list("span")).alias("spans"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64("text"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text for each row of ``docs``; kept words are joined by one
     space. An empty table gives no rows."""
-    spans = repeated_spans(docs, window).withColumnRenamed("doc_id", "span_id")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    spans = repeated_spans(docs, window).withColumnsRenamed({"doc_id": "span_id", "key": "span_key"})
+    rows = _keyed(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,7 +271,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     names=["doc_id", "n_words", "n_removed", "kept", "kept_sha256"],
                 )
 
-    joined = rows.join(spans, F.col("doc_id") == F.col("span_id"), "left").select("doc_id", "text", "spans")
+    joined = rows.join(spans, (F.col("doc_id") == F.col("span_id")) & (F.col("key") == F.col("span_key")), "left").select("doc_id", "text", "spans")
     done = joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary, kept_sha256 string")
     return done.select("doc_id", "n_words", "n_removed", F.decode("kept", "UTF-8").alias("kept_text"), "kept_sha256")
 
