@@ -10,20 +10,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, table
+from .common import ascii_lower, materialize, settle, table
 
 FIRST_DIGIT = 32
 DIGIT_GROWTH = 8
 
 
-def _split(active: DataFrame, start: int, width: int, name: str, whole_rows: bool) -> DataFrame:
-    """One radix round over ``active(id, gid, body, sha)``: each row learns its group's size and
+def _split(active: DataFrame, start: int, width: int, name: str) -> DataFrame:
+    """One radix round over ``active(id, gid, text, sha)``: each row learns its group's size and
     largest id; ``goes_on`` marks rows of groups of two or more whose texts have not ended.
 
     Group sizes are counted with map-side partial sums, and rows learn them by a join that AQE may
     split, so a group holding a third of all rows is never in one task.
     """
-    text = F.coalesce("body.text", F.lit(""))
+    text = F.coalesce("text", F.lit(""))
     keyed = active.withColumns(
         {"digit": ascii_lower(F.substring(text, start, width)), "ended": F.length(text) < start + width}
     )
@@ -37,7 +37,7 @@ def _split(active: DataFrame, start: int, width: int, name: str, whole_rows: boo
     groups = materialize(groups, f"{name}-groups").hint("merge")
     joined = keyed.join(groups, ["gid", "digit", "ended"], "left")
     goes_on = F.col("n").isNotNull() & ~F.col("ended")
-    sha = F.sha2(ascii_lower(F.col("body.text")).cast("binary"), 256) if start == 1 else F.col("sha")
+    sha = F.sha2(ascii_lower(F.col("text")).cast("binary"), 256) if start == 1 else F.col("sha")
     return materialize(
         joined.select(
             "id",
@@ -45,27 +45,23 @@ def _split(active: DataFrame, start: int, width: int, name: str, whole_rows: boo
             F.col("next_gid").alias("gid"),
             F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
             F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("top")).alias("keep_id"),
-            (F.col("body") if whole_rows else F.when(goes_on, F.col("body"))).alias("body"),
+            F.when(goes_on, F.col("text")).alias("text"),
             goes_on.alias("goes_on"),
         ),
         name,
     )
 
 
-def _radix(docs: DataFrame, id_col: str, text_col: str, whole_rows: bool) -> DataFrame:
-    others = [F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns) if whole_rows]
+def _radix(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(
-        F.col(id_col).cast("long").alias("id"),
-        F.lit(0).cast("long").alias("gid"),
-        F.struct(F.col(text_col).alias("text"), *others).alias("body"),
-        F.lit("").alias("sha"),
+        F.col(id_col).cast("long").alias("id"), F.lit(0).cast("long").alias("gid"), F.col(text_col).cast("string").alias("text"), F.lit("").alias("sha")
     )
     out, start, width, k = None, 1, FIRST_DIGIT, 0
     while True:
-        state = _split(rows, start, width, f"radix{k}", whole_rows)
+        state = _split(rows, start, width, f"radix{k}")
         done = state.filter(~F.col("goes_on")).drop("goes_on").withColumn("round", F.lit(k))
         out = done if out is None else out.union(done)
-        rows = state.filter("goes_on").select("id", "gid", "body", "sha")
+        rows = state.filter("goes_on").select("id", "gid", "text", "sha")
         if rows.isEmpty():
             break
         start, width, k = start + width, width * DIGIT_GROWTH, k + 1
@@ -85,15 +81,33 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     others; of rows that repeat both text and id exactly one stays. An empty table gives no rows,
     and other columns of ``docs`` are not read.
     """
-    return _radix(docs, id_col, text_col, False).select(
+    return _radix(docs, id_col, text_col).select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256")
     )
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay by the rule of ``exact_duplicates``, with all their columns."""
-    kept = _radix(docs, id_col, text_col, True).filter("kept")
-    return kept.select(*[F.col(f"body.c{k}").alias(c) for k, c in enumerate(docs.columns)])
+    """The rows of ``docs`` that stay by the rule of ``exact_duplicates``, with all their columns.
+
+    Only ids and digests of the rows that go are kept meanwhile, and one anti-join drops them. Of
+    rows that repeat both id and text any one stays, with its own other columns.
+    """
+
+    def gone() -> DataFrame:
+        rows = _radix(docs, id_col, text_col).groupBy("id", "sha").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+        return rows.filter("not kept or n > 1").select("id", "sha", "kept")
+
+    found = settle(gone, "exact-dropped")
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    at = dict(zip(docs.columns, names, strict=True))
+    sha = F.sha2(ascii_lower(F.col(at[text_col]).cast("string")).cast("binary"), 256)
+    rows = docs.toDF(*names).withColumns({"id": F.col(at[id_col]).cast("long"), "sha": sha})
+    same = lambda part: rows["id"].eqNullSafe(part["id"]) & (rows["sha"] == part["sha"])
+    every, again = found.hint("merge"), found.filter("kept").hint("merge")
+    lone = rows.join(every, same(every), "left_anti").select(*names)
+    # one of each repeated row, by partial aggregates
+    one = rows.join(again, same(again), "left_semi").groupBy("id", "sha").agg(F.first(F.struct(*names)).alias("r")).select("r.*")
+    return lone.union(one).toDF(*docs.columns)
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:

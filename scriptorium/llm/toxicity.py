@@ -16,10 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import drop_table, materialize, table
 
 #: Labelled rows fitted at most, by label; the rows with the smallest hashes of their ids.
 EXAMPLES = {1: 1500, 0: 3000}
@@ -141,10 +142,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> BlockMaxIndex:
     chosen = F.broadcast(materialize(chosen, "examples"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").dropDuplicates(["doc_id"])
     terms = materialize(_terms(rows), "example-terms")
-    postings = terms.toArrow().to_pandas()  # the terms of at most sum(EXAMPLES) texts
-    sizes = postings.groupby("toxic")["doc_id"].nunique().to_dict()
+    sizes = {r["toxic"]: r["n"] for r in terms.groupBy("toxic").agg(F.count_distinct("doc_id").alias("n")).collect()}
     prior = shares.get(1, 0) / max(1, sum(shares.values()))
-    return _build(postings, shares, sizes, prior)
+    # counts of the terms and then the postings of those that are held: both are bounded by the sample
+    used = terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("toxic").alias("df1")).filter(F.col("df") >= LEAST_EXAMPLES)
+    used = materialize(used, "example-vocabulary")
+    counts = used.toArrow().sort_by("term")
+    neutral = _neutral(counts["df"].to_numpy().astype(float), counts["df1"].to_numpy().astype(float), sizes.get(0, 0), sizes.get(1, 0))
+    held = counts.filter(pa.array(~neutral))
+    postings = terms.join(used.select("term"), "term", "left_semi").toArrow()
+    for done in (terms, used):
+        drop_table(done)
+    return _build(held["term"].combine_chunks(), postings, shares, sizes, prior)
 
 
 def _neutral(df: np.ndarray, df1: np.ndarray, n0: int, n1: int) -> np.ndarray:
@@ -159,39 +168,46 @@ def _neutral(df: np.ndarray, df1: np.ndarray, n0: int, n1: int) -> np.ndarray:
     return (df < LEAST_EXAMPLES) | ((chi2 < LEAST_CHI2) & alike)
 
 
-def _build(postings, shares, sizes, prior) -> BlockMaxIndex:
-    used = postings.groupby("term")["toxic"].agg(["size", "sum"])
-    neutral = _neutral(used["size"].to_numpy(float), used["sum"].to_numpy(float), sizes.get(0, 0), sizes.get(1, 0))
-    held = used.index[~neutral].tolist()
-    postings = postings[postings["term"].isin(held)]
-    vocabulary = {t: k for k, t in enumerate(held)}
-    postings = postings.assign(t=postings["term"].map(vocabulary).astype("int64")).drop(columns="term").sort_values(["doc_id", "t"])
-    idf = np.log(max(sum(sizes.values()), 1) / np.bincount(postings["t"], minlength=len(held)))
-    postings["w"] = (1 + np.log(postings["tf"].to_numpy(float))) * idf[postings["t"].to_numpy(int)] if len(postings) else 0.0
-    norm = np.sqrt((postings["w"] ** 2).groupby(postings["doc_id"]).transform("sum")) if len(postings) else 1.0
-    postings["w"] = (postings["w"] / norm).fillna(0.0)
+def _build(held: pa.Array, postings: pa.Table, shares, sizes, prior) -> BlockMaxIndex:
+    """The index over the terms ``held`` of ``postings(doc_id, toxic, term, tf)``, as arrays throughout."""
+    place = pc.index_in(postings["term"], value_set=held)
+    keep = pc.is_valid(place)
+    t = place.filter(keep).to_numpy().astype(np.int64)
+    doc, toxic, tf = (postings[c].filter(keep).to_numpy() for c in ("doc_id", "toxic", "tf"))
+    order = np.lexsort((t, doc))
+    t, doc, toxic, tf = t[order], doc[order], toxic[order], tf[order]
+    terms = len(held)
+    idf = np.log(max(sum(sizes.values()), 1) / np.maximum(np.bincount(t, minlength=terms), 1))
+    ids, starts = np.unique(doc, return_index=True)
+    lengths = np.diff(np.append(starts, len(doc)))
+    of = np.repeat(np.arange(len(ids)), lengths)
+    w = (1 + np.log(tf.astype(float))) * idf[t]
+    norm = np.sqrt(np.bincount(of, w * w, len(ids)))[of]
+    w = np.divide(w, norm, out=np.zeros(len(w)), where=norm > 0)
     # examples with the same heaviest term stand together, so that few blocks have high bounds
-    top = postings.sort_values(["doc_id", "w", "t"]).groupby("doc_id").last().reset_index().sort_values(["toxic", "t", "doc_id"])
-    place = {d: k for k, d in enumerate(top["doc_id"])}
-    n, terms = len(top), len(vocabulary)
+    heaviest = np.zeros(len(ids), np.int64)
+    by_weight = np.lexsort((t, w, of))
+    heaviest[of[by_weight]] = t[by_weight]  # the last of each example stays
+    stand = np.lexsort((ids, heaviest, toxic[starts]))
+    at = np.empty(len(ids), np.int64)
+    at[stand] = np.arange(len(ids))
+    at = at[of]
+    n = len(ids)
     blocks = max(1, -(-n // BLOCK))
-    at = postings["doc_id"].map(place).to_numpy(np.int64) if n else np.zeros(0, np.int64)
-    t, w = postings["t"].to_numpy(np.int64), postings["w"].to_numpy(float)
     cell = t * blocks + at // BLOCK
     order = np.lexsort((at, cell))
-    cells, starts = np.unique(cell[order], return_index=True)
-    maxima = np.maximum.reduceat(w[order], starts) if len(cells) else np.zeros(0)
+    cells, first = np.unique(cell[order], return_index=True)
+    maxima = np.maximum.reduceat(w[order], first) if len(cells) else np.zeros(0)
     index = BlockMaxIndex(
-        vocabulary, idf, np.append(starts, len(order)), (at % BLOCK)[order], w[order],
-        maxima, top["toxic"].to_numpy(float), top["doc_id"].to_numpy(np.int64), blocks, empty=prior,
+        {x: k for k, x in enumerate(held.to_pylist())}, idf, np.append(first, len(order)), (at % BLOCK)[order], w[order],
+        maxima, toxic[starts][stand].astype(float), ids[stand], blocks, empty=prior,
         firsts=np.searchsorted(cells, np.arange(terms + 1) * blocks), cell_blocks=cells % blocks,
     )
     votes, truth = [], []
-    for doc, group in postings.groupby("doc_id"):
-        terms_, weights = group["t"].to_numpy(np.int64), group["w"].to_numpy(float)
-        vote = index.vote(*index.nearest(terms_, weights, NEIGHBOURS, skip=place[doc]))
-        votes.append(vote)
-        truth.append(int(group["toxic"].iat[0]))
+    for k in range(n):
+        span = slice(starts[k], starts[k] + lengths[k])
+        votes.append(index.vote(*index.nearest(t[span], w[span], NEIGHBOURS, skip=int(at[starts[k]]))))
+        truth.append(int(toxic[starts[k]]))
     _calibrate(index, np.array(votes), np.array(truth), shares, sizes, prior)
     return index
 
@@ -217,13 +233,8 @@ def _calibrate(index, votes, truth, shares, sizes, prior) -> None:
     index.slope, index.shift = max(0.0, float(beta[0])), float(beta[1])
 
 
-def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The columns of ``docs`` with __score and __evidence, a row for each row.
-
-    The score uses the text alone. A null or empty text, or one without a term of the index, gets
-    the share of toxic labels among such examples. Evidence lists the nearest examples as (doc_id,
-    toxic, cosine), nearest first. Repeated rows are scored alike; an empty table gives no rows.
-    """
+def _scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The columns of ``docs`` as c0, c1, ..., with score and evidence, a row for each row."""
     index = fit(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(index)
     names = [f"c{k}" for k in range(len(docs.columns))]
@@ -247,28 +258,34 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
                         near = [{"doc_id": int(index.ids[p]), "toxic": int(index.labels[p]), "cosine": float(c)} for p, c in zip(places[:EVIDENCE], cosines[:EVIDENCE], strict=True)]
                     scores.append(index.score(vote))
                     shown.append(near)
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(scores, pa.float64()), pa.array(shown, evidence)], names=[*names, "__score", "__evidence"])
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(scores, pa.float64()), pa.array(shown, evidence)], names=[*names, "score", "evidence"])
 
     fields = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))
-    scored = docs.toDF(*names).mapInArrow(run, f"{fields}, __score double, __evidence array<struct<doc_id:bigint,toxic:int,cosine:double>>")
-    return scored.toDF(*docs.columns, "__score", "__evidence")
+    return docs.toDF(*names).mapInArrow(run, f"{fields}, score double, evidence array<struct<doc_id:bigint,toxic:int,cosine:double>>")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, evidence for each row of ``docs``; see score_documents."""
-    scored = score_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels)
-    return scored.select(
-        "doc_id",
-        (~_learnt(F.col("doc_id"))).alias("held_out"),
-        F.col("__score").alias("score"),
-        (F.col("__score") >= CUT).cast("int").alias("predicted"),
-        F.col("__evidence").alias("evidence"),
+    """doc_id, held_out, score, predicted, evidence for each row of ``docs``.
+
+    The score uses the text alone. A null or empty text, or one without a term of the index, gets
+    the share of toxic labels among such examples. Evidence lists the nearest examples as (doc_id,
+    toxic, cosine), nearest first. Repeated rows are scored alike; an empty table gives no rows.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _scored(rows, labels).select(
+        F.col("c0").alias("doc_id"),
+        (~_learnt(F.col("c0"))).alias("held_out"),
+        "score",
+        (F.col("score") >= CUT).cast("int").alias("predicted"),
+        "evidence",
     )
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that score below ``CUT``."""
-    return score_documents(docs, labels).filter(F.col("__score") < CUT).select(*docs.columns)
+    """The rows of ``docs``, with all their columns, whose text scores below ``CUT``; a null or empty
+    text and repeated rows as in ``toxicity``, and a null id does not matter."""
+    kept = _scored(docs, labels).filter(F.col("score") < CUT)
+    return kept.select(*[f"c{k}" for k in range(len(docs.columns))]).toDF(*docs.columns)
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
