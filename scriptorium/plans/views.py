@@ -124,11 +124,16 @@ class Views:
         )
 
 
+#: Input for a core below which rows are dealt out: less than a split or two of the scan.
+SPREAD_BYTES = 64 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deals rows over all cores when the files give fewer tasks than there are cores; large inputs
-    have more and stay as they are."""
+    """Deals the rows of a small input over all cores: its files may be one row group, which is one
+    task's work however many splits there are. Larger inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(size) < cores * SPREAD_BYTES else df
 
 
 def lexicon_key(col):

@@ -26,6 +26,8 @@ def feedback_verdicts(stream: DataFrame, late: str = "1 day") -> DataFrame:
     """Every row with its verdict: accepted, replayed (same id and content) or conflict (same id,
     other content). ``stream`` has submission_id, event_id, fingerprint, ts."""
 
+    kept_ms = max(1, int(pd.Timedelta(late).total_seconds() * 1000))  # an id is remembered as long as it may come again
+
     def judge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -39,7 +41,7 @@ def feedback_verdicts(stream: DataFrame, late: str = "1 day") -> DataFrame:
             ordered = frame.sort_values(["ts", "event_id"])
             yield pd.DataFrame({"submission_id": key[0], "event_id": ordered["event_id"].to_numpy(), "verdict": verdicts})
         state.update((first,))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 86_400_000)
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + kept_ms)
 
     return _timed(stream, late).groupBy("submission_id").applyInPandasWithState(
         judge, "submission_id string, event_id long, verdict string", "fingerprint string", "append", GroupStateTimeout.EventTimeTimeout
