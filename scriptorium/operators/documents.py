@@ -90,6 +90,18 @@ def match_boxes(expected: DataFrame, predicted: DataFrame, least: float = 0.5) -
     return pairs.withColumn("r", best).filter("r = 1").drop("r")
 
 
+def match_quality(expected: DataFrame, predicted: DataFrame, least: float = 0.5) -> DataFrame:
+    """Per page: boxes expected, predicted and matched, precision and recall. A predicted box counts once
+    however many expected ones it matches best."""
+    matched = match_boxes(expected, predicted, least).groupBy("page").agg(F.count("*").alias("m"), F.count_distinct("predicted_id").alias("used"))
+    counts = expected.select("page", F.lit(1).alias("e"), F.lit(0).alias("p")).union(predicted.select("page", F.lit(0), F.lit(1))).groupBy("page").agg(F.sum("e").alias("expected"), F.sum("p").alias("predicted"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    share = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(0.0), 6)
+    return counts.join(matched, "page", "left").select(
+        "page", "expected", "predicted", zero("m").alias("matched"), share(zero("used"), F.col("predicted")).alias("precision"), share(zero("m"), F.col("expected")).alias("recall")
+    )
+
+
 def outbox(submitted: DataFrame, acknowledged: DataFrame, deleted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(submissions without acknowledgement, submissions whose document was deleted)."""
     return submitted.join(acknowledged, "submission_id", "left_anti"), submitted.join(deleted, "document_id", "left_semi")

@@ -53,8 +53,10 @@ def agg2(spark, d):
 
 
 @query("agg3_metric_bundle", """
-SELECT count(*) AS n, round(sum(edits) / sum(ref_chars), 4) AS cer, round(sum(edits_uncased) / sum(ref_chars), 4) AS cer_uncased, round(avg((ref = hyp)::INT), 4) AS exact_rate,
-  round(avg(abs(length(ref) - length(hyp)) / length(ref)), 4) AS length_gap FROM scored""", "scored")
+WITH w AS (SELECT *, list_filter(string_split(ref, ' '), lambda x: x <> '') AS a, list_filter(string_split(hyp, ' '), lambda x: x <> '') AS b FROM scored)
+SELECT count(*) AS n, round(sum(edits) / sum(ref_chars), 4) AS cer, round(sum(len(list_filter(list_zip(a, b), lambda p: p[1] IS DISTINCT FROM p[2]))) / sum(len(a)), 4) AS wer,
+  round(sum(edits_uncased) / sum(ref_chars), 4) AS cer_uncased, round(avg(edits / ref_chars), 4) AS mean_row_cer, round(avg((ref = hyp)::INT), 4) AS exact_rate,
+  round(avg(abs(length(ref) - length(hyp)) / length(ref)), 4) AS length_gap FROM w""", "scored")
 def agg3(spark, d):
     return M.metric_bundle(Views(spark, d).ref_hyp)
 
@@ -137,6 +139,13 @@ def agg21(spark, d):
     return M.calibration_bins(Views(spark, d).words.withColumn("is_error", F.length("text") % 3 == 0))
 
 
+@query("agg4_stratified_words", r"""
+WITH w AS (SELECT *, list_filter(string_split(ref, ' '), lambda x: x <> '') AS a, list_filter(string_split(hyp, ' '), lambda x: x <> '') AS b FROM ref_hyp)
+SELECT lang, source, sum(len(list_filter(list_zip(a, b), lambda p: p[1] IS DISTINCT FROM p[2])))::BIGINT AS word_edits, sum(len(a))::BIGINT AS ref_words FROM w GROUP BY lang, source""", "ref_hyp")
+def agg4_words(spark, d):
+    return M.error_rates(Views(spark, d).ref_hyp, ["lang", "source"]).select("lang", "source", "word_edits", "ref_words")
+
+
 @query("win4_worst_n", """
 SELECT doc_id, line_no, ref, hyp, round(edits / ref_chars, 6) AS cer FROM scored ORDER BY cer DESC, doc_id, line_no LIMIT 100""", "scored")
 def win4(spark, d):

@@ -77,10 +77,26 @@ WITH {_BOX}, b AS (SELECT page, page * 10 + box_no AS id, min(x0) AS x0, min(y0)
     FROM e JOIN p ON e.page = p.page AND e.x0 < p.x1 AND p.x0 < e.x1 AND e.y0 < p.y1 AND p.y0 < e.y1)
 SELECT page, expected_id, predicted_id, round(iou, 6) AS iou FROM (SELECT *, i / (s - i) AS iou, row_number() OVER (PARTITION BY expected_id ORDER BY i / (s - i) DESC, predicted_id) AS r FROM m WHERE i / (s - i) >= 0.5) WHERE r = 1""", "boxes")
 def join12(spark, d):
-    boxes = D.box_geometry(Views(spark, d).boxes).groupBy("page", (F.col("page") * 10 + F.col("box_no")).alias("id")).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    boxes = _boxes(spark, d)
     return D.match_boxes(boxes.filter("id % 2 = 0"), boxes.filter("id % 2 = 1")).withColumn("iou", F.round("iou", 6))
 
 
+@query("join12_match_quality", f"""
+WITH {_BOX}, b AS (SELECT page, page * 10 + box_no AS id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM o GROUP BY page, box_no), e AS (SELECT * FROM b WHERE id % 2 = 0), p AS (SELECT * FROM b WHERE id % 2 = 1),
+  m AS (SELECT e.page, e.id AS expected_id, p.id AS predicted_id, (least(e.x1, p.x1) - greatest(e.x0, p.x0)) * (least(e.y1, p.y1) - greatest(e.y0, p.y0)) AS i, (e.x1 - e.x0) * (e.y1 - e.y0) + (p.x1 - p.x0) * (p.y1 - p.y0) AS s
+    FROM e JOIN p ON e.page = p.page AND e.x0 < p.x1 AND p.x0 < e.x1 AND e.y0 < p.y1 AND p.y0 < e.y1),
+  g AS (SELECT page, expected_id, arg_max(predicted_id, (i / (s - i), -predicted_id)) AS predicted_id FROM m WHERE i / (s - i) >= 0.5 GROUP BY ALL),
+  c AS (SELECT page, count(*) FILTER (id % 2 = 0) AS expected, count(*) FILTER (id % 2 = 1) AS predicted FROM b GROUP BY page), h AS (SELECT page, count(*) AS m, count(DISTINCT predicted_id) AS used FROM g GROUP BY page)
+SELECT page, expected, predicted, coalesce(m, 0) AS matched, CASE WHEN predicted > 0 THEN round(coalesce(used, 0) / predicted, 6) ELSE 0.0 END AS precision, CASE WHEN expected > 0 THEN round(coalesce(m, 0) / expected, 6) ELSE 0.0 END AS recall FROM c LEFT JOIN h USING (page)""", "boxes")
+def join12_quality(spark, d):
+    boxes = _boxes(spark, d)
+    return D.match_quality(boxes.filter("id % 2 = 0"), boxes.filter("id % 2 = 1"))
+
+
+def _boxes(spark, d):
+    return D.box_geometry(Views(spark, d).boxes).groupBy("page", (F.col("page") * 10 + F.col("box_no")).alias("id")).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+
+
 @query("join14_feedback_outbox", """
 WITH s AS (SELECT DISTINCT submission_id, document_id FROM feedback), a AS (SELECT submission_id FROM feedback WHERE confidence < 0.2), g AS (SELECT user_id AS document_id FROM events WHERE value > 300)
 SELECT document_id, count(*) FILTER (submission_id NOT IN (SELECT submission_id FROM a)) AS pending, count(*) FILTER (document_id IN (SELECT document_id FROM g)) AS cascaded FROM s GROUP BY document_id""", "feedback")
