@@ -40,6 +40,18 @@ def str2(spark, d):
     return J.drain(J.debounced(stream, "1 hour"), folder, "bursts")
 
 
+@query("str2_edit_commits", """
+WITH e AS (SELECT user_id AS doc_id, CAST(json_extract(props, '$.k') AS BIGINT) % 4 AS line_no, event_id, event_type AS text, CASE WHEN event_id % 3 = 0 THEN event_type ELSE '' END AS original, event_id % 7 = 0 AS flush, ts FROM events),
+  o AS (SELECT *, lead(ts) OVER (PARTITION BY doc_id, line_no ORDER BY ts, event_id) AS later FROM e)
+SELECT doc_id, line_no, event_id, text FROM o WHERE text <> original AND (flush OR later >= ts + INTERVAL 1 HOUR OR (later IS NULL AND ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM e) - INTERVAL 10 SECOND))""")
+def str2_commits(spark, d):
+    rows = Views(spark, d).table("events").selectExpr(
+        "user_id as doc_id", "cast(get_json_object(props, '$.k') as bigint) % 4 as line_no", "event_id", "event_type as text", "case when event_id % 3 = 0 then event_type else '' end as original", "event_id % 7 = 0 as flush", "ts"
+    )
+    stream, folder = _stream(spark, d, rows)
+    return J.drain(J.edit_commits(stream, "1 hour"), folder, "commits")
+
+
 @query("str3_confusion_stream")
 def str3(spark, d):
     v = Views(spark, d)

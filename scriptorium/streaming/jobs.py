@@ -54,6 +54,43 @@ def debounced(stream: DataFrame, quiet: str = "500 milliseconds", late: str = "1
     return bursts.agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.count("*").alias("n")).select("doc_id", "line_no", "w.start", "event_id", "n")
 
 
+def edit_commits(stream: DataFrame, quiet: str = "500 milliseconds", late: str = "10 seconds") -> DataFrame:
+    """What an editor commits of each line: doc_id, line_no, event_id, text. An edit is committed once no
+    other came for ``quiet``, or at once with ``flush``; an edit that is the original text is not.
+
+    ``stream`` has doc_id, line_no, event_id, text, original, flush, ts. One pending edit is held per line.
+    """
+    wait = int(pd.Timedelta(quiet).total_seconds() * 1000)
+    columns = ["event_id", "text", "original", "at"]
+
+    def commit(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pending, done = (tuple(state.get) if state.exists else None), []
+        if state.hasTimedOut:
+            done.append(pending)
+            state.remove()
+        else:
+            rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+            rows["at"] = rows["ts"].astype("datetime64[ms]").astype("int64")
+            for flush, *edit in rows[["flush", *columns]].itertuples(index=False):
+                if pending is not None and edit[3] - pending[3] >= wait:
+                    done.append(pending)
+                pending = tuple(edit)
+                if flush:
+                    done.append(pending)
+                    pending = None
+            if pending is not None:
+                state.update(pending)
+                state.setTimeoutTimestamp(max(pending[3] + wait, state.getCurrentWatermarkMs() + 1))
+            elif state.exists:
+                state.remove()
+        kept = [(key[0], key[1], e[0], e[1]) for e in done if e[1] != e[2]]
+        yield pd.DataFrame(kept, columns=["doc_id", "line_no", "event_id", "text"])
+
+    return _timed(stream, late).groupBy("doc_id", "line_no").applyInPandasWithState(
+        commit, "doc_id long, line_no long, event_id long, text string", "event_id long, text string, original string, at long", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
 def confusion_updates(stream: DataFrame, rate: float = 0.05, floor: float = 0.15, start: float = 1.20, late: str = "1 day") -> DataFrame:
     """Costs per unordered pair as mined steps arrive: a, b, previous_cost, cost, update_count."""
 
