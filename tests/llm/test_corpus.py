@@ -403,6 +403,42 @@ def test_license_notices_over_lines(spark):
     assert [r.line for r in scanned("Permission\nis hereby given\n\nfree\n# software")] == [0, 3]
 
 
+def test_license_scan_against_all_windows(spark):
+    """Notices with words lost or changed, between filler: a plain scan of every window of every template."""
+    import difflib
+
+    r = random.Random(11)
+    templates = {k: license_scan.words_of(v)[0] for k, v in license_scan.TEMPLATES.items()}
+    data = []
+    for k in range(40):
+        text = words(r, r.randrange(5, 30)).split()
+        for _ in range(r.randrange(3)):
+            notice = list(r.choice(list(templates.values())))
+            for _ in range(r.randrange(max(2, len(notice) // 7))):
+                at = r.randrange(len(notice))
+                notice[at : at + 1] = r.choice([[], ["other"], [notice[at], "more"]])
+            text += notice + words(r, r.randrange(20, 90)).split()
+        data.append((k, " ".join(text)))
+
+    def plain(text, template):
+        found, at = 0, 0
+        while at < len(text):
+            window = text[at : at + len(template) + len(template) // 4]
+            if text[at] in template:
+                blocks = difflib.SequenceMatcher(None, template, window, autojunk=False).get_matching_blocks()
+                if sum(b.size for b in blocks) >= license_scan.CONFIRM * len(template):
+                    found, at = found + 1, at + blocks[-2].b + blocks[-2].size
+                    continue
+            at += 1
+        return found
+
+    want = {(k, name): n for k, text in data for name, t in templates.items() if (n := plain(text.split(), t))}
+    got = {}
+    for x in license_scan.scan_licenses(spark.createDataFrame(data, "doc_id long, text string")).filter("confirmed").collect():
+        got[x.doc_id, x.license] = got.get((x.doc_id, x.license), 0) + 1
+    assert got == want and len(want) > 10
+
+
 def test_word_hashes_split_like_bytes():
     texts = [b"", b" ", b"a", b" a\tb\x0bc  ", "é x y".encode(), b"a b"]
     hashes, counts = hashing.word_hashes(texts)
