@@ -3,9 +3,9 @@
 A passage of ``WINDOW`` words that two documents share has the same smallest k-gram in both, so
 runs of windows are dealt to shards by that k-gram. Runs of one content are one entry, which knows
 the smallest document that has it and whether others have it too. The entries are the text of their
-shard's FM-index, and each is streamed backwards against it: once for its smallest document, to
-report the windows that still smaller documents hold in other entries, and once for the others.
-Entries of which neither side of the k-gram is found anywhere else share no window and stay out.
+shard's FM-index and are streamed backwards against it: for the others that have an entry, and, if
+a side of its k-gram is found elsewhere, for its smallest document, to report the windows that still
+smaller documents hold in other entries. Entries with neither share no window and stay out.
 """
 
 from __future__ import annotations
@@ -72,25 +72,28 @@ def window_minima(grams: np.ndarray, span: int) -> np.ndarray:
 
 
 def _sides(hashes: np.ndarray, grams: np.ndarray, least: np.ndarray, a: np.ndarray, b: np.ndarray, window: int, rolling: Rolling):
-    """For each run a..b with the smallest k-gram ``least``: hashes of the words before and after it, and
-    whether it has them. A window holds at least one side of its k-gram, so runs that share a window
-    share a side. A run in which the k-gram occurs twice has no sides."""
-    reach = (window - GRAM + 1) // 2
-    size = b - a + 1 + window - GRAM
-    of = np.repeat(np.arange(len(a)), size)
-    at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size - a, size)
-    hit = grams[at] == least[of]
-    once = np.bincount(of[hit], minlength=len(a)) == 1
-    place = np.zeros(len(a), np.int64)
-    place[of[hit]] = at[hit]
-    sides = []
+    """For each run a..b with the smallest k-gram ``least``: a hash of its words; hashes of the words before
+    and after the k-gram, and whether the run has them; and whether it has the k-gram twice. A window
+    holds at least one side of its k-gram, so runs that share a window share a side. A run with
+    the k-gram twice has no sides."""
+    reach, n = (window - GRAM + 1) // 2, len(grams)
+    # the k-gram's first place in the run and the next one, among all places in the order of k-grams
+    order = np.argsort(grams, kind="stable")
+    values = grams[order]
+    group = np.concatenate([[0], np.cumsum(values[1:] != values[:-1])])
+    own = group[np.searchsorted(values, least)]
+    at = np.searchsorted(group * n + order, own * n + a)
+    place, after = order[at], np.minimum(at + 1, n - 1)
+    twice = (at + 1 < n) & (group[after] == own) & (order[after] <= b + window - GRAM)
+    starts, stops, has = [a], [b + window], []
     for start in (place - reach, place + GRAM):
-        inside = once & (start >= a) & (start + reach <= b + window)
-        s = np.where(inside, start, 0)
-        value = rolling.of(hashes, s, np.where(inside, s + reach, s)).view(np.int64)
-        sides.append(np.where(inside, value, 0))
-        sides.append(inside)
-    return *sides, ~once
+        inside = ~twice & (start >= a) & (start + reach <= b + window)
+        starts.append(np.where(inside, start, 0))
+        stops.append(np.where(inside, start + reach, 0))
+        has.append(inside)
+    found = rolling.of(hashes, np.concatenate(starts), np.concatenate(stops)).view(np.int64)
+    whole, left, right = np.split(found, 3)
+    return whole, np.where(has[0], left, 0), has[0], np.where(has[1], right, 0), has[1], twice
 
 
 def _runs(docs: DataFrame, window: int) -> DataFrame:
@@ -118,8 +121,7 @@ def _runs(docs: DataFrame, window: int) -> DataFrame:
                         a = np.repeat(a, parts) + step * RUN
                         size = np.minimum(RUN, end - a)
                     b = a + size - 1
-                    whole = rolling.of(hashes, a, b + window).view(np.int64)
-                    sides = _sides(hashes, grams, least[a], a, b, window, rolling)
+                    whole, *sides = _sides(hashes, grams, least[a], a, b, window, rolling)
                     out.append((least[a].view(np.int64), whole, np.full(len(a), doc, np.int64), np.full(len(a), key, np.int64), a.astype(np.int32), b.astype(np.int32), *sides))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=names)
@@ -129,8 +131,8 @@ def _runs(docs: DataFrame, window: int) -> DataFrame:
 
 def _cut(docs: DataFrame, window: int) -> DataFrame:
     """The entries' words as hashes, or for entries of hot k-grams a row per window."""
-    names = ["m", "h", "doc_id", "more", "words", "rel", "w0", "w1"]
-    kinds = {"words": pa.binary(), "more": pa.bool_()}
+    names = ["m", "h", "doc_id", "more", "searched", "words", "rel", "w0", "w1"]
+    kinds = {"words": pa.binary(), "more": pa.bool_(), "searched": pa.bool_()}
     schema = pa.schema([(n, kinds.get(n, pa.int64())) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,21 +145,21 @@ def _cut(docs: DataFrame, window: int) -> DataFrame:
                     for e in row["entries"]:
                         stop = e["b"] + window
                         if not e["hot"]:
-                            cold.append((e["m"], e["h"], row["doc_id"], e["more"], hashes[e["a"] : stop].tobytes()))
+                            cold.append((e["m"], e["h"], row["doc_id"], e["more"], e["searched"], hashes[e["a"] : stop].tobytes()))
                             continue
                         first = np.arange(e["a"], e["b"] + 1)
                         w = [r.of(hashes, first, first + window).view(np.int64) for r in rolling]
                         n = len(first)
                         hot.append((np.full(n, e["m"]), np.full(n, e["h"]), np.full(n, row["doc_id"]), first - e["a"], *w))
                 if cold:
-                    m, h, d, more, words = zip(*cold, strict=True)
+                    m, h, d, more, searched, words = zip(*cold, strict=True)
                     none = pa.nulls(len(m), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(h), pa.array(d), pa.array(more), pa.array(words, pa.binary()), none, none, none], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(h), pa.array(d), pa.array(more), pa.array(searched), pa.array(words, pa.binary()), none, none, none], schema=schema)
                 if hot:
                     m, h, d, rel, w0, w1 = (pa.array(np.concatenate(x), pa.int64()) for x in zip(*hot, strict=True))
-                    yield pa.RecordBatch.from_arrays([m, h, d, pa.nulls(len(m), pa.bool_()), pa.nulls(len(m), pa.binary()), rel, w0, w1], schema=schema)
+                    yield pa.RecordBatch.from_arrays([m, h, d, pa.nulls(len(m), pa.bool_()), pa.nulls(len(m), pa.bool_()), pa.nulls(len(m), pa.binary()), rel, w0, w1], schema=schema)
 
-    return docs.mapInArrow(run, "m long, h long, doc_id long, more boolean, words binary, rel long, w0 long, w1 long")
+    return docs.mapInArrow(run, "m long, h long, doc_id long, more boolean, searched boolean, words binary, rel long, w0 long, w1 long")
 
 
 def _search_shard(group: pd.DataFrame, window: int) -> pd.DataFrame:
@@ -177,9 +179,9 @@ def _search_shard(group: pd.DataFrame, window: int) -> pd.DataFrame:
     owners = np.full(len(text), len(group), np.int32)
     owners[places] = np.repeat(ranks, lengths)
     index = FmIndex(text, owners, RUN + window)
-    more = np.flatnonzero(group["more"].to_numpy(bool))
-    streamed = np.concatenate([np.arange(len(group)), more])
-    below = np.concatenate([ranks, ranks[more] + 1]).astype(np.int32)
+    first, more = (np.flatnonzero(group[c].to_numpy(bool)) for c in ("searched", "more"))
+    streamed = np.concatenate([first, more])
+    below = np.concatenate([ranks[first], ranks[more] + 1]).astype(np.int32)
     found = matched_windows(index, text, starts[streamed], (lengths - window + 1)[streamed], below, window)
     rows = []
     for k, hit in enumerate(found):
@@ -187,7 +189,7 @@ def _search_shard(group: pd.DataFrame, window: int) -> pd.DataFrame:
         rows += [(k, a, b - 1) for a, b in edge.reshape(-1, 2).tolist()]
     k, ra, rb = np.array(rows, np.int64).reshape(-1, 3).T
     out = group[["m", "h", "doc_id"]].iloc[streamed[k]].reset_index(drop=True)
-    return out.assign(others=k >= len(group), ra=ra, rb=rb)
+    return out.assign(others=k >= len(first), ra=ra, rb=rb)
 
 
 def _that_may_share(entries: DataFrame) -> DataFrame:
@@ -215,14 +217,15 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     more = F.col("rep.doc_id") != F.col("top")
     wanted = _that_may_share(entries).withColumn("searched", F.lit(True))
     wanted = entries.join(wanted, ["m", "h"], "left").filter(more | F.col("searched"))
-    wanted = materialize(wanted.select("m", "h", "rep.doc_id", "rep.key", "rep.a", "rep.b", more.alias("more")), "wanted")
+    searched = F.coalesce("searched", F.lit(False)).alias("searched")
+    wanted = materialize(wanted.select("m", "h", "rep.doc_id", "rep.key", "rep.a", "rep.b", more.alias("more"), searched), "wanted")
     crowds = wanted.groupBy("m").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("m", F.lit(True).alias("hot"))
-    dealt = wanted.join(crowds, "m", "left").select("m", "h", "doc_id", "key", "a", "b", "more", F.coalesce("hot", F.lit(False)).alias("hot"))
-    dealt = dealt.groupBy("doc_id", "key").agg(F.collect_list(F.struct("m", "h", "a", "b", "more", "hot")).alias("entries"))
+    dealt = wanted.join(crowds, "m", "left").select("m", "h", "doc_id", "key", "a", "b", "more", "searched", F.coalesce("hot", F.lit(False)).alias("hot"))
+    dealt = dealt.groupBy("doc_id", "key").agg(F.collect_list(F.struct("m", "h", "a", "b", "more", "searched", "hot")).alias("entries"))
     cut = materialize(_cut(rows.join(dealt, ["doc_id", "key"]), window), "cut")
-    cold = cut.filter("words is not null").select("m", "h", "doc_id", "more", "words")
+    cold = cut.filter("words is not null").select("m", "h", "doc_id", "more", "searched", "words")
     shards = max(LEAST_SHARDS, cold.count() // SHARD_ENTRIES)
-    searched = (
+    hits = (
         cold.withColumn("shard", F.pmod(F.xxhash64("m"), F.lit(shards)))
         .groupBy("shard")
         .applyInPandas(lambda g: _search_shard(g.drop(columns="shard"), window), "m long, h long, doc_id long, others boolean, ra long, rb long")
@@ -232,7 +235,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     no = F.lit(False).alias("others")
     windows = hot.join(least, ["w0", "w1"]).filter("doc_id > least").select("m", "h", "doc_id", no, F.col("rel").alias("ra"), F.col("rel").alias("rb"))
     whole = wanted.join(crowds, "m").filter("more").select("m", "h", "doc_id", F.lit(True), F.lit(0).cast("long"), (F.col("b") - F.col("a")).cast("long"))
-    found = materialize(searched.union(windows).union(whole).withColumnRenamed("doc_id", "of"), "found")
+    found = materialize(hits.union(windows).union(whole).withColumnRenamed("doc_id", "of"), "found")
     mine = F.when(F.col("others"), F.col("doc_id") > F.col("of")).otherwise(F.col("doc_id") == F.col("of"))
     parts = runs.join(found, ["m", "h"]).filter(mine).select(
         "doc_id", "key", F.struct((F.col("a") + F.col("ra")).cast("int").alias("start"), (F.col("a") + F.col("rb") + window).cast("int").alias("stop")).alias("span")
