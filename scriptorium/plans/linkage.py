@@ -99,9 +99,9 @@ def agg19(spark, d):
 
 
 @query("prj5_context_features", r"""
-SELECT dosage, route, frequency, form, count(*) AS n FROM (SELECT lower(replace(nullif(regexp_extract(t, '\b(\d+(?:\.\d+)? ?(?:mg|mcg|g|ml))\b', 1, 'i'), ''), ' ', '')) AS dosage,
-  upper(nullif(regexp_extract(t, '\b(po|iv|im|sc|sl|pr|oral|topical)\b', 1, 'i'), '')) AS route, upper(nullif(regexp_extract(t, '\b(qd|bid|tid|qid|prn|qhs|daily)\b', 1, 'i'), '')) AS frequency,
-  lower(nullif(regexp_extract(t, '\b(tablet|tab|capsule|cap|syrup|cream|injection)\b', 1, 'i'), '')) AS form
+SELECT dosage, route, frequency, form, count(*) AS n FROM (SELECT lower(replace(nullif(regexp_extract(t, '(?:^|[^\pL\pN_])(\d+(?:\.\d+)? ?(?:mg|mcg|g|ml))(?:$|[^\pL\pN_])', 1, 'i'), ''), ' ', '')) AS dosage,
+  upper(nullif(regexp_extract(t, '(?:^|[^\pL\pN_])(po|iv|im|sc|sl|pr|oral|topical)(?:$|[^\pL\pN_])', 1, 'i'), '')) AS route, upper(nullif(regexp_extract(t, '(?:^|[^\pL\pN_])(qd|bid|tid|qid|prn|qhs|daily)(?:$|[^\pL\pN_])', 1, 'i'), '')) AS frequency,
+  lower(nullif(regexp_extract(t, '(?:^|[^\pL\pN_])(tablet|tab|capsule|cap|syrup|cream|injection)(?:$|[^\pL\pN_])', 1, 'i'), '')) AS form
   FROM (SELECT text || ' ' || length(text) || CASE line_no % 3 WHEN 0 THEN ' mg PO bid' WHEN 1 THEN 'g iv Tablet' ELSE ' daily cream' END AS t FROM lines)) GROUP BY ALL""", "lines")
 def prj5(spark, d):
     rows = Views(spark, d).lines.selectExpr("concat(text, ' ', length(text), case line_no % 3 when 0 then ' mg PO bid' when 1 then 'g iv Tablet' else ' daily cream' end) as text")
