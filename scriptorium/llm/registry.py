@@ -12,6 +12,7 @@ from . import (
     ngram_join,
     packing,
     pivot_dedup,
+    secret_ledger,
     substring_dedup,
     token_counts,
     toxicity,
@@ -28,9 +29,11 @@ QUERIES = {
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_secret_ledger": secret_ledger.op11_secret_ledger,
     "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op11_secret_ledger": secret_ledger.OP11_SQL,
 }
