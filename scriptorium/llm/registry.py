@@ -7,6 +7,7 @@ import corpus_pipeline
 from . import (
     compaction,
     exact_dedup,
+    hard_negatives,
     license_scan,
     mixing,
     ngram_join,
@@ -30,10 +31,12 @@ QUERIES = {
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op11_secret_ledger": secret_ledger.op11_secret_ledger,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op11_secret_ledger": secret_ledger.OP11_SQL,
+    "op12_hard_negatives": hard_negatives.OP12_SQL,
 }
