@@ -6,6 +6,7 @@ import corpus_pipeline
 
 from . import (
     compaction,
+    conversation_trie,
     exact_dedup,
     hard_negatives,
     license_scan,
@@ -32,6 +33,7 @@ QUERIES = {
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op11_secret_ledger": secret_ledger.op11_secret_ledger,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_conversation_trie": conversation_trie.op13_conversation_trie,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -39,4 +41,5 @@ SQL = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op11_secret_ledger": secret_ledger.OP11_SQL,
     "op12_hard_negatives": hard_negatives.OP12_SQL,
+    "op13_conversation_trie": conversation_trie.OP13_SQL,
 }
