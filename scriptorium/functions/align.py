@@ -85,18 +85,19 @@ def osa_distance(a: str, b: str) -> int:
     return last[-1]
 
 
-def align(a: str, b: str, costs: dict[tuple[str, str], float]) -> tuple[float, list[tuple[str, str, str, float]]]:
+def align(a: str, b: str, costs: dict[tuple[str, str], float], longest: int = 3) -> tuple[float, list[tuple[str, str, str, float]]]:
     """(cost, steps) of the cheapest alignment; steps are (op, source, target, cost) in order.
 
-    Steps may take one or two characters on either side. Pairs in ``costs`` cost what it says;
-    other single characters cost ``UNMAPPED``; other multi-character pairs are not possible.
-    Ties go to the first of: match, substitution, 2:1, 1:2, 2:2, transposition, deletion, insertion.
+    Steps may take up to ``longest`` characters on either side. Pairs in ``costs`` cost what it says;
+    other single characters cost ``UNMAPPED``; other multi-character pairs are not possible. Ties go to the
+    first of: match or substitution, 2:1, 1:2, 2:2, 3:1, 1:3, 3:2, 2:3, 3:3, transposition, deletion, insertion.
+    This is the form for a single pair; ``multigram`` has that for many.
     """
     rows, columns = len(a) + 1, len(b) + 1
     best = np.full((rows, columns), np.inf)
     move = np.zeros((rows, columns, 2), np.int8)
     best[0, 0] = 0
-    shapes = ((1, 1), (2, 1), (1, 2), (2, 2))
+    shapes = [s for s in ((1, 1), (2, 1), (1, 2), (2, 2), (3, 1), (1, 3), (3, 2), (2, 3), (3, 3)) if max(s) <= longest]
     for i in range(rows):
         for j in range(columns):
             if not i and not j:
@@ -108,10 +109,10 @@ def align(a: str, b: str, costs: dict[tuple[str, str], float]) -> tuple[float, l
                     price = 0.0 if (di, dj) == (1, 1) and source == target else costs.get((source, target))
                     if price is None and (di, dj) == (1, 1):
                         price = UNMAPPED
-                    if price is None and (di, dj) == (2, 2) and source == target[::-1] and source != target:
-                        price = TRANSPOSE
-                    if price is not None:
+                    if price is not None and (source != target or di == dj == 1):
                         options.append((best[i - di, j - dj] + price, di, dj))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] != a[i - 2] == b[j - 1] and (a[i - 2 : i], b[j - 2 : j]) not in costs:
+                options.append((best[i - 2, j - 2] + TRANSPOSE, 2, 2))
             if i:
                 options.append((best[i - 1, j] + DELETE, 1, 0))
             if j:

@@ -20,6 +20,43 @@ def agg13(spark, d):
     return C.mine(_corrections(spark, d))
 
 
+#: Lines in which one shape was written for another: ``rn`` for ``m`` once, ``mcg`` for ``mg``, and ``rn`` for ``m`` with a space lost.
+_PLANTED = """CASE (doc_id * 31 + line_no) % 3 WHEN 0 THEN 'x rn ' || text WHEN 1 THEN text || ' 5 mcg' ELSE 'in torn papers ' || text END"""
+_MISREAD = """CASE (doc_id * 31 + line_no) % 3 WHEN 0 THEN 'x m ' || text WHEN 1 THEN text || ' 5 mg' ELSE 'in tompapers ' || text END"""
+_PLANTED_SQL = """
+SELECT op, a, b, count(*) AS n FROM (SELECT unnest(CASE (doc_id * 31 + line_no) % 3 WHEN 0 THEN [{'op': 'substitute', 'a': 'm', 'b': 'rn'}]
+  WHEN 1 THEN [{'op': 'substitute', 'a': 'mcg', 'b': 'mg'}] ELSE [{'op': 'substitute', 'a': 'm', 'b': 'rn'}, {'op': 'delete', 'a': '', 'b': ' '}] END, recursive := true)
+  FROM lines WHERE length(text) < 900) GROUP BY op, a, b"""
+
+
+def _planted(spark, d):
+    return Views(spark, d).lines.filter("length(text) < 900").selectExpr("doc_id", "line_no", f"{_PLANTED} AS prediction", f"{_MISREAD} AS correction")
+
+
+@query("agg13_planted_shapes", _PLANTED_SQL, "lines")
+def agg13_planted(spark, d):
+    return C.mine(_planted(spark, d))
+
+
+@query("udf2_lateral_align", _PLANTED_SQL, "lines")
+def udf2(spark, d):
+    C.register_align(spark)
+    return spark.sql(
+        """SELECT op, least(source, target) AS a, greatest(source, target) AS b, count(*) AS n
+        FROM (SELECT collect_list(prediction) AS p, collect_list(correction) AS c FROM {rows} GROUP BY doc_id div 20), LATERAL align(p, c) GROUP BY ALL""",
+        rows=_planted(spark, d),
+    )
+
+
+@query("udf2_align_table", _PLANTED_SQL, "lines")
+def udf2_table(spark, d):
+    C.register_align(spark)
+    return spark.sql(
+        "SELECT op, least(source, target) AS a, greatest(source, target) AS b, count(*) AS n FROM align_pairs(TABLE (SELECT doc_id AS id, prediction AS a, correction AS b FROM {rows})) GROUP BY ALL",
+        rows=_planted(spark, d),
+    )
+
+
 def _costs(spark):
     return spark.createDataFrame([(a, b, c) for (a, b), c in C.COSTS.items()], "a string, b string, cost double")
 
