@@ -48,6 +48,17 @@ def clean_label(col: Column) -> Column:
     return F.when(text.isin(*JUNK), F.lit("")).otherwise(text)
 
 
+def word_key(col: Column) -> Column:
+    """Trimmed and lower-cased, without characters other than letters and digits of any script, underscore,
+    hyphen and white space; null stays null."""
+    return F.regexp_replace(F.lower(F.trim(col)), r"[^\p{L}\p{N}_\s-]", "")
+
+
+def key_words(col: Column) -> Column:
+    """The words of a text's key; a single empty one for a text without any."""
+    return F.split(word_key(col), r"\s+")
+
+
 def words(col: Column) -> Column:
     """White-space separated words; none for a blank text."""
     return F.filter(F.split(col, r"\s+"), lambda w: w != "")

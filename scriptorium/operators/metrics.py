@@ -108,19 +108,33 @@ def metric_bundle(rows: DataFrame) -> DataFrame:
 
 
 def stratified(rows: DataFrame, group: str, flag: str) -> DataFrame:
-    """Error rates by ``group``, by ``flag`` and overall: one sum for each pair of them, then grouping sets."""
-    each = rows.groupBy(group, flag).agg(F.count("*").alias("k"), F.sum(char_edits("ref", "hyp")).alias("e"), F.sum(F.length("ref")).alias("c"))
+    """Character and word error rates and exact rows by ``group``, by ``flag`` and overall: distances are measured
+    once a row and summed once for each pair of group and flag, then come the grouping sets."""
+    r, h = F.col("ref"), F.col("hyp")
+    measured = rows.select(group, flag, char_edits(r, h).alias("ce"), F.length(r).alias("rc"), word_edits(r, h).alias("we"), F.size(_words(r)).alias("rw"))
+    sums = {"k": F.count("*"), "e": F.sum("ce"), "c": F.sum("rc"), "we": F.sum("we"), "w": F.sum("rw"), "x": F.count_if(F.col("ce") == 0)}
+    each = measured.groupBy(group, flag).agg(*(v.alias(k) for k, v in sums.items()))
     return each.groupingSets([[F.col(group)], [F.col(flag)], []], F.col(group), F.col(flag)).agg(
-        F.sum("k").alias("n"), F.sum("e").alias("edits"), F.round(F.sum("e") / F.sum("c"), 4).alias("cer")
-    )
+        F.sum("k").alias("n"), F.sum("e").alias("edits"), F.round(F.sum("e") / F.sum("c"), 4).alias("cer"),
+        F.sum("we").alias("word_edits"), F.round(F.sum("we") / F.sum("w"), 4).alias("wer"), F.sum("x").alias("exact"),
+    )
+
+
+def _plain(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N} ]", ""))
+
+
+def name_hit(ref: Column, hyp: Column) -> Column:
+    """Whether the first word, without punctuation and case, is right; null for a reference without words."""
+    r, h = _plain(ref), _plain(hyp)
+    first = lambda c: F.element_at(F.split(c, " +"), 1)
+    return F.when(r != "", ((first(r) == first(h)) | (r == h)).cast("int"))
 
 
 def name_accuracy(rows: DataFrame, by: list[str]) -> DataFrame:
     """Share of rows whose first word, without punctuation and case, is right."""
-    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9 ]", ""))
-    first = lambda c: F.element_at(F.split(plain(F.col(c)), " +"), 1)
-    hit = (first("ref") == first("hyp")) | (plain(F.col("ref")) == plain(F.col("hyp")))
-    return rows.filter(plain(F.col("ref")) != "").groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(hit.cast("int")), 4).alias("name_accuracy"))
+    hit = name_hit(F.col("ref"), F.col("hyp"))
+    return rows.withColumn("hit", hit).filter("hit is not null").groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg("hit"), 4).alias("name_accuracy"))
 
 
 def win_tie_loss(stages: DataFrame, baseline: int = 1) -> DataFrame:
@@ -134,13 +148,20 @@ def win_tie_loss(stages: DataFrame, baseline: int = 1) -> DataFrame:
 
 
 def tier_compare(stages: DataFrame) -> DataFrame:
-    """Each tier's error rate, and its absolute and relative gain over the first tier."""
-    tiers = stages.groupBy("stage_no").agg((F.sum(char_edits("ref", "hyp")) / F.sum(F.length("ref"))).alias("rate"))
+    """Each tier's error rates, name accuracy and median latency, and its absolute and relative gain in
+    character rate over the first tier. Without a column ``ms`` the median is null."""
+    r, h = F.col("ref"), F.col("hyp")
+    ms = F.col("ms") if "ms" in stages.columns else F.lit(None).cast("double")
+    measured = stages.select("stage_no", ms.alias("ms"), F.length(r).alias("rc"), char_edits(r, h).alias("ce"), word_edits(r, h).alias("we"), F.size(_words(r)).alias("rw"), name_hit(r, h).alias("hit"))
+    tiers = measured.groupBy("stage_no").agg(
+        (F.sum("ce") / F.sum("rc")).alias("rate"), (F.sum("we") / F.sum("rw")).alias("wer"), F.avg("hit").alias("hit"), F.percentile("ms", F.lit(0.5)).alias("p50"), F.count_if(F.col("ce") == 0).alias("exact")
+    )
     first = F.first("rate").over(Window.orderBy("stage_no"))  # a row per tier
     gain = F.col("first") - F.col("rate")
     return tiers.withColumn("first", first).select(
         "stage_no", F.round("rate", 4).alias("cer"), F.round(gain, 4).alias("gain"),
         F.when(F.col("first") > 0, F.round(gain / F.col("first") * 100, 2)).otherwise(0.0).alias("relative_gain"),
+        F.round("wer", 4).alias("wer"), F.round("hit", 4).alias("name_accuracy"), F.round("p50", 2).alias("p50_ms"), "exact",
     )
 
 

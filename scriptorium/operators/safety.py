@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions.text import key_words
+
 
 def lasa_audit(rows: DataFrame, pairs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows whose reference has one name of a pair and not the other while the hypothesis has the
@@ -15,8 +17,7 @@ def lasa_audit(rows: DataFrame, pairs: DataFrame, keep: tuple[str, ...] = ()) ->
     """
     both = pairs.select(F.col("drug_a").alias("a"), F.col("drug_b").alias("b"))
     directed = both.union(both.select("b", "a")).distinct()
-    clean = lambda c: F.split(F.regexp_replace(F.lower(c), "[^a-z0-9_ -]", ""), " +")
-    words = rows.select("doc_id", "line_no", *keep, F.array_distinct(clean("ref")).alias("rw"), clean("hyp").alias("hw"))
+    words = rows.select("doc_id", "line_no", *keep, F.array_distinct(key_words(F.col("ref"))).alias("rw"), key_words(F.col("hyp")).alias("hw"))
     hit = words.select("*", F.explode("rw").alias("a")).join(directed, "a")
     found = hit.filter(~F.array_contains("rw", F.col("b")) & F.array_contains("hw", F.col("b")))
     return found.select("doc_id", "line_no", *keep, F.col("a").alias("expected"), F.col("b").alias("found"))
@@ -27,8 +28,7 @@ def lasa_near_miss(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     expected one, where neither side has that name itself."""
     both = pairs.select(F.col("drug_a").alias("a"), F.col("drug_b").alias("b"))
     directed = both.union(both.select("b", "a")).distinct()
-    clean = lambda c: F.split(F.regexp_replace(F.lower(c), "[^a-z0-9_ -]", ""), " +")
-    words = rows.select("doc_id", "line_no", clean("ref").alias("rw"), clean("hyp").alias("hw"))
+    words = rows.select("doc_id", "line_no", key_words(F.col("ref")).alias("rw"), key_words(F.col("hyp")).alias("hw"))
     hit = words.select("*", F.explode(F.array_distinct("rw")).alias("a")).join(directed, "a")
     hit = hit.filter(~F.array_contains("rw", F.col("b")) & ~F.array_contains("hw", F.col("b")))
     tried = hit.select("doc_id", "line_no", "a", "b", F.posexplode("hw").alias("pos", "tok"))
@@ -41,7 +41,7 @@ def lasa_coverage(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of both directions of all pairs, how many some reference shows (one name without the other)."""
     both = pairs.select(F.col("drug_a").alias("a"), F.col("drug_b").alias("b"))
     directed = both.union(both.select("b", "a")).distinct()
-    words = F.array_distinct(F.split(F.regexp_replace(F.lower("ref"), "[^a-z0-9_ -]", ""), " +"))
+    words = F.array_distinct(key_words(F.col("ref")))
     shown = rows.select(words.alias("w")).select("w", F.explode("w").alias("a")).join(directed, "a").filter(~F.array_contains("w", F.col("b"))).select("a", "b").distinct()
     return directed.join(shown.withColumn("s", F.lit(1)), ["a", "b"], "left").agg(F.count("*").alias("directions"), F.count("s").alias("covered"))
 

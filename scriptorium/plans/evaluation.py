@@ -66,17 +66,23 @@ def _flagged(spark, d):
     return v.ref_hyp.join(v.samples.selectExpr("sample_id as doc_id", "category", "is_lasa"), "doc_id")
 
 
-@query("agg4_stratified_metrics", """
-SELECT category, is_lasa, count(*) AS n, sum(edits)::BIGINT AS edits, round(sum(edits) / sum(ref_chars), 4) AS cer
+#: Words that differ by place, and words, of lines corrupted word for word.
+_PLACES = """len(list_filter(list_zip(list_filter(string_split(ref, ' '), lambda x: x <> ''), list_filter(string_split(hyp, ' '), lambda x: x <> '')), lambda p: p[1] IS DISTINCT FROM p[2]))"""
+_WORDS = "len(list_filter(string_split(ref, ' '), lambda x: x <> ''))"
+
+
+@query("agg4_stratified_metrics", f"""
+SELECT category, is_lasa, count(*) AS n, sum(edits)::BIGINT AS edits, round(sum(edits) / sum(ref_chars), 4) AS cer,
+  sum({_PLACES})::BIGINT AS word_edits, round(sum({_PLACES}) / sum({_WORDS}), 4) AS wer, count(*) FILTER (edits = 0) AS exact
 FROM scored JOIN (SELECT sample_id AS doc_id, category, is_lasa FROM samples) USING (doc_id) GROUP BY GROUPING SETS ((category), (is_lasa), ())""", "scored samples")
 def agg4(spark, d):
     return M.stratified(_flagged(spark, d), "category", "is_lasa")
 
 
-@query("agg5_name_accuracy", """
+@query("agg5_name_accuracy", r"""
 SELECT is_lasa, count(*) AS n, round(avg((first_ref = first_hyp OR pr = ph)::INT), 4) AS name_accuracy FROM (
   SELECT is_lasa, pr, ph, regexp_split_to_array(pr, ' +')[1] AS first_ref, regexp_split_to_array(ph, ' +')[1] AS first_hyp FROM (
-    SELECT is_lasa, trim(regexp_replace(lower(ref), '[^a-z0-9 ]', '', 'g')) AS pr, trim(regexp_replace(lower(hyp), '[^a-z0-9 ]', '', 'g')) AS ph
+    SELECT is_lasa, trim(regexp_replace(lower(ref), '[^\pL\pN ]', '', 'g')) AS pr, trim(regexp_replace(lower(hyp), '[^\pL\pN ]', '', 'g')) AS ph
     FROM ref_hyp JOIN (SELECT sample_id AS doc_id, is_lasa FROM samples) USING (doc_id))) WHERE pr <> '' GROUP BY is_lasa""", "ref_hyp samples")
 def agg5(spark, d):
     return M.name_accuracy(_flagged(spark, d), ["is_lasa"])
@@ -90,11 +96,26 @@ def agg6(spark, d):
     return M.win_tie_loss(Views(spark, d).stage_hyp)
 
 
-@query("agg7_tier_compare", f"""
-SELECT stage_no, round(rate, 4) AS cer, round(f - rate, 4) AS gain, CASE WHEN f > 0 THEN round((f - rate) / f * 100, 2) ELSE 0.0 END AS relative_gain FROM (
-  SELECT *, first_value(rate) OVER (ORDER BY stage_no) AS f FROM (SELECT stage_no, sum({distance("ref", "hyp")}) / sum(length(ref)) AS rate FROM stage_hyp GROUP BY stage_no))""", "stage_hyp")
+@query("agg7_tier_compare", rf"""
+SELECT stage_no, round(rate, 4) AS cer, round(f - rate, 4) AS gain, CASE WHEN f > 0 THEN round((f - rate) / f * 100, 2) ELSE 0.0 END AS relative_gain, wer, name_accuracy, p50_ms, exact FROM (
+  SELECT *, first_value(rate) OVER (ORDER BY stage_no) AS f FROM (
+    SELECT stage_no, sum(e) / sum(length(ref)) AS rate, round(sum({_PLACES}) / sum({_WORDS}), 4) AS wer, round(quantile_cont(ms, 0.5), 2) AS p50_ms, count(*) FILTER (e = 0) AS exact,
+      round(avg(CASE WHEN pr <> '' THEN (regexp_split_to_array(pr, ' +')[1] = regexp_split_to_array(ph, ' +')[1] OR pr = ph)::INT END), 4) AS name_accuracy
+    FROM (SELECT *, {distance("ref", "hyp")} AS e, (length(ref) * (4 + stage_no) + doc_id % 7) / 4.0::DOUBLE AS ms,
+      trim(regexp_replace(lower(ref), '[^\pL\pN ]', '', 'g')) AS pr, trim(regexp_replace(lower(hyp), '[^\pL\pN ]', '', 'g')) AS ph FROM stage_hyp) GROUP BY stage_no))""", "stage_hyp")
 def agg7(spark, d):
-    return M.tier_compare(Views(spark, d).stage_hyp)
+    return M.tier_compare(Views(spark, d).stage_hyp.withColumn("ms", F.expr("(length(ref) * (4 + stage_no) + doc_id % 7) / 4.0D")))
+
+
+@query("agg1_lost_words", """
+WITH l AS (SELECT lang, length(text) AS rc, string_split(text, ' ') AS w FROM lines)
+SELECT lang, count(*) AS n, sum(CASE WHEN len(w) > 1 THEN length(w[2]) + 1 ELSE 7 END)::BIGINT AS char_edits, sum(rc)::BIGINT AS ref_chars, count(*) AS word_edits, sum(len(w))::BIGINT AS ref_words,
+  round(sum(CASE WHEN len(w) > 1 THEN length(w[2]) + 1 ELSE 7 END) / sum(rc), 4) AS cer, round(count(*) / sum(len(w)), 4) AS wer FROM l GROUP BY lang""", "lines")
+def agg1_lost(spark, d):
+    # the second word is lost, or one of six letters comes before a single word: distances are known by construction
+    w = F.split("text", " ")
+    hyp = F.when(F.size(w) > 1, F.array_join(F.concat(F.slice(w, 1, 1), F.slice(w, F.lit(3), F.size(w))), " ")).otherwise(F.concat(F.lit("before "), "text"))
+    return M.error_rates(Views(spark, d).lines.select("lang", F.col("text").alias("ref"), hyp.alias("hyp")), ["lang"])
 
 
 @query("agg8_latency_throughput", """

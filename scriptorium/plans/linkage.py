@@ -10,6 +10,7 @@ from scriptorium.operators import safety as S
 
 from .catalog import query
 from .views import Views
+from .views_sql import distance
 
 
 @query("src4_vocab_catalog_ingest", "SELECT key, word, weight FROM lexicon", "lexicon")
@@ -120,7 +121,7 @@ def join13(spark, d):
     return L.merge_costs(v.lexicon.selectExpr("left(key, 1) as src", "right(key, 1) as tgt", "0.45D as cost"), profiles)
 
 
-_WORDS = "regexp_split_to_array(regexp_replace(lower({}), '[^a-z0-9_ -]', '', 'g'), ' +')"
+_WORDS = r"regexp_split_to_array(regexp_replace(lower(trim({})), '[^\pL\pN_\s-]', '', 'g'), '\s+')"
 _AUDIT = f"""d AS (SELECT drug_a AS a, drug_b AS b FROM pairs UNION SELECT drug_b, drug_a FROM pairs),
   w AS (SELECT doc_id, line_no, {_WORDS.format("ref")} AS rw, {_WORDS.format("hyp")} AS hw FROM {{rows}})"""
 
@@ -135,7 +136,7 @@ def join6(spark, d):
 @query("join7_lasa_near_miss", f"""
 WITH {_AUDIT.format(rows="ref_hyp")}, h AS (SELECT doc_id, line_no, a, b, hw FROM (SELECT *, unnest(list_distinct(rw)) AS a FROM w) JOIN d USING (a) WHERE NOT list_contains(rw, b) AND NOT list_contains(hw, b)),
   t AS (SELECT doc_id, line_no, a, b, unnest(hw) AS tok, generate_subscripts(hw, 1) AS pos FROM h)
-SELECT doc_id, line_no, a AS expected, b AS near, min_by(tok, pos) AS token FROM t WHERE levenshtein(tok, b) BETWEEN 1 AND 2 AND levenshtein(tok, b) < levenshtein(tok, a) GROUP BY doc_id, line_no, a, b""", "pairs ref_hyp")
+SELECT doc_id, line_no, a AS expected, b AS near, min_by(tok, pos) AS token FROM t WHERE {distance('tok', 'b')} BETWEEN 1 AND 2 AND {distance('tok', 'b')} < {distance('tok', 'a')} GROUP BY doc_id, line_no, a, b""", "pairs ref_hyp")
 def join7(spark, d):
     v = Views(spark, d)
     return S.lasa_near_miss(v.ref_hyp, v.pairs)

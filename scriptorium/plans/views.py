@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions.text import word_key
+
 
 class Views:
     """Lazily defined views of one data folder. Texts keep all characters but control characters."""
@@ -51,7 +53,7 @@ class Views:
     @property
     def tokens(self) -> DataFrame:
         words = self.lines.select("doc_id", "line_no", F.posexplode(F.split("text", " ")).alias("pos", "tok"))
-        return words.select("doc_id", "line_no", F.col("pos").cast("long").alias("pos"), lexicon_key(F.col("tok")).alias("key"), "tok").filter("key <> ''")
+        return words.select("doc_id", "line_no", F.col("pos").cast("long").alias("pos"), word_key(F.col("tok")).alias("key"), "tok").filter("key <> ''")
 
     @property
     def lexicon(self) -> DataFrame:
@@ -134,8 +136,3 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return df.repartition(cores) if int(size) < cores * SPREAD_BYTES else df
-
-
-def lexicon_key(col):
-    """Lower case without characters other than ASCII letters, digits, underscore and hyphen."""
-    return F.regexp_replace(F.lower(col), "[^a-z0-9_-]", "")

@@ -45,9 +45,9 @@ VIEWS: dict[str, tuple[str, str]] = {
     ),
     "tokens": (
         "lines",
-        r"""SELECT doc_id, line_no, pos, regexp_replace(lower(tok), '[^a-z0-9_-]', '', 'g') AS key, tok FROM (
+        r"""SELECT doc_id, line_no, pos, regexp_replace(lower(trim(tok)), '[^\pL\pN_\s-]', '', 'g') AS key, tok FROM (
   SELECT doc_id, line_no, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS tok FROM (SELECT doc_id, line_no, string_split(text, ' ') AS w FROM lines))
-  WHERE regexp_replace(lower(tok), '[^a-z0-9_-]', '', 'g') <> ''""",
+  WHERE regexp_replace(lower(trim(tok)), '[^\pL\pN_\s-]', '', 'g') <> ''""",
     ),
     "lexicon": (
         "tokens",

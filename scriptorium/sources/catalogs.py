@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.functions.text import word_key
+
 # Weights of the kinds of entries.
 GENERIC, BRAND, LASA, DIRECTION, CLIENT = 2.0, 1.5, 0.5, 3.0, 4.0
 _ENTRY = ["word", "weight", "metadata"]
 
 
-def _key(word: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(word)), "[^a-z0-9 _-]", "")
-
-
 def _entries(rows: DataFrame, word: Column, weight: Column, kind: str, **more: Column) -> DataFrame:
     pairs = [F.lit("type"), F.lit(kind), *[x for k, v in more.items() for x in (F.lit(k), v)]]
     return rows.select(F.trim(word).alias("word"), weight.cast("double").alias("weight"), F.create_map(*pairs).alias("metadata"))
@@ -56,11 +54,11 @@ def merge_catalogs(*catalogs: DataFrame) -> DataFrame:
     for k, c in enumerate(catalogs):
         part = c.select(F.lit(k).alias("load_order"), *_ENTRY)
         every = part if every is None else every.unionByName(part)
-    keyed = every.withColumn("key", _key(F.col("word"))).filter("key <> ''")
+    keyed = every.withColumn("key", word_key(F.col("word"))).filter("key <> ''")
     cells = F.sort_array(F.collect_set(F.struct("load_order", "word", F.to_json("metadata").alias("m"))))  # a key's entries: few
     merged = F.aggregate(
         "cells", F.create_map().cast("map<string,string>"),
-        lambda acc, x: F.map_concat(F.map_filter(acc, lambda k, _: ~F.map_contains_key(F.from_json(x["m"], "map<string,string>"), k)), F.from_json(x["m"], "map<string,string>")),
+        lambda acc, x: F.map_concat(F.map_filter(acc, lambda k, _: ~F.map_containsword_key(F.from_json(x["m"], "map<string,string>"), k)), F.from_json(x["m"], "map<string,string>")),
     )
     out = keyed.groupBy("key").agg(F.min_by("word", F.struct("load_order", "word")).alias("word"), F.max("weight").alias("weight"), cells.alias("cells"))
     return out.select("key", "word", "weight", merged.alias("metadata"))

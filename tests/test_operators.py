@@ -275,3 +275,16 @@ def test_rescore_by_phrases_fuzzy_words_and_context(spark):
     meds = spark.createDataFrame([("metoprolol", [500.0], "PO", 1000.0)], "term string, strengths array<double>, route string, max_dose double")
     fitted = scores(medications=meds)
     assert fitted[0] == pytest.approx(got[0] + 0.8) and fitted[3] == pytest.approx(got[3] + 0.8 * 0.7) and fitted[6] == got[6]
+
+
+def test_keys_keep_letters_of_all_scripts(spark):
+    from scriptorium.functions.text import key_words, word_key
+
+    texts = ["Été,", " mañana!", "Straße-7_b", "«Ωμέγα»", "...", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(word_key(F.col("t")).alias("k")).collect()
+    assert [r.k for r in rows] == ["été", "mañana", "straße-7_b", "ωμέγα", "", None]
+    words = spark.createDataFrame([("L'été  à Paris.",)], "t string").select(key_words(F.col("t")).alias("k")).first().k
+    assert words == ["lété", "à", "paris"]
+    pairs = spark.createDataFrame([("mañana", "manana")], "drug_a string, drug_b string")
+    rows = spark.createDataFrame([(1, 1, "hasta mañana", "hasta manana")], "doc_id long, line_no long, ref string, hyp string")
+    assert [(r.expected, r.found) for r in safety.lasa_audit(rows, pairs).collect()] == [("mañana", "manana")]
