@@ -27,14 +27,16 @@ def validate(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def fingerprint() -> Column:
-    """A digest of a correction without its time."""
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("confidence", "correction", "document_id", "line_no", "original")]
-    return F.sha2(F.concat_ws("\u001f", *cells), 256)
+    """A digest of a correction without its time; null and empty fields differ."""
+    cells = [F.col(c).cast("string").alias(c) for c in ("confidence", "correction", "document_id", "line_no", "original")]
+    return F.sha2(F.to_json(F.struct(*cells)), 256)
 
 
 def first_submissions(rows: DataFrame) -> DataFrame:
     """Batch form of the idempotent stream: each submission's first row, how often it was replayed, and
-    how often its id came with other content."""
+    how often its id came with other content. Each row without an id is a submission of its own."""
+    own = F.concat(F.lit("event:"), F.col("event_id").cast("string"))
+    rows = rows.withColumn("submission_id", F.coalesce("submission_id", own))
     first = F.min_by(F.struct("document_id", "line_no", "correction", "fp"), F.struct("ts", "event_id"))
     marked = rows.withColumn("fp", fingerprint())
     top = marked.groupBy("submission_id").agg(first.alias("f"), F.count("*").alias("n"))

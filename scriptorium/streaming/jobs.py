@@ -8,23 +8,33 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: State of ``transformWithStateInPandas`` needs this store.
+_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
 
 def _timed(stream: DataFrame, late: str) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
+def own_id() -> Column:
+    """A submission's id; an anonymous one gets an id of its own from its event."""
+    return F.coalesce("submission_id", F.concat(F.lit("event:"), F.col("event_id").cast("string")))
+
+
 def accept_feedback(stream: DataFrame, late: str = "1 day") -> DataFrame:
-    """The accept path of idempotent submissions: the first row of each id within the watermark."""
-    return _timed(stream, late).dropDuplicatesWithinWatermark(["submission_id"])
+    """The accept path of idempotent submissions: the first row of each id within the watermark; anonymous
+    rows are all accepted."""
+    return _timed(stream, late).withColumn("submission_id", own_id()).dropDuplicatesWithinWatermark(["submission_id"])
 
 
 def feedback_verdicts(stream: DataFrame, late: str = "1 day") -> DataFrame:
     """Every row with its verdict: accepted, replayed (same id and content) or conflict (same id,
-    other content). ``stream`` has submission_id, event_id, fingerprint, ts."""
+    other content). ``stream`` has submission_id, event_id, fingerprint, ts; see ``own_id`` for null ids."""
 
     kept_ms = max(1, int(pd.Timedelta(late).total_seconds() * 1000))  # an id is remembered as long as it may come again
 
@@ -43,7 +53,7 @@ def feedback_verdicts(stream: DataFrame, late: str = "1 day") -> DataFrame:
         state.update((first,))
         state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + kept_ms)
 
-    return _timed(stream, late).groupBy("submission_id").applyInPandasWithState(
+    return _timed(stream, late).withColumn("submission_id", own_id()).groupBy("submission_id").applyInPandasWithState(
         judge, "submission_id string, event_id long, verdict string", "fingerprint string", "append", GroupStateTimeout.EventTimeTimeout
     )
 
@@ -113,53 +123,175 @@ def confusion_updates(stream: DataFrame, rate: float = 0.05, floor: float = 0.15
     )
 
 
-def document_lines(stream: DataFrame) -> DataFrame:
-    """Assembly of documents: the last text of each line and its place of first arrival."""
-    last = F.max_by("text", F.struct("ts", "event_id"))
-    return stream.groupBy("doc_id", "line_no").agg(last.alias("text"), F.min("event_id").alias("first_seq"), F.count("*").alias("versions"))
+#: Lines expected of a document that did not announce how many it has.
+EXPECTED = 13
+
+
+class _Assembly(StatefulProcessor):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.lines = handle.getMapState("lines", "page int, line long", "place long, text string")
+        self.counts = handle.getValueState("counts", "expected long, decoded long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        expected, decoded = self.counts.get() if self.counts.exists() else (EXPECTED, 0)
+        held = {tuple(k): tuple(v) for k, v in self.lines.iterator()}
+        before, whole = dict(held), None
+        events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        for kind, page, line, text, total in zip(*(events[c].tolist() for c in ("kind", "page", "line", "text", "total")), strict=True):
+            if kind == "line":
+                at = (int(page), int(line))
+                decoded, whole = decoded + 1, None
+                held[at] = (held[at][0] if at in held else decoded, text)
+            else:  # a new start, or the result that replaces all lines
+                expected, decoded = (int(total) or EXPECTED) if kind == "metadata" else EXPECTED, 0
+                held, whole = {}, text if kind == "complete" else None
+        for at in before.keys() - held.keys():
+            self.lines.removeKey(at)
+        for at in held:
+            if before.get(at) != held[at]:
+                self.lines.updateValue(at, held[at])
+        if held or whole is None:
+            self.counts.update((expected, decoded))
+        else:
+            self.counts.clear()  # nothing is held of a complete document
+        pages: dict[int, list] = {}
+        for (page, _), (place, text) in sorted(held.items(), key=lambda x: x[1][0]):
+            pages.setdefault(page, []).append(text)
+        full = whole if whole is not None else "\n\n".join("\n".join(pages[p]) for p in sorted(pages))
+        progress = 100 if whole is not None else min(95, 30 + 65 * decoded // max(1, expected))
+        last = int(events["event_id"].iloc[-1])
+        yield pd.DataFrame({"doc_id": [key[0]], "event_id": [last], "decoded": [decoded], "progress": [progress], "complete": [whole is not None], "full_text": [full]})
+
+
+def document_assembly(stream: DataFrame) -> DataFrame:
+    """The document as it stands after each batch that touched it: doc_id, event_id, decoded, progress,
+    complete, full_text.
+
+    ``stream`` has doc_id, event_id, ts, kind, page, line, text, total. ``metadata`` starts a document of ``total`` lines,
+    ``line`` puts a line in, at the place where it first came, and ``complete`` replaces all lines by its
+    text; state is a map of the lines of documents that are not complete. Events apply in order of arrival,
+    those of a batch by time. Pages stand in order, lines without metadata count against ``EXPECTED``.
+    """
+    kinds = "doc_id long, event_id long, decoded long, progress long, complete boolean, full_text string"
+    return stream.groupBy("doc_id").transformWithStateInPandas(_Assembly(), kinds, "Update", "None")
+
+
+class _Jobs(StatefulProcessor):
+    def __init__(self, terminal: tuple[str, ...], retention: int, forget: int):
+        self.terminal, self.retention, self.forget = terminal, retention, forget
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "event_id long, status string, progress long, at long")
+
+    def _ends(self, last) -> int:
+        return last[3] + (self.retention if last[1] in self.terminal else self.forget)
+
+    def _timer(self, last) -> int:
+        return -(-self._ends(last) // 1000)  # in ms
+
+    def _expired(self, key, last) -> list[tuple]:
+        return [(key[0], last[0], "expired", last[2], self._ends(last))] if last[1] in self.terminal else []
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last, out = (tuple(self.last.get()) if self.last.exists() else None), []
+        if last is not None:
+            self.handle.deleteTimer(self._timer(last))
+        events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        events["at"] = events["ts"].astype("datetime64[us]").astype("int64")
+        for now in events[["event_id", "status", "progress", "at"]].itertuples(index=False, name=None):
+            if last is not None and now[3] >= self._ends(last):
+                out += self._expired(key, last)
+                last = None
+            if last is None or (last[1], last[2]) != (now[1], now[2]):
+                out.append((key[0], *now))
+            last = now
+        self.last.update(last)
+        self.handle.registerTimer(self._timer(last))
+        yield _changes(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last = tuple(self.last.get())
+        self.last.clear()
+        yield _changes(self._expired(key, last))
+
+
+def _changes(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["job_id", "event_id", "status", "progress", "at"])
+    return out.assign(at=pd.to_datetime(out["at"].astype("int64"), unit="us"))
+
+
+def job_changes(
+    stream: DataFrame, terminal: tuple[str, ...] = ("COMPLETED", "FAILED"), retention: str = "1 hour", forget: str = "30 days", late: str = "1 hour"
+) -> DataFrame:
+    """Events that change a job's status or progress, and ``expired`` once a terminal job has had no event for
+    ``retention`` after its last one: job_id, event_id, status, progress, at.
+
+    An expired job is gone, so what comes later is a new one. One event-time timer a job, set anew by each event,
+    ends its state; jobs that never end are forgotten without a row after ``forget``.
+    """
+    spans = [pd.Timedelta(x) // pd.Timedelta("1us") for x in (retention, forget)]
+    kinds = "job_id long, event_id long, status string, progress long, at timestamp"
+    return _timed(stream, late).groupBy("job_id").transformWithStateInPandas(_Jobs(terminal, *spans), kinds, "Append", "EventTime")
 
 
-def job_changes(stream: DataFrame, retention_ms: int = 3_600_000, late: str = "1 hour") -> DataFrame:
-    """Events that change a job's status or progress, and ``expired`` once nothing came for the retention."""
+def windowed_metrics(stream: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
+    """Tumbling or sliding sums, means and rates a second of a step stream, a row for each window once the
+    watermark has passed its end; its state goes then, and later rows of it are dropped."""
+    window = F.window("ts", size, slide) if slide else F.window("ts", size)
+    sums = _timed(stream, late).groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    seconds = pd.Timedelta(size).total_seconds()
+    return sums.select(
+        F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"),
+        F.round(F.col("total") / F.col("n"), 4).alias("mean"), F.round(F.col("n") / seconds, 6).alias("rate"),
+    )
 
-    def changes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"job_id": [key[0]], "event_id": [-1], "status": ["expired"], "progress": [100]})
-            return
-        last = tuple(state.get) if state.exists else None
-        for frame in frames:
-            ordered, keep = frame.sort_values(["ts", "event_id"]), []
-            for now in zip(ordered["status"], ordered["progress"], strict=True):
-                keep.append(now != last)
-                last = now
-            yield ordered.loc[keep, ["job_id", "event_id", "status", "progress"]]
-        state.update(last)
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + retention_ms)
-
-    return _timed(stream, late).groupBy("job_id").applyInPandasWithState(
-        changes, "job_id long, event_id long, status string, progress long", "status string, progress long", "append", GroupStateTimeout.EventTimeTimeout
-    )
 
+class LateRows:
+    """A side output for ``windowed_metrics``: the rows that came when all their windows were closed.
 
-def windowed_metrics(stream: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
-    """Tumbling or sliding means of a step stream."""
-    window = F.window("ts", size, slide) if slide else F.window("ts", size)
-    return _timed(stream, late).groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    Call it from ``foreachBatch`` over the same source. Each batch writes its late rows and its latest time
+    under its own number and overwrites them if it is run again; the watermark of a batch is that of all before it.
+    """
+
+    def __init__(self, folder: str, size: str = "1 hour", late: str = "10 minutes"):
+        self.folder, self.size, self.late = folder, size, late
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.withColumn("ts", F.col("ts").cast("timestamp"))
+        marks = f"{self.folder}/marks"
+        seen = None
+        if number:
+            before = spark.read.schema("high timestamp, batch long").parquet(marks).filter(F.col("batch") < number)
+            seen = before.agg(F.max("high") - F.expr(f"interval {self.late}")).first()[0]
+        closed = F.window("ts", self.size)["end"] <= F.lit(seen) if seen is not None else F.lit(False)
+        rows.filter(closed).write.mode("overwrite").parquet(f"{self.folder}/late/batch={number}")
+        rows.agg(F.max("ts").alias("high")).write.mode("overwrite").parquet(f"{marks}/batch={number}")
+
+    def read(self, spark) -> DataFrame:
+        return spark.read.parquet(f"{self.folder}/late")
+
+
+def side_output(stream: DataFrame, folder: str, write) -> None:
+    """Runs ``write(batch, number)`` over what the source has now."""
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}-checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
 def drain(stream: DataFrame, folder: str, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what its source has now and returns what it wrote.
 
     Append results go to files with a checkpoint in ``folder``. Update and complete results have no
-    file sink, so each batch is written by ``foreachBatch``; the last version of complete results stays.
+    file sink, so each batch is written by ``foreachBatch`` under its own number, which a batch that is run again
+    overwrites; the last version of complete results stays. Called again, it goes on from its checkpoint.
     """
     out, spark = f"{folder}/{name}", stream.sparkSession
+    spark.conf.set(*_STORE)
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/{name}-checkpoint").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", out).start()
     else:
-        save = "overwrite" if mode == "complete" else "append"
-        query = writer.foreachBatch(lambda df, _: df.write.mode(save).parquet(out)).start()
+        place = (lambda k: "") if mode == "complete" else (lambda k: f"/batch={k}")
+        query = writer.foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{out}{place(k)}")).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
