@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_dir, table
+from .common import materialize, scratch_dir, table
 
 
 @dataclass(frozen=True)
@@ -174,7 +174,8 @@ class SecretLedger:
         order = F.array(*[F.lit(r.name) for r in self.rules])
         ranked = F.array_sort(F.transform("findings", lambda x: F.struct(x["start"], F.array_position(order, x["rule"]).alias("k"), x.alias("span"))))
         rows = history.select(F.col(path_col).alias("path"), blob_of(F.col(text_col)).alias("blob"))
-        found = self.findings().select("blob", F.transform(ranked, lambda x: x["span"]).alias("findings"))
+        # written first: then both sides of the join are plain shuffles, which Spark splits where many paths hold one blob
+        found = materialize(self.findings().select("blob", F.transform(ranked, lambda x: x["span"]).alias("findings")), "findings").hint("merge")
         nothing = F.array().cast("array<struct<rule:string,version:int,start:int,end:int>>")
         return rows.join(found, "blob", "left").select("path", "blob", F.coalesce("findings", nothing).alias("findings"))
 
