@@ -59,6 +59,11 @@ def key_words(col: Column) -> Column:
     return F.split(word_key(col), r"\s+")
 
 
+def name_words(col: Column) -> Column:
+    """The runs of letters, digits and underscore of a lower-cased text: names stand between their borders."""
+    return F.regexp_extract_all(F.lower(col), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+
+
 def words(col: Column) -> Column:
     """White-space separated words; none for a blank text."""
     return F.filter(F.split(col, r"\s+"), lambda w: w != "")

@@ -2,25 +2,95 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import key_words
+from scriptorium.functions.text import key_words, name_words
+
+
+#: Names of a catalogue that go to all tasks as one automaton; a larger catalogue is joined by first words.
+AUTOMATON_NAMES = 50_000
+_COUNTS = "array<struct<name:string,ref:int,hyp:int>>"
+
+
+def _by_automaton(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` with ``counts`` by one pass of an Aho-Corasick automaton over each text's words."""
+
+    def count(found: dict, automaton, text: str | None, side: int) -> None:
+        last: dict[str, int] = {}
+        for end, name in automaton.iter(f" {text or ''} "):
+            start = end - len(name)
+            if start >= last.get(name, 0):  # those of one name do not overlap
+                last[name] = end
+                found.setdefault(name, [0, 0])[side] += 1
+
+    @F.pandas_udf(_COUNTS)
+    def counts(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        automaton = ahocorasick.Automaton()
+        for name in names:
+            automaton.add_word(f" {name} ", name)
+        automaton.make_automaton()
+        for refs, hyps in frames:
+            out = []
+            for ref, hyp in zip(refs, hyps, strict=True):
+                found: dict[str, list[int]] = {}
+                count(found, automaton, ref, 0)
+                count(found, automaton, hyp, 1)
+                out.append([{"name": n, "ref": r, "hyp": h} for n, (r, h) in sorted(found.items())])
+            yield pd.Series(out)
+
+    text = lambda c: F.array_join(name_words(F.col(c)), " ")
+    return rows.withColumn("counts", counts(text("ref"), text("hyp")) if names else F.array().cast(_COUNTS))
+
+
+def _by_first_word(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """The same by an equi-join of words with the first words of names, for catalogues of any size."""
+    names = names.select("name", F.split("name", " ").alias("parts")).withColumn("word", F.get("parts", F.lit(0)))
+    keyed = rows.withColumn("row", F.monotonically_increasing_id())
+    sides = keyed.select("row", F.explode(F.array(*[F.struct(F.lit(k).alias("side"), name_words(F.col(c)).alias("w")) for k, c in enumerate(("ref", "hyp"))])).alias("s"))
+    placed = sides.select("row", "s.side", "s.w", F.posexplode("s.w").alias("pos", "word"))
+    hits = placed.join(names, "word").filter(F.slice("w", F.col("pos") + 1, F.size("parts")) == F.col("parts"))
+    grouped = hits.groupBy("row", "side", "name").agg(F.array_sort(F.collect_list("pos")).alias("at"), F.first(F.size("parts")).alias("size"))
+    taken = lambda a, p: F.when(p >= a["next"], F.struct((a["n"] + 1).alias("n"), (p + F.col("size")).alias("next"))).otherwise(a)
+    grouped = grouped.withColumn("n", F.aggregate("at", F.struct(F.lit(0).alias("n"), F.lit(0).alias("next")), taken)["n"])
+    sums = grouped.groupBy("row", "name").agg(*[F.coalesce(F.sum(F.when(F.col("side") == k, F.col("n"))), F.lit(0)).cast("int").alias(c) for k, c in enumerate(("ref", "hyp"))])
+    listed = sums.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("name", "ref", "hyp"))).alias("counts"))
+    return keyed.join(listed, "row", "left").withColumn("counts", F.coalesce("counts", F.array().cast(_COUNTS))).drop("row")
+
+
+def name_counts(rows: DataFrame, names: DataFrame, most: int = AUTOMATON_NAMES) -> DataFrame:
+    """``rows(ref, hyp, ...)`` with ``counts``: for each name that stands in a row, how often it does on either
+    side. Names are those of ``names(name)``, of one word or several, whatever their case and what stands between
+    their words; they match at word borders, and one name's matches do not overlap. Null texts hold none.
+
+    A catalogue of up to ``most`` names is measured first and then sent to all tasks.
+    """
+    known = names.select(F.array_join(name_words(F.col("name")), " ").alias("name")).filter("name <> ''").distinct()
+    few = known.limit(most + 1).collect()
+    return _by_automaton(rows, [r.name for r in few]) if len(few) <= most else _by_first_word(rows, known)
 
 
-def lasa_audit(rows: DataFrame, pairs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows whose reference has one name of a pair and not the other while the hypothesis has the
-    other, in either direction: doc_id, line_no, expected, found, and the columns ``keep``.
+def lasa_audit(rows: DataFrame, pairs: DataFrame, keep: tuple[str, ...] = (), most: int = AUTOMATON_NAMES) -> DataFrame:
+    """Rows in which one name of a pair stands for the other: doc_id, line_no, expected, found, rule, and the
+    columns ``keep``.
 
-    One pass: the words of a reference meet the catalogue of names, which Spark broadcasts while it is
-    small; only rows with a name are looked at again.
+    ``substituted``: the reference has one name and not the other, which the hypothesis has. ``multiple``: the
+    reference has both, and in the hypothesis the one is rarer and the other more frequent. Names as in ``name_counts``.
     """
-    both = pairs.select(F.col("drug_a").alias("a"), F.col("drug_b").alias("b"))
+    clean = lambda c: F.array_join(name_words(F.col(c)), " ")
+    both = pairs.select(clean("drug_a").alias("a"), clean("drug_b").alias("b")).filter("a <> '' and b <> '' and a <> b")
     directed = both.union(both.select("b", "a")).distinct()
-    words = rows.select("doc_id", "line_no", *keep, F.array_distinct(key_words(F.col("ref"))).alias("rw"), key_words(F.col("hyp")).alias("hw"))
-    hit = words.select("*", F.explode("rw").alias("a")).join(directed, "a")
-    found = hit.filter(~F.array_contains("rw", F.col("b")) & F.array_contains("hw", F.col("b")))
-    return found.select("doc_id", "line_no", *keep, F.col("a").alias("expected"), F.col("b").alias("found"))
+    counted = name_counts(rows.select("doc_id", "line_no", *keep, "ref", "hyp"), directed.select(F.col("a").alias("name")), most).filter(F.size("counts") > 0)
+    hit = counted.select("doc_id", "line_no", *keep, "counts", F.explode("counts").alias("x")).filter("x.ref > 0")
+    hit = hit.withColumn("a", F.col("x.name")).join(directed, "a")
+    of = F.get(F.filter("counts", lambda c: c["name"] == F.col("b")), F.lit(0))
+    seen = lambda side: F.coalesce(of[side], F.lit(0))
+    rule = F.when((seen("ref") == 0) & (seen("hyp") > 0), "substituted").when((seen("ref") > 0) & (F.col("x.hyp") < F.col("x.ref")) & (seen("hyp") > seen("ref")), "multiple")
+    return hit.withColumn("rule", rule).filter("rule is not null").select("doc_id", "line_no", *keep, F.col("a").alias("expected"), F.col("b").alias("found"), "rule")
 
 
 def lasa_near_miss(rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -37,12 +107,15 @@ def lasa_near_miss(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return near.groupBy("doc_id", "line_no", F.col("a").alias("expected"), F.col("b").alias("near")).agg(F.min_by("tok", "pos").alias("token"))
 
 
-def lasa_coverage(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of both directions of all pairs, how many some reference shows (one name without the other)."""
-    both = pairs.select(F.col("drug_a").alias("a"), F.col("drug_b").alias("b"))
+def lasa_coverage(rows: DataFrame, pairs: DataFrame, most: int = AUTOMATON_NAMES) -> DataFrame:
+    """Of both directions of all pairs, how many some reference shows, with one name and without the other.
+    Names as in ``name_counts``."""
+    clean = lambda c: F.array_join(name_words(F.col(c)), " ")
+    both = pairs.select(clean("drug_a").alias("a"), clean("drug_b").alias("b"))
     directed = both.union(both.select("b", "a")).distinct()
-    words = F.array_distinct(key_words(F.col("ref")))
-    shown = rows.select(words.alias("w")).select("w", F.explode("w").alias("a")).join(directed, "a").filter(~F.array_contains("w", F.col("b"))).select("a", "b").distinct()
+    counted = name_counts(rows.select("ref", F.lit("").alias("hyp")), directed.select(F.col("a").alias("name")), most)
+    named = counted.select(F.col("counts.name").alias("w")).filter(F.size("w") > 0)
+    shown = named.select("w", F.explode("w").alias("a")).join(directed, "a").filter(~F.array_contains("w", F.col("b"))).select("a", "b").distinct()
     return directed.join(shown.withColumn("s", F.lit(1)), ["a", "b"], "left").agg(F.count("*").alias("directions"), F.count("s").alias("covered"))
 
 
@@ -76,18 +149,47 @@ def catalog_qa(pairs: DataFrame, catalog: DataFrame) -> DataFrame:
     return out.withColumn("passed", F.col("failures") == 0)
 
 
-def release_gate(reports: DataFrame, allowed: float = 1.05) -> DataFrame:
-    """Candidate against baseline on the same manifest: the first reason against promotion, if any."""
-    base = reports.filter("role = 'baseline'").selectExpr("manifest_hash as base_hash", "cer as base_cer")
-    joined = reports.filter("role = 'candidate'").join(base, F.col("manifest_hash") == F.col("base_hash"), "left")
-    bad = F.col("cer").isNull() | F.isnan("cer") | (F.col("cer") < 0)
+def frozen_digest(*columns: str) -> Column:
+    """An aggregate that names a set of rows whatever their order: their number and the sums of two halves of
+    their hashes. Tasks add up what they have, so no rows are moved or sorted; a row that repeats counts again."""
+    row = F.md5(F.to_json(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns])))
+    half = lambda at: F.sum(F.conv(F.substring(row, at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    return F.when(F.count("*") > 0, F.concat_ws(":", F.count("*").cast("string"), half(1), half(16)))
+
+
+#: Checkpoints that are not for release, as parts of their names.
+FORBIDDEN = ("debug", "scratch")
+
+
+def release_gate(reports: DataFrame, allowed: float = 1.05, strict: bool = False, forbidden: tuple[str, ...] = FORBIDDEN) -> DataFrame:
+    """Each candidate's first reason against promotion, if any: run, split, manifest_hash, cer, base_cer, reason, promote.
+
+    ``reports`` has role, run, split, measured, manifest_hash, sample_count, cer, failures, checkpoint, checkpoint_hash, domain,
+    covered, required, audited and lasa_violations; a baseline is needed for each split, on the very same rows. A rate may
+    be ``allowed`` times the baseline's, or must be below it if ``strict``. A clinical candidate needs all directions
+    of its name pairs covered by an audit that was not empty. Null counts as missing.
+    """
+    columns = ["split", "measured", "manifest_hash", "sample_count", "cer", "failures"]
+    base = reports.filter("role = 'baseline'").select("split", *[F.col(c).alias(f"base_{c}") for c in columns[1:]])
+    joined = reports.filter("role = 'candidate'").join(base, "split", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    no = lambda c: F.coalesce(~c, F.lit(True))
+    invalid = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf")) | (F.col(c) < 0)
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    banned = F.coalesce(F.replace("checkpoint", F.lit("\\"), F.lit("/")).rlike("|".join(f"\\Q{x}\\E" for x in forbidden)), F.lit(False))
+    limit = F.col("cer") >= F.col("base_cer") if strict else F.col("cer") > F.col("base_cer") * allowed + 1e-9
     reason = (
-        F.when(F.coalesce("sample_count", F.lit(0)) == 0, "unmeasured")
-        .when(F.col("base_hash").isNull(), "baseline_not_on_same_split")
-        .when(bad, "invalid_rate").when(F.col("failures") > 0, "failures").when(F.col("checkpoint").rlike("(?i)debug|scratch"), "forbidden_checkpoint")
-        .when(F.col("cer") > F.col("base_cer") * allowed + 1e-9, "rate_regression").when(F.col("lasa_violations") > 0, "lasa_violations")
+        F.when(no(F.col("measured")) | (zero("sample_count") <= 0) | blank("manifest_hash"), "unmeasured")
+        .when(no(F.col("base_measured")) | no(F.col("base_manifest_hash") == F.col("manifest_hash")) | no(F.col("base_sample_count") == F.col("sample_count")), "baseline_not_on_same_split")
+        .when(invalid("cer") | invalid("base_cer"), "invalid_rate")
+        .when((zero("failures") > 0) | (zero("base_failures") > 0), "failures")
+        .when(blank("checkpoint_hash"), "missing_checkpoint_hash")
+        .when((F.coalesce("domain", F.lit("")) == "clinical") & ((zero("required") <= 0) | (zero("covered") != zero("required")) | (zero("audited") <= 0)), "incomplete_coverage")
+        .when(banned, "forbidden_checkpoint")
+        .when(limit, "not_below_baseline" if strict else "rate_regression")
+        .when(zero("lasa_violations") > 0, "lasa_violations")
     )
-    return joined.select("run", "manifest_hash", "cer", "base_cer", reason.alias("reason"), reason.isNull().alias("promote"))
+    return joined.select("run", "split", "manifest_hash", "cer", "base_cer", reason.alias("reason"), reason.isNull().alias("promote"))
 
 
 def reciprocal_pairs(pairs: DataFrame) -> DataFrame:

@@ -126,13 +126,40 @@ _AUDIT = f"""d AS (SELECT drug_a AS a, drug_b AS b FROM pairs UNION SELECT drug_
   w AS (SELECT doc_id, line_no, {_WORDS.format("ref")} AS rw, {_WORDS.format("hyp")} AS hw FROM {{rows}})"""
 
 
+def _counted(rows: str, pairs: str) -> str:
+    """Names of ``pairs`` in ``rows`` by text alone: words stand two spaces apart, so that neighbours share none."""
+    text = "' ' || array_to_string(regexp_extract_all(lower({}), '[\\pL\\pN_]+'), '  ') || ' '".format
+    n = lambda t, p: f"(length({t}) - length(replace({t}, {p}, ''))) // length({p})"
+    return f"""dd AS (SELECT drug_a AS a, drug_b AS b FROM {pairs} UNION SELECT drug_b, drug_a FROM {pairs}),
+  dp AS (SELECT a, b, ' ' || replace(a, ' ', '  ') || ' ' AS pa, ' ' || replace(b, ' ', '  ') || ' ' AS pb FROM dd),
+  tx AS (SELECT * EXCLUDE (ref, hyp), {text("ref")} AS r, {text("hyp")} AS h FROM {rows}),
+  cn AS (SELECT tx.* EXCLUDE (r, h), a AS expected, b AS found, {n("r", "pa")} AS ar, {n("r", "pb")} AS br, {n("h", "pa")} AS ah, {n("h", "pb")} AS bh FROM tx JOIN dp ON contains(r, pa)),
+  au AS (SELECT *, CASE WHEN br = 0 AND bh > 0 THEN 'substituted' WHEN br > 0 AND ah < ar AND bh > br THEN 'multiple' END AS rule FROM cn)"""
+
+
 @query("join6_lasa_audit", f"""
-WITH {_AUDIT.format(rows="swapped")} SELECT doc_id, line_no, a AS expected, b AS found FROM (SELECT *, unnest(list_distinct(rw)) AS a FROM w) JOIN d USING (a) WHERE NOT list_contains(rw, b) AND list_contains(hw, b)""", "pairs swapped")
+WITH {_counted("swapped", "pairs")} SELECT doc_id, line_no, expected, found, rule FROM au WHERE rule IS NOT NULL""", "pairs swapped")
 def join6(spark, d):
     v = Views(spark, d)
     return S.lasa_audit(v.swapped, v.pairs)
 
 
+#: Names of two words, and lines that hold them: one for the other, one of two for the other, both right, one lost.
+_PHRASES = "SELECT 'Extra-' || drug_a AS drug_a, 'extra ' || drug_b AS drug_b FROM pairs"
+_PHRASE_ROWS = """SELECT doc_id, line_no, text || ' Extra ' || drug_a || CASE WHEN line_no % 4 IN (1, 2) THEN ', extra-' || drug_b ELSE '' END AS ref,
+  text || CASE line_no % 4 WHEN 0 THEN ' EXTRA ' || drug_b WHEN 1 THEN ' extra ' || drug_b || '; extra ' || drug_b WHEN 2 THEN ' extra ' || drug_b || ' extra ' || drug_a ELSE '' END AS hyp
+  FROM (SELECT *, doc_id % 20 AS pair FROM lines) JOIN (SELECT row_number() OVER (ORDER BY drug_a) - 1 AS pair, drug_a, drug_b FROM pairs) USING (pair)"""
+
+
+@query("join6_phrase_audit", f"""
+WITH ph AS (SELECT lower(replace(drug_a, '-', ' ')) AS drug_a, lower(drug_b) AS drug_b FROM ({_PHRASES})), pr AS ({_PHRASE_ROWS}), {_counted("pr", "ph")}
+SELECT doc_id, line_no, expected, found, rule FROM au WHERE rule IS NOT NULL""", "pairs lines")
+def join6_phrases(spark, d):
+    v = Views(spark, d)
+    rows = spark.sql(_PHRASE_ROWS.replace("FROM lines", "FROM {lines}").replace("FROM pairs", "FROM {pairs}"), lines=v.lines, pairs=v.pairs)
+    return S.lasa_audit(rows, spark.sql(_PHRASES.replace("FROM pairs", "FROM {pairs}"), pairs=v.pairs))
+
+
 @query("join7_lasa_near_miss", f"""
 WITH {_AUDIT.format(rows="ref_hyp")}, h AS (SELECT doc_id, line_no, a, b, hw FROM (SELECT *, unnest(list_distinct(rw)) AS a FROM w) JOIN d USING (a) WHERE NOT list_contains(rw, b) AND NOT list_contains(hw, b)),
   t AS (SELECT doc_id, line_no, a, b, unnest(hw) AS tok, generate_subscripts(hw, 1) AS pos FROM h)
@@ -143,7 +170,7 @@ def join7(spark, d):
 
 
 @query("agg17_lasa_coverage", f"""
-WITH {_AUDIT.format(rows="ref_hyp")}, s AS (SELECT DISTINCT a, b FROM (SELECT *, unnest(rw) AS a FROM w) JOIN d USING (a) WHERE NOT list_contains(rw, b)) SELECT (SELECT count(*) FROM d) AS directions, (SELECT count(*) FROM s) AS covered""", "pairs ref_hyp")
+WITH {_counted("ref_hyp", "pairs")} SELECT (SELECT count(*) FROM dd) AS directions, count(DISTINCT (expected, found)) AS covered FROM cn WHERE br = 0""", "pairs ref_hyp")
 def agg17(spark, d):
     v = Views(spark, d)
     return S.lasa_coverage(v.ref_hyp, v.pairs)
@@ -174,29 +201,45 @@ def agg18(spark, d):
     return S.catalog_qa(pairs, v.lexicon.selectExpr("key", "weight < 3 as is_lasa"))
 
 
+#: Candidates on each language, and what is wrong with each: swapped names, half of the rows, a failure, no hash, a
+#: scratch checkpoint, uncovered pairs, no text at all, an empty measurement, a rate below zero.
+_CANDIDATES = """SELECT * FROM (VALUES ('good', 'all', true, 0, 'ship', 'h1', 1.0D, 'general'), ('swapped', 'swapped', true, 0, 'ship', 'h2', 1.0D, 'general'), ('half', 'half', true, 0, 'ship', 'h3', 1.0D, 'general'),
+  ('failed', 'all', true, 1, 'ship', 'h4', 1.0D, 'general'), ('unhashed', 'all', true, 0, 'ship', NULL, 1.0D, 'general'), ('scratch', 'all', true, 0, 'runs/scratch/7', 'h5', 1.0D, 'general'),
+  ('clinical', 'all', true, 0, 'ship', 'h6', 1.0D, 'clinical'), ('worse', 'all', true, 0, 'ship', 'h7', 1.2D, 'general'), ('empty', 'all', false, 0, 'ship', 'h8', 1.0D, 'general'), ('negative', 'all', true, 0, 'ship', 'h9', -1.0D, 'general'))
+  AS t(run, rows_of, measured, failures, checkpoint, checkpoint_hash, factor, domain)"""
+
+
 @query("agg16_release_gate", f"""
-WITH {_AUDIT.format(rows="swapped")}, v AS (SELECT source, lang, count(*) AS found FROM (SELECT *, unnest(list_distinct(rw)) AS a FROM w) JOIN d USING (a) JOIN (SELECT DISTINCT doc_id, line_no, source, lang FROM swapped) USING (doc_id, line_no)
-    WHERE NOT list_contains(rw, b) AND list_contains(hw, b) AND doc_id % 20 < 3 GROUP BY source, lang),
-  r AS (SELECT source AS run, lang AS manifest_hash, count(*) AS sample_count, sum(edits) / sum(ref_chars) AS cer, (count(*) FILTER (ref = hyp) % 7 = 0)::INT AS failures,
-    CASE WHEN count(*) % 11 = 0 THEN 'debug' ELSE 'ship' END AS checkpoint FROM scored GROUP BY source, lang),
-  b AS (SELECT lang AS base_hash, sum(edits) / sum(ref_chars) AS base_cer FROM scored WHERE lang <> 'es' GROUP BY lang),
-  j AS (SELECT *, CASE WHEN coalesce(sample_count, 0) = 0 THEN 'unmeasured' WHEN base_hash IS NULL THEN 'baseline_not_on_same_split' WHEN failures > 0 THEN 'failures' WHEN checkpoint = 'debug' THEN 'forbidden_checkpoint'
-    WHEN cer > base_cer * 1.05::DOUBLE + 1e-9 THEN 'rate_regression' WHEN found > 0 THEN 'lasa_violations' END AS reason
-    FROM r LEFT JOIN b ON manifest_hash = base_hash LEFT JOIN v ON v.source = run AND v.lang = manifest_hash)
-SELECT run, manifest_hash, round(cer, 9) AS cer, round(base_cer, 9) AS base_cer, reason, reason IS NULL AS promote FROM j""", "scored pairs swapped")
+WITH {_counted("swapped", "pairs")}, c AS ({_CANDIDATES.replace("D,", "::DOUBLE,")}),
+  rows_of AS (SELECT 'all' AS rows_of, doc_id, line_no, lang, ref, edits, ref_chars FROM scored UNION ALL SELECT 'half', doc_id, line_no, lang, ref, edits, ref_chars FROM scored WHERE line_no % 2 = 0
+    UNION ALL SELECT 'swapped', doc_id, line_no, lang, ref, {distance("ref", "hyp")}, length(ref) FROM swapped),
+  m AS (SELECT rows_of, lang AS split, count(*) AS n, sum(edits) / sum(ref_chars) AS cer,
+    count(*) || ':' || sum(('0x' || substr(md5(j), 1, 15))::HUGEINT) || ':' || sum(('0x' || substr(md5(j), 16, 15))::HUGEINT) AS manifest_hash
+    FROM (SELECT *, to_json([doc_id::VARCHAR, line_no::VARCHAR, ref]) AS j FROM rows_of) GROUP BY rows_of, lang),
+  v AS (SELECT 'swapped' AS rows_of, lang AS split, count(*) AS violations FROM au WHERE rule IS NOT NULL GROUP BY lang),
+  g AS (SELECT count(DISTINCT (expected, found)) AS covered, (SELECT count(*) FROM dd) AS required FROM cn WHERE br = 0 AND lang = 'es'),
+  j AS (SELECT run, m.split, m.manifest_hash, m.cer * factor AS cer, b.cer AS base_cer, CASE WHEN NOT measured THEN 'unmeasured' WHEN b.manifest_hash <> m.manifest_hash THEN 'baseline_not_on_same_split' WHEN m.cer * factor < 0 THEN 'invalid_rate'
+      WHEN failures > 0 THEN 'failures' WHEN checkpoint_hash IS NULL THEN 'missing_checkpoint_hash' WHEN domain = 'clinical' AND covered <> required THEN 'incomplete_coverage' WHEN checkpoint LIKE '%scratch%' THEN 'forbidden_checkpoint'
+      WHEN m.cer * factor > b.cer * 1.05::DOUBLE + 1e-9 THEN 'rate_regression' WHEN violations > 0 THEN 'lasa_violations' END AS reason
+    FROM c JOIN m USING (rows_of) JOIN m b ON b.rows_of = 'all' AND b.split = m.split LEFT JOIN v ON v.rows_of = m.rows_of AND v.split = m.split CROSS JOIN g)
+SELECT run, split, manifest_hash, round(cer, 9) AS cer, round(base_cer, 9) AS base_cer, reason, reason IS NULL AS promote FROM j""", "scored pairs swapped")
 def agg16(spark, d):
     from scriptorium.operators.metrics import char_edits
 
     v = Views(spark, d)
-    scored = v.ref_hyp.withColumns({"edits": char_edits("ref", "hyp"), "ref_chars": F.length("ref")})
-    cer = F.sum("edits") / F.sum("ref_chars")
-    runs = scored.groupBy(F.col("source").alias("run"), F.col("lang").alias("manifest_hash")).agg(
-        F.count("*").alias("sample_count"), cer.alias("cer"), (F.count_if(F.col("ref") == F.col("hyp")) % 7 == 0).cast("int").alias("failures"),
-        F.when(F.count("*") % 11 == 0, "debug").otherwise("ship").alias("checkpoint"), F.lit("candidate").alias("role"),
-    )
-    # the audit of the documents whose names were swapped in three of the twenty pairs
-    audit = S.lasa_audit(v.swapped.filter("doc_id % 20 < 3"), v.pairs, ("source", "lang"))
-    violations = audit.groupBy(F.col("source").alias("run"), F.col("lang").alias("manifest_hash")).agg(F.count("*").alias("lasa_violations"))
-    base = scored.filter("lang <> 'es'").groupBy(F.col("lang").alias("manifest_hash")).agg(cer.alias("cer"), F.lit("baseline").alias("role"))
-    found = S.release_gate(runs.join(violations, ["run", "manifest_hash"], "left").unionByName(base, allowMissingColumns=True))
+
+    def measured(rows, name):
+        each = rows.select("doc_id", "line_no", "lang", "ref", char_edits("ref", "hyp").alias("e"))
+        return each.groupBy(F.lit(name).alias("rows_of"), F.col("lang").alias("split")).agg(
+            F.count("*").alias("sample_count"), (F.sum("e") / F.sum(F.length("ref"))).alias("cer"), S.frozen_digest("doc_id", "line_no", "ref").alias("manifest_hash")
+        )
+
+    plain, swapped = v.ref_hyp, v.swapped
+    rates = measured(plain, "all").union(measured(plain.filter("line_no % 2 = 0"), "half")).union(measured(swapped, "swapped"))
+    audit = S.lasa_audit(swapped, v.pairs, ("lang",)).groupBy(F.col("lang").alias("split"), F.lit("swapped").alias("rows_of")).agg(F.count("*").alias("lasa_violations"))
+    coverage = S.lasa_coverage(swapped.filter("lang = 'es'"), v.pairs).selectExpr("directions as required", "covered", "directions as audited", "1 as one")
+    runs = spark.sql(_CANDIDATES).join(rates, "rows_of").join(audit, ["split", "rows_of"], "left").withColumn("one", F.lit(1)).join(coverage, "one")
+    runs = runs.withColumns({"cer": F.col("cer") * F.col("factor"), "role": F.lit("candidate")})
+    base = rates.filter("rows_of = 'all'").withColumns({"role": F.lit("baseline"), "measured": F.lit(True)})
+    found = S.release_gate(runs.unionByName(base, allowMissingColumns=True))
     return found.withColumns({"cer": F.round("cer", 9), "base_cer": F.round("base_cer", 9)})

@@ -198,20 +198,6 @@ def test_lasa_audit_needs_the_other_name(spark):
     assert [tuple(r) for r in safety.lasa_audit(rows, pairs).collect()] == [(1, 1, "alpha", "alpho")]
 
 
-def test_gate_gives_the_first_reason(spark):
-    schema = "run string, role string, manifest_hash string, sample_count long, cer double, failures long, lasa_violations long, checkpoint string"
-    rows = [("b", "baseline", "h", 10, 0.05, 0, 0, "x"), ("ok", "candidate", "h", 10, 0.0524, 0, 0, "x"), ("bad", "candidate", "h", 10, 0.06, 0, 1, "x"), ("none", "candidate", "q", 10, 0.01, 0, 0, "x")]
-    got = {r.run: r.reason for r in safety.release_gate(spark.createDataFrame(rows, schema)).collect()}
-    assert got == {"ok": None, "bad": "rate_regression", "none": "baseline_not_on_same_split"}
-
-
-@pytest.mark.parametrize(
-    ("cell", "safe"), [("=1+1", "'=1+1"), ('say "x"', 'say ""x""'), ("-5", "'-5"), ("plain", "plain"), ("", "")]
-)
-def test_guarded_cells(spark, cell, safe):
-    assert spark.createDataFrame([(cell,)], "c string").select(documents.guard_cell(F.col("c"))).first()[0] == safe
-
-
 def test_loops_are_cut(spark):
     text = "go on " + " ".join(["so it"] * 8) + " end"
     rows = spark.createDataFrame([(1, 1, text), (1, 2, "short text")], "doc_id long, line_no long, text string")
