@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scriptorium.operators import confusion as C
@@ -9,6 +10,7 @@ from scriptorium.operators import feedback as B
 
 from .catalog import query
 from .views import Views
+from .views_sql import distance
 
 
 def _corrections(spark, d):
@@ -77,6 +79,34 @@ def win5(spark, d):
     return C.rescore(_beams(spark, d), Views(spark, d).lexicon.select("key", "weight"))
 
 
+#: Component scores that both engines can compute, in place of those of a lexicon.
+_GIVEN = ["(length(text) * 13 % 8) / 2.0D as lex", "((doc_id + beam_no) % 5 - 2) / 2.0D as context", "(line_no * beam_no % 4) / 8.0D as confusion"]
+
+
+@query("win5_stage_ablation", f"""
+WITH b AS (SELECT doc_id, line_no, ref, beam_no, [hyp, ref, lower(ref), replace(ref, 'a', 'o')][beam_no + 1] AS text, hyp AS top, -0.45::DOUBLE - 0.1::DOUBLE * beam_no AS log_prob FROM ref_hyp, range(4) r(beam_no)
+    WHERE line_no % 7 > 0 OR beam_no = 0),
+  c AS (SELECT *, {", ".join(_GIVEN).replace("2.0D", "2.0::DOUBLE").replace("8.0D", "8.0::DOUBLE")} FROM b),
+  w(stage, wl, wx, wc) AS (VALUES ('baseline', 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), ('lexicon', 1.0, 0.0, 0.0), ('lexicon_confusion', 1.0, 0.0, 0.5), ('full', 1.0, 0.8, 0.5)),
+  s AS (SELECT *, log_prob + wl * lex + wx * context AS base, log_prob + wl * lex + wx * context - wc * confusion AS score FROM c, w),
+  r AS (SELECT *, row_number() OVER (l ORDER BY score DESC, beam_no) AS rank, count(*) OVER l AS beams, score - max(score) FILTER (text = top) OVER l AS delta,
+    sum(exp(greatest(score - m, -20))) OVER l AS total FROM (SELECT *, max(score) OVER (PARTITION BY stage, doc_id, line_no) AS m FROM s) WINDOW l AS (PARTITION BY stage, doc_id, line_no)),
+  f AS (SELECT *, text <> top OR delta > 0.01::DOUBLE AS applied, {distance("ref", "text")} AS e,
+    round(CASE WHEN beams = 1 THEN 1 / (1 + exp(-greatest(-10, least(10, base)))) ELSE greatest(0.01::DOUBLE, least(0.99::DOUBLE, 1 / total)) END, 4) AS confidence FROM r WHERE rank = 1)
+SELECT stage, count(*) AS n, count(*) FILTER (applied) AS applied, count(*) FILTER (text <> top) AS changed, count(*) FILTER (e = 0) AS exact, sum(e)::BIGINT AS edits, round(sum(e) / sum(length(ref)), 4) AS cer,
+  round(avg(confidence), 3) AS confidence, round(avg(round(delta, 4)), 3) AS delta FROM f GROUP BY stage""", "ref_hyp")
+def win5_stages(spark, d):
+    given = _beams(spark, d).filter("line_no % 7 > 0 or beam_no = 0").selectExpr("*", *_GIVEN)
+    top = F.first("text").over(Window.partitionBy("doc_id", "line_no").orderBy(F.desc("log_prob"), "beam_no"))
+    return C.ablation_report(C.rank_stages(given.withColumn("top", top), C.ABLATION), Views(spark, d).ref_hyp.select("doc_id", "line_no", "ref"))
+
+
+@query("win5_ablation")
+def win5_ablation(spark, d):
+    parts = C.beam_components(_beams(spark, d), Views(spark, d).lexicon.select("key", "weight"))
+    return C.ablation_report(C.rank_stages(parts, C.ABLATION), Views(spark, d).ref_hyp.select("doc_id", "line_no", "ref"))
+
+
 @query("win13_rank_flip")
 def win13(spark, d):
     lexicon, beams = Views(spark, d).lexicon.select("key", "weight"), _beams(spark, d)

@@ -195,7 +195,7 @@ def test_identifiers(spark):
 def test_lasa_audit_needs_the_other_name(spark):
     pairs = spark.createDataFrame([("alpha", "alpho")], "drug_a string, drug_b string")
     rows = spark.createDataFrame([(1, 1, "take alpha now", "take alpho now"), (2, 1, "alpha and alpho", "alpho"), (3, 1, "alpha", "alpha")], "doc_id long, line_no long, ref string, hyp string")
-    assert [tuple(r) for r in safety.lasa_audit(rows, pairs).collect()] == [(1, 1, "alpha", "alpho")]
+    assert [tuple(r)[:4] for r in safety.lasa_audit(rows, pairs).collect()] == [(1, 1, "alpha", "alpho")]
 
 
 def test_loops_are_cut(spark):
