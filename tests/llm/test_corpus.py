@@ -450,3 +450,29 @@ def test_word_hashes_split_like_bytes():
 def test_empty_tables(empty):
     for found in (exact_dedup.exact_duplicates(empty), ngram_join.near_duplicates(empty), substring_dedup.remove_repeats(empty), packing.pack(empty), token_counts.counts_with_redactions(empty)):
         assert found.count() == 0
+
+
+def test_compaction_of_odd_arrivals_and_empty_stores(spark, tmp_path):
+    arrivals = ["a b", "x%y", None, "", "__HIVE_DEFAULT_PARTITION__", "é/ü:=", "n" * 300]
+    rows = [(k, a, None if k == 2 else f"t{k}") for k, a in enumerate(arrivals)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, arrival string, text string")
+    root = f"file://{tmp_path}/a store%20"
+    store = compaction.ShardStore(spark, root, fanout=100)
+    store.append(docs, F.col("arrival"))
+    assert len(store.runs()) == len(arrivals) and sum(r.rows for r in store.runs()) == len(rows)
+    assert sorted(map(tuple, store.read().collect()), key=repr) == sorted(rows, key=repr)
+    names = {r.shard: (r.shard_bytes, r.shard_rows) for r in store.shards().collect()}
+    assert len(names) == sum(r.files for r in store.runs()) and sum(n for _, n in names.values()) == len(rows)
+    assert all((tmp_path / "a store%20" / s).stat().st_size == size for s, (size, _) in names.items())
+    store.append(docs.limit(0), F.col("arrival"))
+    assert len(store.runs()) == len(arrivals)
+    merged = compaction.ShardStore(spark, root, fanout=2)
+    merged.compact()
+    merged.vacuum()
+    assert sorted(map(tuple, merged.read().collect()), key=repr) == sorted(rows, key=repr) and len(merged.runs()) == 1
+    assert len(list((tmp_path / "a store%20" / "parts").iterdir())) == 1
+    bare = compaction.ShardStore(spark, f"file://{tmp_path}/empty")
+    bare.append(docs.limit(0), F.lit(None))
+    assert bare.read().dtypes == docs.dtypes and bare.read().count() == bare.shards().count() == 0 and bare.compact() == 1
+    with pytest.raises(ValueError, match="no version"):
+        compaction.ShardStore(spark, f"file://{tmp_path}/none").read()
