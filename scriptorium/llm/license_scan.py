@@ -1,9 +1,10 @@
 """License scans by conditional compression.
 
-Notices are found in the words of a text, whatever its lines and comment marks, by words of which each
-notice must hold one, and confirmed by the exact wording: which words of the template a block lacks or
-replaces. Other mentions of a license are compressed plainly and with each template's wording as a raw
-zstandard dictionary; the templates are ranked by how many bytes their dictionary saves.
+Candidate blocks are the words, whatever their lines and comment marks, around words of which each notice must
+hold one. Every block is compressed plainly and with each template's wording as a raw zstandard dictionary, and
+the templates are ranked by how many bytes their dictionary saves. Down that ranking, as long as a
+dictionary saves anything, the exact wording confirms a template or does not: which of its words a notice lacks or
+replaces. A template whose dictionary saves nothing is not looked for.
 """
 
 from __future__ import annotations
@@ -119,33 +120,80 @@ class Scanner:
         raw = zstd.DICT_TYPE_RAWCONTENT
         self.plain = zstd.ZstdCompressor(level=19)
         self.words = {k: w for k, v in templates.items() if (w := words_of(v)[0])}
-        self.by = {k: zstd.ZstdCompressor(level=19, dict_data=zstd.ZstdCompressionDict(" ".join(v).encode(), dict_type=raw)) for k, v in self.words.items()}
+        self.by = {}
+        for name, words in self.words.items():
+            own = zstd.ZstdCompressionDict(" ".join(words).encode(), dict_type=raw)
+            own.precompute_compress(level=19)
+            self.by[name] = zstd.ZstdCompressor(dict_data=own)
         self.bags = {k: Counter(v) for k, v in self.words.items()}
         self.anchors = {k: anchors_of(v) for k, v in self.words.items()}
         self.longest = max(map(len, self.words.values()), default=0)
+        #: How far a notice's words may lie from one of them.
+        self.reach = {k: len(w) + math.floor(WITHIN * len(w)) for k, w in self.words.items()}
+        self.anchored: dict[str, list[str]] = {}
+        for name, anchors in self.anchors.items():
+            for w in anchors:
+                self.anchored.setdefault(w, []).append(name)
 
-    def confirmed(self, words: list[str]) -> list[tuple[int, int, str]]:
-        """(start, end, template) of all notices whose exact wording stands in a text."""
-        at: dict[str, list[int]] = {}
-        for k, w in enumerate(words):
-            at.setdefault(w, []).append(k)
+    def windows(self, words: list[str]) -> list[tuple[int, int]]:
+        """The candidate blocks: what lies within reach of an anchor of any template, joined where it meets, and cut
+        again so that a block has four times the longest reach at most and each reach is whole in one."""
+        near = sorted((k - self.reach[n], k + self.reach[n] + 1) for k, w in enumerate(words) for n in self.anchored.get(w, ()))
+        joined: list[list[int]] = []
+        for low, high in near:
+            if joined and low <= joined[-1][1]:
+                joined[-1][1] = max(joined[-1][1], high)
+            else:
+                joined.append([max(low, 0), high])
+        step = 2 * max(self.reach.values(), default=1) + 1
         out = []
-        for name, template in self.words.items():
-            places = sorted(k for a in self.anchors[name] for k in at.get(a, ()))
-            found: list[tuple[int, int]] = []
-            # words further off than this belong to other sentences, however they are ordered
-            reach = len(template) + math.floor(WITHIN * len(template))
-            for p in places:
-                while not any(i <= p < j for i, j in found):
-                    low = max([p - reach, 0, *(j for _, j in found if j <= p)])
-                    high = min([p + reach + 1, len(words), *(i for i, _ in found if i > p)])
-                    span = self._span(name, words[low:high])
-                    if span is None or span[1] - span[0] > reach:
-                        break
-                    found.append((low + span[0], low + span[1]))
-            out += [(i, j, name) for i, j in found]
+        for low, high in joined:
+            high = min(high, len(words))
+            out += [(k, min(k + 2 * step, high)) for k in range(low, max(low + 1, high - step), step)]
+        return out
+
+    def savings(self, block: list[str]) -> list[tuple[int, str]]:
+        """(bytes saved by its dictionary, template), the largest saving first, ties by name."""
+        raw = " ".join(block).encode("utf-8", "surrogatepass")
+        plain = len(self.plain.compress(raw))
+        return sorted(((plain - len(c.compress(raw)), k) for k, c in self.by.items()), key=lambda x: (-x[0], x[1]))
+
+    def confirmed(self, words: list[str]) -> list[tuple[int, int, str, int]]:
+        """(start, end, template, rank) of the notices whose template saves bytes in their block and whose exact wording
+        stands there; rank is the template's place among the block's savings."""
+        found: dict[str, dict[tuple[int, int], int]] = {}
+        for low, high in self.windows(words):
+            block = words[low:high]
+            for rank, (saved, name) in enumerate(self.savings(block), 1):
+                if saved <= 0:
+                    break
+                for i, j in self._notices(name, block):
+                    found.setdefault(name, {}).setdefault((low + i, low + j), rank)
+        out = []
+        for name, spans in found.items():
+            last = (-1, -1)
+            for i, j in sorted(spans, key=lambda x: (x[0], -x[1])):
+                if i >= last[1]:
+                    last = i, j
+                    out.append((i, j, name, spans[i, j]))
+                elif j - i > last[1] - last[0]:  # the same notice, cut short at the end of a block
+                    out[-1], last = (i, j, name, spans[i, j]), (i, j)
         return sorted(out)
 
+    def _notices(self, name: str, words: list[str]) -> list[tuple[int, int]]:
+        """The places at which a template's exact wording stands."""
+        reach, found = self.reach[name], []
+        for p in (k for k, w in enumerate(words) if w in self.anchors[name]):
+            while not any(i <= p < j for i, j in found):
+                low = max([p - reach, 0, *(j for _, j in found if j <= p)])
+                high = min([p + reach + 1, len(words), *(i for i, _ in found if i > p)])
+                span = self._span(name, words[low:high])
+                # words further off belong to other sentences, however they are ordered
+                if span is None or span[1] - span[0] > reach:
+                    break
+                found.append((low + span[0], low + span[1]))
+        return found
+
     def _span(self, name: str, words: list[str]) -> tuple[int, int] | None:
         template = self.words[name]
         if sum((self.bags[name] & Counter(words)).values()) < CONFIRM * len(template):
@@ -168,48 +216,43 @@ class Scanner:
         plain = len(self.plain.compress(block))
         return (name, plain, plain - len(self.by[name].compress(block)), *self.wording(name, words))
 
-    def blocks(self, words: list[str], lines: list[int]) -> list[tuple[int, int, int, str | None]]:
-        """(line, start, end, template) of the confirmed notices, and of a window without a template
+    def blocks(self, words: list[str], lines: list[int]) -> list[tuple[int, int, int, str | None, int | None]]:
+        """(line, start, end, template, rank) of the confirmed notices, and of a window without a template
         around each other mention; mentions of one line that one window holds share it."""
-        out = [(lines[i], i, j, name) for i, j, name in self.confirmed(words)]
-        spans, last = [(i, j) for _, i, j, _ in out], (-1, -1)
+        out = [(lines[i], i, j, name, rank) for i, j, name, rank in self.confirmed(words)]
+        spans, last = [(i, j) for _, i, j, *_ in out], (-1, -1)
         for p in mentions(words):
             if any(i <= p < j for i, j in spans) or (last[0] == lines[p] and p < last[1]):
                 continue
             low = max([p - self.longest, 0, *(j for _, j in spans if j <= p)])
             high = min([p + self.longest + 1, len(words), *(i for i, _ in spans if i > p)])
-            out.append((lines[p], low, high, None))
+            out.append((lines[p], low, high, None, None))
             last = lines[p], high
         return sorted(out, key=lambda x: x[:3])
 
-    def scan(self, words: list[str]) -> list[tuple[str, int, int, float, list[str]]]:
-        """(template, plain bytes, saved bytes, share of the template's words in order, differences) of
-        the best templates, the largest saving first; ties by the better wording, then by name."""
-        block = " ".join(words).encode("utf-8", "surrogatepass")
-        plain = len(self.plain.compress(block))
-        saved = sorted(((plain - len(c.compress(block)), k) for k, c in self.by.items()), key=lambda x: (-x[0], x[1]))[:RANKED]
-        out = []
-        for gain, name in saved:
-            if gain <= 0:
-                continue
-            out.append((name, plain, gain, *self.wording(name, words)))
-        return sorted(out, key=lambda x: (-x[3], -x[2], x[0]))
+    def scan(self, words: list[str]) -> tuple[str, int, int, float, list[str]] | None:
+        """(template, plain bytes, saved bytes, share of the template's words in order, differences) of a block that
+        confirms none: the best wording among the ``RANKED`` largest savings, ties by saving, then by name."""
+        plain = len(self.plain.compress(" ".join(words).encode("utf-8", "surrogatepass")))
+        out = [(name, plain, gain, *self.wording(name, words)) for gain, name in self.savings(words)[:RANKED] if gain > 0]
+        return min(out, key=lambda x: (-x[3], -x[2], x[0]), default=None)
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """One row per block: doc_id, line, block, license, plain_bytes, saved_bytes, wording, differences,
-    confirmed.
+    confirmed, rank.
 
     Each notice of a text is a confirmed block: ``CONFIRM`` of a template's words stand in it in order,
-    however its lines are broken. All templates are tried, so notices may overlap. Any other mention of
+    however its lines are broken, and its template saves bytes of the candidate block, as the ``rank``-th of all by
+    what it saves. Notices of several templates may overlap. Any other mention of
     a license is a block of the words around it, up to the next notice; its license is the template of
     the best exact wording among the ``RANKED`` largest savings, or null if no dictionary saves a byte.
     ``line`` is that of a notice's first word, or of the mention. Documents without either, null
     and empty texts have no rows; a null id is carried along; an empty table gives no rows.
     """
     templates = TEMPLATES if templates is None else templates
-    names = ["doc_id", "line", "block", "license", "plain_bytes", "saved_bytes", "wording", "differences", "confirmed"]
-    kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.string()), pa.bool_()]
+    names = ["doc_id", "line", "block", "license", "plain_bytes", "saved_bytes", "wording", "differences", "confirmed", "rank"]
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.string()), pa.bool_(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates)
@@ -218,15 +261,15 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 found_words, lines = words_of(text)
-                for line, low, high, template in scanner.blocks(found_words, lines):
+                for line, low, high, template, rank in scanner.blocks(found_words, lines):
                     words = found_words[low:high]
                     found = seen.get((template, *words))
                     if found is None:
-                        found = (scanner.scan(words) or [(None, None, 0, 0.0, [])])[0] if template is None else scanner.notice(template, words)
+                        found = (scanner.scan(words) or (None, None, 0, 0.0, [])) if template is None else scanner.notice(template, words)
                         if len(seen) < 10_000:
                             seen[template, *words] = found
                     name, plain, gain, share, diffs = found
-                    rows.append((doc, line, " ".join(words), name, plain, gain, share, diffs, share >= CONFIRM))
+                    rows.append((doc, line, " ".join(words), name, plain, gain, share, diffs, share >= CONFIRM, rank))
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
@@ -234,7 +277,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     hints = "|".join([f"(?i:{MAY_MENTION})", *(re.sub(r"([^\w\s])", r"\\\1", a) for a in sorted(anchors))])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").rlike(hints))
     return rows.mapInArrow(
-        run, "doc_id long, line int, block string, license string, plain_bytes int, saved_bytes int, wording double, differences array<string>, confirmed boolean"
+        run, "doc_id long, line int, block string, license string, plain_bytes int, saved_bytes int, wording double, differences array<string>, confirmed boolean, rank int"
     )
 
 

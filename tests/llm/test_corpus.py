@@ -476,3 +476,36 @@ def test_compaction_of_odd_arrivals_and_empty_stores(spark, tmp_path):
     assert bare.read().dtypes == docs.dtypes and bare.read().count() == bare.shards().count() == 0 and bare.compact() == 1
     with pytest.raises(ValueError, match="no version"):
         compaction.ShardStore(spark, f"file://{tmp_path}/none").read()
+
+
+def test_license_savings_decide(monkeypatch):
+    """Templates are tried in the order of what their dictionaries save, and those that save nothing are not."""
+    notices = license_scan.TEMPLATES
+    texts = [f"{words(random.Random(k), 30)} {a} {words(random.Random(-k), 30)} {b}" for k, (a, b) in enumerate(zip(notices.values(), list(notices.values())[::-1], strict=True))]
+    cut = [license_scan.words_of(t)[0] for t in texts]
+    scanner = license_scan.Scanner(notices)
+    truth = [scanner.confirmed(w) for w in cut]
+    assert all(len({n for *_, n, _ in found}) >= 2 for k, found in enumerate(truth) if k != len(truth) // 2)
+    real = license_scan.Scanner.savings
+    monkeypatch.setattr(license_scan.Scanner, "savings", lambda self, block: [(0, n) for _, n in real(self, block)])
+    assert not any(scanner.confirmed(w) for w in cut)
+
+    def shuffled(self, block):
+        found = real(self, block)
+        return [(found[k][0], found[-1 - k][1]) for k in range(len(found))]
+
+    monkeypatch.setattr(license_scan.Scanner, "savings", shuffled)
+    assert [scanner.confirmed(w) for w in cut] != truth
+
+
+def test_license_blocks_hold_every_reach():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    text = ("license " * 3000).split() + ["word"] * 700 + license_scan.TEMPLATES["ISC"].split() + ["word"] * 700
+    blocks = scanner.windows(text)
+    longest = max(scanner.reach.values())
+    assert max(b - a for a, b in blocks) <= 4 * longest + 2 and sum(b - a for a, b in blocks) <= 2 * len(text)
+    for k, w in enumerate(text):
+        for name in scanner.anchored.get(w, ()):
+            low, high = max(0, k - scanner.reach[name]), min(len(text), k + scanner.reach[name] + 1)
+            assert any(a <= low and high <= b for a, b in blocks)
+    assert [n for *_, n, _ in scanner.confirmed(text)] == ["ISC"]
