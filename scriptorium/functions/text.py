@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, MapType, StringType, StructType, VariantType
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Labels that stand for no transcription.
@@ -42,6 +42,26 @@ def normalize(
     return F.trim(col) if trim else col
 
 
+#: What stands before a separator of JSON text: whole strings, and other characters.
+_BEFORE = r'\G((?:"(?:[^"\\]|\\.)*+"|[^",:])*+)([,:])'
+
+
+def raw_label(col: Column, kind: DataType) -> Column:
+    """A label of any type as text: bytes as UTF-8 with replacements, nested values and variants as JSON with sorted
+    keys and a space after separators, other values as they print; null as empty."""
+    if isinstance(kind, BinaryType):
+        text = F.make_valid_utf8(col.cast("string"))
+    elif isinstance(kind, (StructType, ArrayType, MapType, VariantType)):
+        # a variant keeps the keys of an object in order
+        value = col if isinstance(kind, VariantType) else F.parse_json(F.to_json(col, {"ignoreNullFields": "false"}))
+        text = F.regexp_replace(F.to_json(value), _BEFORE, "$1$2 ")
+    elif isinstance(kind, BooleanType):
+        text = F.when(col, "True").otherwise("False")
+    else:
+        text = col.cast("string")
+    return F.when(col.isNotNull(), text).otherwise("")
+
+
 def clean_label(col: Column) -> Column:
     """A raw label as text: bars are spaces, white space collapses, junk labels are empty."""
     text = collapse(F.replace(F.coalesce(col, F.lit("")), F.lit("|"), F.lit(" ")))

@@ -24,6 +24,20 @@ def prj1(spark, d):
     )
 
 
+@query("prj1_raw_labels", """
+WITH k AS (SELECT doc_id, line_no, md5(text) AS m FROM lines)
+SELECT doc_id, line_no, unnest([{'kind': 'bytes', 'label': CASE WHEN line_no % 5 = 0 THEN 'a' || chr(65533) || m ELSE 'a ' || m END},
+  {'kind': 'nested', 'label': '{"a": [' || line_no || ', 2], "m": "x,:' || m || '", "z": ' || CASE WHEN line_no % 3 = 0 THEN 'null' ELSE '"b"' END || '}'},
+  {'kind': 'map', 'label': '{"k x": ' || line_no || ', "l": 7}'}, {'kind': 'flag', 'label': CASE WHEN line_no % 2 = 0 THEN 'True' ELSE 'False' END}], recursive := true) FROM k""", "lines")
+def prj1_raw(spark, d):
+    rows = Views(spark, d).lines.selectExpr(
+        "doc_id", "line_no", "concat(cast('a' as binary), case when line_no % 5 = 0 then X'FF' else cast(' | ' as binary) end, cast(md5(text) as binary)) as bytes",
+        "named_struct('z', case when line_no % 3 > 0 then 'b' end, 'm', concat('x,:', md5(text)), 'a', array(line_no, 2)) as nested", "map('l', 7, 'k|x', line_no) as map", "line_no % 2 = 0 as flag",
+    )
+    labels = [F.struct(F.lit(c).alias("kind"), T.clean_label(T.raw_label(F.col(c), rows.schema[c].dataType)).alias("label")) for c in ("bytes", "nested", "map", "flag")]
+    return rows.select("doc_id", "line_no", F.inline(F.array(*labels)))
+
+
 @query("prj2_text_normalize", r"""
 SELECT doc_id, line_no, trim(regexp_replace(translate(lower(regexp_replace(lower(text), '\bthe\b', 'a', 'g')), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', ''), '\s+', ' ', 'g')) AS normal FROM lines""", "lines")
 def prj2(spark, d):

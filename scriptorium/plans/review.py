@@ -212,9 +212,21 @@ def win7(spark, d):
     return P.continue_lines(_page_lines(spark, d))
 
 
+@query("join11_escalate", r"""
+WITH t AS (SELECT doc_id, line_no, text, regexp_extract_all(text, '[\pL][\pL'']*') AS t FROM lines), u AS (SELECT doc_id, line_no, unnest(t) AS w FROM t),
+  o AS (SELECT DISTINCT doc_id, line_no FROM u WHERE NOT regexp_matches(w, '^\p{Lu}(\p{Ll}+)?$') AND lower(w) NOT IN (SELECT key FROM lexicon))
+SELECT reason, count(*) AS n FROM (SELECT CASE WHEN len(t) = 0 THEN 'blank' WHEN lower(t[1]) IN ('the', 'la') THEN 'first_word' WHEN regexp_matches(text, '["“”]') THEN 'quotes'
+  WHEN len(t) <= 3 AND len(list_filter(t, lambda w: regexp_matches(w, '^\p{Lu}(\p{Ll}+)?$'))) > 0 THEN 'name' WHEN o.doc_id IS NOT NULL THEN 'unknown_word' ELSE 'none' END AS reason
+  FROM t LEFT JOIN o USING (doc_id, line_no)) GROUP BY reason""", "lines lexicon")
+def join11_escalate(spark, d):
+    v = Views(spark, d)
+    found = P.escalate(v.lines, ["doc_id", "line_no"], v.lexicon, ("the", "la"))
+    return found.groupBy(F.coalesce("reason", F.lit("none")).alias("reason")).agg(F.count("*").alias("n"))
+
+
 @query("join11_reader_fusion")
 def join11(spark, d):
     rows = Views(spark, d).ref_hyp
-    fused = P.fuse_readers(rows.select("doc_id", "line_no", F.col("hyp").alias("text")), rows.select("doc_id", "line_no", F.col("ref").alias("text")), ["doc_id", "line_no"])
+    fused = P.fuse_readers(rows.select("doc_id", "line_no", F.col("hyp").alias("text")), rows.select("doc_id", "line_no", F.col("ref").alias("text")), ["doc_id", "line_no"], Views(spark, d).lexicon)
     share = F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6)  # a row per rule
     return fused.groupBy("rule").agg(F.count("*").alias("n")).withColumn("share", share)

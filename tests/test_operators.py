@@ -274,3 +274,11 @@ def test_keys_keep_letters_of_all_scripts(spark):
     pairs = spark.createDataFrame([("mañana", "manana")], "drug_a string, drug_b string")
     rows = spark.createDataFrame([(1, 1, "hasta mañana", "hasta manana")], "doc_id long, line_no long, ref string, hyp string")
     assert [(r.expected, r.found) for r in safety.lasa_audit(rows, pairs).collect()] == [("mañana", "manana")]
+
+
+def test_labels_of_any_type(spark):
+    rows = spark.sql(r"""SELECT X'61FFC3A9' AS b, named_struct('z', 'q"a,:b', 'a', cast(null as int)) AS s, array(map('k', 1)) AS m, parse_json('{"y": [1, {"b": ", ", "a": "\\\\"}], "x": true}') AS v,
+      true AS t, 12 AS n, cast(null as binary) AS e""")
+    got = rows.select(*[T.raw_label(F.col(c), rows.schema[c].dataType).alias(c) for c in rows.columns]).first()
+    assert (got.b, got.t, got.n, got.e) == ("a�é", "True", "12", "")
+    assert got.s == '{"a": null, "z": "q\\"a,:b"}' and got.m == '[{"k": 1}]' and got.v == '{"x": true, "y": [1, {"a": "\\\\", "b": ", "}]}'
