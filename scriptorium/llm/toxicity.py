@@ -26,10 +26,11 @@ from .common import drop_table, materialize, table
 EXAMPLES = {1: 1500, 0: 3000}
 #: A term is left out if fewer examples hold it, or if chi-square is below this and the labels use it at rates within this factor.
 LEAST_EXAMPLES = 3
-LEAST_CHI2 = 25.0
-NEUTRAL = 8.0
+LEAST_CHI2 = 50.0
+NEUTRAL = 20.0
 NEIGHBOURS = 15
 BLOCK = 64
+FOLDS = 3
 #: Blocks visited before the others are pruned.
 FIRST = 8
 CUT = 0.7
@@ -43,6 +44,15 @@ def terms_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_CLEAR).lower().split()
 
 
+@dataclass(frozen=True)
+class TermRule:
+    """Which terms of the examples are left out; chosen by ``cross_validated`` on learnt rows."""
+
+    examples: int = LEAST_EXAMPLES
+    chi2: float = LEAST_CHI2
+    neutral: float = NEUTRAL
+
+
 def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of the ranges, and the range of each."""
     sizes = ends - starts
@@ -128,7 +138,7 @@ def _terms(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, term binary, tf int")
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> BlockMaxIndex:
+def fit(docs: DataFrame, labels: DataFrame, rule: TermRule = TermRule()) -> BlockMaxIndex:  # noqa: B008
     """The index over the sampled labelled rows of ``docs``; without usable labels of both kinds
     every score is the share of toxic labels, or 0."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & _learnt(F.col("doc_id")))
@@ -145,10 +155,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> BlockMaxIndex:
     sizes = {r["toxic"]: r["n"] for r in terms.groupBy("toxic").agg(F.count_distinct("doc_id").alias("n")).collect()}
     prior = shares.get(1, 0) / max(1, sum(shares.values()))
     # counts of the terms and then the postings of those that are held: both are bounded by the sample
-    used = terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("toxic").alias("df1")).filter(F.col("df") >= LEAST_EXAMPLES)
+    used = terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("toxic").alias("df1")).filter(F.col("df") >= rule.examples)
     used = materialize(used, "example-vocabulary")
     counts = used.toArrow().sort_by("term")
-    neutral = _neutral(counts["df"].to_numpy().astype(float), counts["df1"].to_numpy().astype(float), sizes.get(0, 0), sizes.get(1, 0))
+    neutral = _neutral(counts["df"].to_numpy().astype(float), counts["df1"].to_numpy().astype(float), sizes.get(0, 0), sizes.get(1, 0), rule)
     held = counts.filter(pa.array(~neutral))
     postings = terms.join(used.select("term"), "term", "left_semi").toArrow()
     for done in (terms, used):
@@ -156,16 +166,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> BlockMaxIndex:
     return _build(held["term"].combine_chunks(), postings, shares, sizes, prior)
 
 
-def _neutral(df: np.ndarray, df1: np.ndarray, n0: int, n1: int) -> np.ndarray:
-    """Terms that say nothing of the label. A term of ``LEAST_EXAMPLES`` examples that one label alone
-    uses, or at ``NEUTRAL`` times the other's rate, is never one of them, however common it is."""
+def _neutral(df: np.ndarray, df1: np.ndarray, n0: int, n1: int, rule: TermRule) -> np.ndarray:
+    """Terms that say nothing of the label. A term of ``rule.examples`` examples that one label alone
+    uses, or at ``rule.neutral`` times the other's rate, is never one of them, however common it is."""
     if not n0 or not n1:
         return np.zeros(len(df), bool)
     n, excess = n0 + n1, df1 - df * n1 / (n0 + n1)
     chi2 = np.divide(excess**2 * float(n) ** 3, df * (n - df) * float(n0 * n1), out=np.zeros(len(df)), where=df < n)
     rate0, rate1 = (df - df1) / n0, df1 / n1
-    alike = np.maximum(rate0, rate1) < NEUTRAL * np.minimum(rate0, rate1)
-    return (df < LEAST_EXAMPLES) | ((chi2 < LEAST_CHI2) & alike)
+    alike = np.maximum(rate0, rate1) < rule.neutral * np.minimum(rate0, rate1)
+    return (df < rule.examples) | ((chi2 < rule.chi2) & alike)
 
 
 def _build(held: pa.Array, postings: pa.Table, shares, sizes, prior) -> BlockMaxIndex:
@@ -235,7 +245,10 @@ def _calibrate(index, votes, truth, shares, sizes, prior) -> None:
 
 def _scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The columns of ``docs`` as c0, c1, ..., with score and evidence, a row for each row."""
-    index = fit(docs, labels)
+    return _score(docs, fit(docs, labels))
+
+
+def _score(docs: DataFrame, index: BlockMaxIndex) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)
     names = [f"c{k}" for k in range(len(docs.columns))]
     text_at = docs.columns.index("text")
@@ -264,6 +277,28 @@ def _scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.toDF(*names).mapInArrow(run, f"{fields}, score double, evidence array<struct<doc_id:bigint,toxic:int,cosine:double>>")
 
 
+def cross_validated(docs: DataFrame, labels: DataFrame, rules: list[TermRule], folds: int = FOLDS) -> list[dict]:
+    """For each rule the counts of hits, misses and false alarms, precision, recall and F1 at ``CUT``, best F1 first: learnt
+    rows alone are dealt to folds by a hash of their ids, and each fold is scored from the examples of the others."""
+    fold = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("fold")), F.lit(folds))
+    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & _learnt(F.col("doc_id"))).withColumn("fold", fold)
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "fold").agg(F.max("toxic").alias("toxic"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = []
+    for rule in rules:
+        sums = np.zeros(3)
+        for k in range(folds):
+            index = fit(rows, known.filter(F.col("fold") != k), rule)
+            held = known.filter(F.col("fold") == k).select("doc_id", F.col("toxic").alias("truth"))
+            scored = _score(rows.join(held, "doc_id"), index).select(F.col("c2").alias("truth"), (F.col("score") >= CUT).alias("hit"))
+            counts = [F.count_if(c) for c in (F.col("hit") & (F.col("truth") == 1), ~F.col("hit") & (F.col("truth") == 1), F.col("hit") & (F.col("truth") == 0))]
+            sums += np.array(scored.agg(*counts).first(), float)
+        hits, missed, false = sums
+        precision, recall = hits / max(1, hits + false), hits / max(1, hits + missed)
+        found.append({"rule": rule, "hits": hits, "missed": missed, "false": false, "precision": precision, "recall": recall, "f1": 2 * hits / max(1, 2 * hits + missed + false)})
+    return sorted(found, key=lambda x: -x["f1"])
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence for each row of ``docs``.
 

@@ -509,3 +509,20 @@ def test_license_blocks_hold_every_reach():
             low, high = max(0, k - scanner.reach[name]), min(len(text), k + scanner.reach[name] + 1)
             assert any(a <= low and high <= b for a, b in blocks)
     assert [n for *_, n, _ in scanner.confirmed(text)] == ["ISC"]
+
+
+def test_term_rules_are_compared_on_learnt_rows_alone(spark):
+    r = random.Random(8)
+    data = []
+    for k in range(600):
+        toxic = k % 4 == 0
+        learnt = zlib.crc32(str(k).encode()) % 3 != 1
+        # held-out rows would turn every rule's figures round
+        bad = toxic if learnt else not toxic
+        data.append((k, f"{words(r, 20)} {'vile scum' if bad else 'kind soul'} {words(r, 20)}", int(toxic)))
+    docs = spark.createDataFrame([(k, t) for k, t, _ in data], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in data] + [(None, 1)], "doc_id long, toxic int")
+    found = toxicity.cross_validated(docs, labels, [toxicity.TermRule(), toxicity.TermRule(neutral=1e9)])
+    learnt = sum(y for k, _, y in data if zlib.crc32(str(k).encode()) % 3 != 1)
+    assert all(x["hits"] + x["missed"] == learnt and x["recall"] > 0.95 and x["precision"] > 0.95 for x in found)
+    assert found[0]["f1"] >= found[1]["f1"]
