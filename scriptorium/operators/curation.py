@@ -64,6 +64,16 @@ def split_by_hash(rows: DataFrame, seed: int = 42) -> DataFrame:
     return rows.withColumn("split", F.when(bucket < 80, "train").when(bucket < 90, "val").otherwise("test"))
 
 
+def split_or_keep(rows: DataFrame, seed: int = 42) -> DataFrame:
+    """The splits of ``raw_split`` for sources that ship any validation or test rows, and those of ``split_by_hash`` for
+    the others. Which sources do is one aggregate of a row a source."""
+    own = canonical_split(F.col("raw_split"))
+    shipped = rows.groupBy("source").agg(F.max((own != "train").cast("int")).alias("shipped"))
+    hashed = split_by_hash(rows, seed).withColumn("own", own)
+    joined = hashed.join(shipped.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
+    return joined.withColumn("split", F.when(F.col("shipped") == 1, F.col("own")).otherwise(F.col("split"))).drop("own", "shipped", "of")
+
+
 def cap_per_source(rows: DataFrame, order: list[str], most: int) -> DataFrame:
     """The first ``most`` rows of each source; Spark limits each task's groups before the exchange."""
     w = Window.partitionBy("source").orderBy(*order)

@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def reasons() -> Column:
-    """All codes that speak against a correction; none if it is good."""
+def reasons(columns: list[str]) -> Column:
+    """All codes that speak against a correction; none if it is good. Page, line id and box, which is [ymin, xmin, ymax, xmax]
+    within 0 and 1 and may be null, are looked at where ``columns`` has them."""
+    box = F.col("bbox")
+    span = lambda a, b: F.get(box, F.lit(a)) < F.get(box, F.lit(b))
+    inside = F.forall(box, lambda v: v.isNotNull() & ~F.isnan(v) & (v >= 0) & (v <= 1))
     blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
     long = lambda c: F.coalesce(F.length(c), F.lit(0)) > 500
     conf = F.col("confidence")
@@ -17,12 +21,17 @@ def reasons() -> Column:
         "confidence_out_of_range": conf.isNotNull() & (F.isnan(conf) | (conf < 0) | (conf > 1)),
         "bad_submission_id": F.col("submission_id").isNotNull() & ~F.col("submission_id").rlike("^[a-zA-Z0-9_-]{1,100}$"), "demo": F.coalesce(F.col("is_demo"), F.lit(False)),
     }
+    placed = {
+        "page_number": ("bad_page", F.col("page_number").isNull() | (F.col("page_number") < 1)), "line_id": ("blank_line_id", blank("line_id")),
+        "bbox": ("bad_bbox", box.isNotNull() & ~F.coalesce((F.size(box) == 4) & inside & span(0, 2) & span(1, 3), F.lit(False))),
+    }
+    rules |= dict(v for c, v in placed.items() if c in columns)
     return F.filter(F.array(*[F.when(bad, F.lit(code)) for code, bad in rules.items()]), lambda r: r.isNotNull())
 
 
 def validate(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good rows, rejected rows with their ``reasons``)."""
-    checked = rows.withColumn("reasons", reasons())
+    checked = rows.withColumn("reasons", reasons(rows.columns))
     return checked.filter(F.size("reasons") == 0).drop("reasons"), checked.filter(F.size("reasons") > 0)
 
 

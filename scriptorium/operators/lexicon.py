@@ -39,11 +39,11 @@ def phrases(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def prefix_matches(queries: DataFrame, lexicon: DataFrame, most: int = 50) -> DataFrame:
-    """For each ``query`` up to ``most`` words by weight, ties in key order, by an equi-join on the
-    lexicon's exploded prefixes."""
+    """For each ``query`` up to ``most`` words by weight, ties in key order. The lexicon's exploded prefixes are
+    ranked and cut first, so that queries meet ``most`` rows each at most in one equi-join."""
     grown = lexicon.select("key", "word", "weight", F.explode(F.expr("transform(sequence(1, length(key)), i -> left(key, i))")).alias("query"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("weight"), "key"))
-    return queries.join(grown, "query").withColumn("rank", rank.cast("long")).filter(F.col("rank") <= most)
+    return queries.join(grown.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= most), "query")
 
 
 def allowed_distance(length, most: int):
@@ -184,3 +184,12 @@ def merge_costs(defaults: DataFrame, profiles: DataFrame) -> DataFrame:
     new = new.union(new.select("tgt", "src", "new")).groupBy("src", "tgt").agg(F.min("new").alias("new"))
     old = defaults.select("src", "tgt", "cost").union(defaults.select("tgt", "src", "cost")).groupBy("src", "tgt").agg(F.min("cost").alias("cost"))
     return old.join(new, ["src", "tgt"], "full").select("src", "tgt", F.coalesce("new", "cost").alias("cost"))
+
+
+def pair_costs(pairs: DataFrame, costs: DataFrame) -> DataFrame:
+    """``pairs(src, tgt, ...)`` with the cost of each by ``costs(src, tgt, cost)``: 0 if both are equal, the table's, else 1.20
+    for single characters and infinity for longer shapes, which nothing else makes possible. Null for a null shape."""
+    found = pairs.join(costs.select("src", "tgt", "cost").dropDuplicates(["src", "tgt"]), ["src", "tgt"], "left")
+    single = (F.length("src") == 1) & (F.length("tgt") == 1)
+    cost = F.when(F.col("src") == F.col("tgt"), 0.0).when(F.col("cost").isNotNull(), F.col("cost")).when(single, 1.20)
+    return found.withColumn("cost", F.when(F.col("src").isNotNull() & F.col("tgt").isNotNull(), F.coalesce(cost, F.lit(float("inf")))))

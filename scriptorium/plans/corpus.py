@@ -63,6 +63,18 @@ def win2(spark, d):
     return C.split_by_hash(Views(spark, d).samples).select("sample_id", "writer_id", "split")
 
 
+@query("win2_shipped_splits", f"""
+WITH s AS (SELECT *, CASE WHEN sample_id % 9 = 0 AND source < 's2' THEN 'Valid' WHEN sample_id % 9 = 1 AND source < 's2' THEN ' test ' WHEN sample_id % 9 = 2 THEN 'train' END AS raw FROM samples),
+  k AS (SELECT source, bool_or(raw IN ('Valid', ' test ')) AS shipped FROM s GROUP BY source)
+SELECT sample_id, writer_id, CASE WHEN coalesce(shipped, false) THEN CASE raw WHEN 'Valid' THEN 'val' WHEN ' test ' THEN 'test' ELSE 'train' END
+  WHEN {_HASH} < 80 THEN 'train' WHEN {_HASH} < 90 THEN 'val' ELSE 'test' END AS split FROM s JOIN k ON s.source IS NOT DISTINCT FROM k.source""", "samples")
+def win2_shipped(spark, d):
+    k = F.col("sample_id") % 9
+    some = F.col("source") < "s2"
+    raw = F.when((k == 0) & some, "Valid").when((k == 1) & some, " test ").when(k == 2, "train")
+    return C.split_or_keep(Views(spark, d).samples.withColumn("raw_split", raw)).select("sample_id", "writer_id", "split")
+
+
 @query("win8_source_cap", """
 SELECT source, sample_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY sample_id) AS rank FROM samples) WHERE rank <= 32""", "samples")
 def win8(spark, d):

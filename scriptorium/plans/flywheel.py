@@ -130,6 +130,20 @@ def flt1(spark, d):
     return good.select(F.lit("accepted").alias("reason")).union(bad.select(F.explode("reasons"))).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+_PLACED = ["event_id % 40 as page_number", "case when event_id % 37 = 0 then '  ' when event_id % 41 > 0 then concat('l', line_no) end as line_id",
+           "case when event_id % 11 = 0 then null when event_id % 59 = 0 then array(0.1D, 0.2D, 0.5D) when event_id % 53 = 0 then array(0.1D, double('NaN'), 0.5D, 0.6D) else array(0.1D, (event_id % 10) / 10.0D, 0.5D, (event_id % 7) / 4.0D) end as bbox"]
+
+
+@query("flt1_placed_feedback", f"""
+WITH f AS (SELECT *, event_id % 40 AS page_number, CASE WHEN event_id % 37 = 0 OR event_id % 41 = 0 OR line_no IS NULL THEN '' ELSE 'l' END AS line_id, (event_id % 10) / 10.0::DOUBLE AS xmin, (event_id % 7) / 4.0::DOUBLE AS xmax FROM feedback),
+  c AS (SELECT event_id, list_concat({_REASONS}, list_filter([CASE WHEN page_number < 1 THEN 'bad_page' END, CASE WHEN line_id = '' THEN 'blank_line_id' END,
+    CASE WHEN event_id % 11 > 0 AND (event_id % 59 = 0 OR event_id % 53 = 0 OR xmax > 1 OR xmin >= xmax) THEN 'bad_bbox' END], lambda r: r IS NOT NULL)) AS r FROM f)
+SELECT reason, count(*) AS n FROM (SELECT unnest(CASE WHEN len(r) = 0 THEN ['accepted'] ELSE r END) AS reason FROM c) GROUP BY reason""", "feedback")
+def flt1_placed(spark, d):
+    good, bad = B.validate(Views(spark, d).feedback.selectExpr("*", *_PLACED))
+    return good.select(F.lit("accepted").alias("reason")).union(bad.select(F.explode("reasons"))).groupBy("reason").agg(F.count("*").alias("n"))
+
+
 @query("agg12_feedback_stats", """
 SELECT count(*) FILTER (trim(coalesce(correction, '')) <> '') AS records, count(DISTINCT submission_id) AS submissions, count(*) FILTER (NOT is_demo AND correction IS NOT NULL) AS crops, max(ts) AS last_ts FROM feedback""", "feedback")
 def agg12(spark, d):

@@ -121,6 +121,18 @@ def join13(spark, d):
     return L.merge_costs(v.lexicon.selectExpr("left(key, 1) as src", "right(key, 1) as tgt", "0.45D as cost"), profiles)
 
 
+@query("join13_cost_lookup", """
+WITH g AS (SELECT left(drug_a, 1) AS src, left(drug_b, 1) AS tgt, 0.25::DOUBLE AS cost FROM pairs), t AS (SELECT src, tgt, cost FROM g WHERE src <> tgt UNION SELECT tgt, src, cost FROM g WHERE src <> tgt),
+  p AS (SELECT key, left(key, 1) AS src, CASE WHEN length(key) % 3 = 0 THEN left(key, 1) WHEN length(key) % 3 = 1 THEN right(key, 1) ELSE right(key, 2) END AS tgt FROM lexicon)
+SELECT key, p.src, p.tgt, CASE WHEN p.src = p.tgt THEN 0.0::DOUBLE WHEN t.cost IS NOT NULL THEN t.cost WHEN length(p.tgt) = 1 THEN 1.2::DOUBLE ELSE 'inf'::DOUBLE END AS cost
+FROM p LEFT JOIN t ON p.src = t.src AND p.tgt = t.tgt""", "pairs lexicon")
+def join13_lookup(spark, d):
+    v = Views(spark, d)
+    table = v.pairs.selectExpr("left(drug_a, 1) as src", "left(drug_b, 1) as tgt", "0.25D as cost").filter("src <> tgt")
+    pairs = v.lexicon.selectExpr("key", "left(key, 1) as src", "case length(key) % 3 when 0 then left(key, 1) when 1 then right(key, 1) else right(key, 2) end as tgt")
+    return L.pair_costs(pairs, table.union(table.select("tgt", "src", "cost"))).select("key", "src", "tgt", "cost")
+
+
 _WORDS = r"regexp_split_to_array(regexp_replace(lower(trim({})), '[^\pL\pN_\s-]', '', 'g'), '\s+')"
 _AUDIT = f"""d AS (SELECT drug_a AS a, drug_b AS b FROM pairs UNION SELECT drug_b, drug_a FROM pairs),
   w AS (SELECT doc_id, line_no, {_WORDS.format("ref")} AS rw, {_WORDS.format("hyp")} AS hw FROM {{rows}})"""
