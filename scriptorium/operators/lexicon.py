@@ -166,8 +166,17 @@ def dose_compatibility(lines: DataFrame, medications: DataFrame) -> DataFrame:
     return lines.join(medications, "term").withColumn("score", F.round(score, 4))
 
 
+def lasa_warnings(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``found(key, kind, ...)`` with a ``warning`` for entries that look or sound like others, which it lists in order; null
+    for other entries and for codes. The catalogue is folded to one row a name first."""
+    both = pairs.select(F.col("drug_a").alias("key"), F.col("drug_b").alias("other")).union(pairs.select("drug_b", "drug_a")).filter("key <> other")
+    listed = both.groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("other")), ", ").alias("others"))
+    text = F.when(F.col("kind") == 1, F.concat(F.lit("Look-alike: "), "others"))
+    return found.join(listed, "key", "left").withColumn("warning", text).drop("others")
+
+
 def annotate(tokens: DataFrame, codes: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Distinct codes, then entries, that a document's tokens name, in order of first occurrence."""
+    """Distinct codes, then entries, that a document's tokens name, in order of first occurrence. See ``lasa_warnings``."""
     hits = tokens.join(codes.selectExpr("key", "translation as meaning", "0 as kind"), "key").select("doc_id", "line_no", "pos", "key", "meaning", "kind").union(
         tokens.filter("length(key) >= 3").join(lexicon.selectExpr("key", "word as meaning", "1 as kind"), "key").select("doc_id", "line_no", "pos", "key", "meaning", "kind")
     )

@@ -157,6 +157,21 @@ def frozen_digest(*columns: str) -> Column:
     return F.when(F.count("*") > 0, F.concat_ws(":", F.count("*").cast("string"), half(1), half(16)))
 
 
+def template_qa(templates: DataFrame, minimums: DataFrame) -> DataFrame:
+    """One row per check of a template catalogue: check, failures, passed.
+
+    ``templates(template_id, category, text, slots)``: each placeholder ``{name}`` of a text must be one of its declared slots, a
+    null text or null slots having none. ``minimums(category, least)``: categories with too few templates, or with none, fail.
+    """
+    none = F.array().cast("array<string>")
+    named = F.coalesce(F.regexp_extract_all("text", F.lit(r"\{([A-Za-z0-9_]+)\}"), F.lit(1)), none)
+    undeclared = templates.filter(F.size(F.array_except(named, F.coalesce("slots", none))) > 0)
+    counted = templates.groupBy("category").agg(F.count("*").alias("n"))
+    few = minimums.join(counted, "category", "left").filter(F.coalesce("n", F.lit(0)) < F.col("least"))
+    check = lambda name, df: df.agg(F.lit(name).alias("check"), F.count("*").alias("failures"))
+    return check("slots_declared", undeclared).union(check("category_minimum", few)).withColumn("passed", F.col("failures") == 0)
+
+
 #: Checkpoints that are not for release, as parts of their names.
 FORBIDDEN = ("debug", "scratch")
 

@@ -93,6 +93,16 @@ def join9(spark, d):
     return L.annotate(v.tokens, codes, v.lexicon)
 
 
+@query("join9_lasa_warnings", """
+WITH h AS (SELECT DISTINCT doc_id, key FROM tokens JOIN lexicon USING (key) WHERE length(key) >= 3), b AS (SELECT drug_a AS key, drug_b AS other FROM pairs UNION SELECT drug_b, drug_a FROM pairs),
+  w AS (SELECT key, 'Look-alike: ' || string_agg(other, ', ' ORDER BY other) AS warning FROM b GROUP BY key)
+SELECT doc_id, key, warning FROM h JOIN w USING (key)""", "tokens lexicon pairs")
+def join9_warnings(spark, d):
+    v = Views(spark, d)
+    codes = v.tokens.filter("length(key) <= 2").groupBy("key").count().filter("count >= 200").selectExpr("key", "concat('code ', key) as translation")
+    return L.lasa_warnings(L.annotate(v.tokens, codes, v.lexicon), v.pairs).filter("warning is not null").select("doc_id", "key", "warning")
+
+
 @query("agg19_lexicon_stats", """
 SELECT terms, nodes, depth, nodes * 56 AS bytes FROM (SELECT count(DISTINCT key) AS terms, count(DISTINCT p) + 1 AS nodes, max(length(key)) AS depth FROM (SELECT key, left(key, unnest(range(1, length(key) + 1))) AS p FROM lexicon))""", "lexicon")
 def agg19(spark, d):
@@ -213,6 +223,19 @@ def agg18(spark, d):
     return S.catalog_qa(pairs, v.lexicon.selectExpr("key", "weight < 3 as is_lasa"))
 
 
+@query("agg18_template_qa", """
+WITH t AS (SELECT p_partkey, string_split(p_type, ' ')[1] AS category, p_size FROM part), m AS (SELECT DISTINCT category, 20 + 10 * length(category) AS least FROM t UNION ALL SELECT 'NONE', 1)
+SELECT 'slots_declared' AS "check", count(*) FILTER (p_size % 5 >= 3) AS failures, count(*) FILTER (p_size % 5 >= 3) = 0 AS passed FROM t
+UNION ALL SELECT 'category_minimum', count(*) FILTER (coalesce(n, 0) < least), count(*) FILTER (coalesce(n, 0) < least) = 0 FROM m LEFT JOIN (SELECT category, count(*) AS n FROM t GROUP BY category) USING (category)""")
+def agg18_templates(spark, d):
+    templates = Views(spark, d).table("part").selectExpr(
+        "p_partkey as template_id", "split(p_type, ' ')[0] as category", "concat('Take {drug} {dose} of {size_', p_size % 5, '} {', p_brand, '}') as text",
+        "array('dose', 'drug', 'size_0', 'size_1', 'size_2') as slots",
+    )
+    minimums = templates.select("category", (20 + 10 * F.length("category")).alias("least")).distinct().union(spark.range(1).selectExpr("'NONE'", "1"))
+    return S.template_qa(templates, minimums)
+
+
 #: Candidates on each language, and what is wrong with each: swapped names, half of the rows, a failure, no hash, a
 #: scratch checkpoint, uncovered pairs, no text at all, an empty measurement, a rate below zero.
 _CANDIDATES = """SELECT * FROM (VALUES ('good', 'all', true, 0, 'ship', 'h1', 1.0D, 'general'), ('swapped', 'swapped', true, 0, 'ship', 'h2', 1.0D, 'general'), ('half', 'half', true, 0, 'ship', 'h3', 1.0D, 'general'),

@@ -80,3 +80,12 @@ def test_release_by_the_first_reason(spark):
     assert all(r.promote == (r.reason is None) for r in found)
     strict = spark.createDataFrame([tuple(r[n] for n in names) for r in (report(), report(role="baseline"))], SCHEMA)
     assert safety.release_gate(strict, strict=True).first().reason == "not_below_baseline"
+
+
+def test_template_checks(spark):
+    rows = [(1, "a", "Take {drug} {dose}", ["drug", "dose"]), (2, "a", "{x}", ["y"]), (3, "b", None, None), (4, "b", "no slot", None), (5, None, "{z}", None)]
+    templates = spark.createDataFrame(rows, "template_id long, category string, text string, slots array<string>")
+    minimums = spark.createDataFrame([("a", 2), ("b", 3), ("c", 1), ("d", 0)], "category string, least int")
+    got = {r.check: (r.failures, r.passed) for r in safety.template_qa(templates, minimums).collect()}
+    assert got == {"slots_declared": (2, False), "category_minimum": (2, False)}
+    assert all(r.passed for r in safety.template_qa(templates.limit(0), minimums.limit(0)).collect())
