@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from scriptorium.functions.align import edit_counts
-from scriptorium.operators import documents
+from scriptorium.operators import confusion, documents
 from scriptorium.plans import views
 
 
@@ -36,3 +36,12 @@ def test_edit_counts_of_long_lines():
     began = time.time()
     assert edit_counts(line, line[:-2] + "x") == (1, 1, 0, 19_998)
     assert time.time() - began < 3
+
+
+def test_beam_picks_exchange_no_words_but_to_meet_the_vocabulary(spark):
+    rows = [(1, 1, b, t, 0.0) for b, t in enumerate(["the the cat", "the cat sat", "12345 cat", "The cat"])]
+    beams = spark.createDataFrame(rows, "doc_id long, line_no long, beam_no int, text string, log_prob double").repartition(4, "doc_id")
+    picked = confusion.language_pick(beams, spark.createDataFrame([("the",), ("cat",)], "key string"))
+    assert [tuple(r) for r in picked.collect()] == [(1, 1, 3, 2.4, None)]
+    plan = picked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 2
