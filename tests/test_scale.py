@@ -2,11 +2,13 @@
 
 import random
 import time
+from collections import Counter
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 
 from scriptorium.functions.align import edit_counts
+from scriptorium.functions.multigram import MultigramAligner
 from scriptorium.operators import confusion, documents
 from scriptorium.plans import views
 
@@ -45,3 +47,18 @@ def test_beam_picks_exchange_no_words_but_to_meet_the_vocabulary(spark):
     assert [tuple(r) for r in picked.collect()] == [(1, 1, 3, 2.4, None)]
     plan = picked._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") <= 2
+
+
+def test_alignments_of_lines_that_differ_in_one_letter_stay_in_the_first_band(monkeypatch):
+    filled, whole = [], MultigramAligner._filled
+
+    def counted(self, a, b, n, m, band, trace):
+        filled.extend(band.tolist())
+        return whole(self, a, b, n, m, band, trace)
+
+    monkeypatch.setattr(MultigramAligner, "_filled", counted)
+    lines = ["the rest were eaten before evening " * 12, "in torn papers " * 20]
+    found = MultigramAligner(confusion.both_ways(confusion.COSTS)).steps([lines[0].replace("e", "c"), lines[1].replace("rn", "m")], lines)[1]
+    assert filled == [4, 4]
+    steps = found.texts([lines[0].replace("e", "c"), lines[1].replace("rn", "m")], lines)
+    assert Counter(s[:4] for s in steps) == {(0, "substitute", "c", "e"): lines[0].count("e"), (1, "substitute", "m", "rn"): 20}
