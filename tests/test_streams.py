@@ -102,3 +102,21 @@ def test_live_costs_fold_updates(spark, tmp_path, times):
         out = J.drain(J.confusion_updates(stream), f"file://{tmp_path}", "costs", "update")
     last = out.groupBy("a", "b").agg(F.max_by(F.struct("cost", "update_count"), "update_count").alias("v")).collect()
     assert {(r.a, r.b): tuple(r.v) for r in last} == {("a", "o"): (cost, 5), ("c", "e"): (0.15, 400)}
+
+
+def test_state_of_many_ids_is_shared_and_each_id_ends_on_its_own(spark, tmp_path):
+    def run(day, rows):
+        frame = spark.createDataFrame([(i, e, f, f"2024-01-{day:02d} 00:00:00") for i, e, f in rows], "submission_id string, event_id long, fingerprint string, ts string")
+        frame.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("submission_id string, event_id long, fingerprint string, ts timestamp").parquet(f"{tmp_path}/in")
+        query = J.feedback_verdicts(stream, "1 day", 4).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return {p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress}
+
+    assert max(run(1, [(f"s{k}", k, "x") for k in range(500)] + [("s7", 600, "y")])) <= 4
+    run(5, [("late", 700, "x")])
+    run(5, [("late", 701, "x")])
+    assert max(run(5, [("late", 702, "x"), ("s7", 703, "y")])) <= 4
+    got = {r.event_id: r.verdict for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert len(got) == 505 and got[600] == "conflict"
+    assert (got[701], got[702], got[703]) == ("accepted", "replayed", "accepted")  # the first is forgotten as the watermark comes to day 4
