@@ -177,11 +177,12 @@ def lasa_warnings(found: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def annotate(tokens: DataFrame, codes: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Distinct codes, then entries, that a document's tokens name, in order of first occurrence. See ``lasa_warnings``."""
-    hits = tokens.join(codes.selectExpr("key", "translation as meaning", "0 as kind"), "key").select("doc_id", "line_no", "pos", "key", "meaning", "kind").union(
-        tokens.filter("length(key) >= 3").join(lexicon.selectExpr("key", "word as meaning", "1 as kind"), "key").select("doc_id", "line_no", "pos", "key", "meaning", "kind")
-    )
-    first = hits.groupBy("doc_id", "kind", "key").agg(F.min(F.struct("line_no", "pos")).alias("at"), F.first("meaning").alias("meaning"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("kind", "at.line_no", "at.pos", "key"))
+    entries = codes.selectExpr("key", "translation as meaning", "0 as kind").union(lexicon.filter("length(key) >= 3").selectExpr("key", "word as meaning", "1 as kind"))
+    # a document's distinct words meet the entries, with the place of the first one as one number
+    place = F.shiftleft(F.col("line_no").cast("long"), 32) + F.col("pos")
+    first = tokens.groupBy("doc_id", "key").agg(F.min(place).alias("at")).join(entries, "key")
+    first = first.groupBy("doc_id", "kind", "key").agg(F.min("at").alias("at"), F.first("meaning").alias("meaning"))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("kind", "at", "key"))
     return first.select("doc_id", rank.cast("long").alias("rank"), "kind", "key", "meaning")
 
 
