@@ -3,35 +3,41 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from scriptorium.functions.align import edit_counts, edit_distance
+from scriptorium.functions.align import edit_counts, edit_distances
 
 
-#: Pairs whose table has more cells than this go to the bit-parallel distance in Arrow batches.
-NATIVE_CELLS = 200 * 200
+#: Pairs whose table has more cells than this go to Arrow batches, which measure many at a time.
+NATIVE_CELLS = 48 * 48
 _SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
+def _of_known(a: pd.Series, b: pd.Series, cut: Callable) -> pd.Series:
+    """Distances of the pairs that are not null, measured together."""
+    out, known = pd.Series(pd.NA, index=a.index, dtype="Int32"), a.notna().to_numpy()
+    out[known] = edit_distances([cut(t) for t in a[known]], [cut(t) for t in b[known]])
+    return out
+
+
 @F.pandas_udf(IntegerType())
 def _long_edits(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else edit_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+    return _of_known(a, b, lambda t: t)
 
 
 @F.pandas_udf(IntegerType())
 def _word_edits(a: pd.Series, b: pd.Series) -> pd.Series:
-    split = lambda t: [w for w in _SPACE.split(t) if w]
-    return pd.Series([None if x is None else edit_distance(split(x), split(y)) for x, y in zip(a, b, strict=True)], dtype="Int32")
+    return _of_known(a, b, lambda t: [w for w in _SPACE.split(t) if w])
 
 
 def char_edits(ref: Column | str, hyp: Column | str) -> Column:
     """Levenshtein distance. Equal texts, the common case, are settled without a table and short ones
-    natively; only long ones reach Python."""
+    natively; the others are measured many at a time in Arrow batches."""
     a, b = (F.col(c) if isinstance(c, str) else c for c in (ref, hyp))
     long = (a != b) & (F.length(a).cast("long") * F.length(b) > NATIVE_CELLS)
     native = F.when(a == b, 0).when(~long, F.levenshtein(a, b))

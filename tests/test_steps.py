@@ -1,5 +1,9 @@
 """Steps that many queries share: what they must not do again for each token, and what their results must stay."""
 
+import random
+import time
+
+from scriptorium.functions.align import edit_distance, edit_distances
 from scriptorium.plans.views import Views
 
 
@@ -26,3 +30,30 @@ def test_keys_are_made_once_a_line(spark, tmp_path):
     plan = v.tokens.filter("length(key) >= 2 and key rlike '^w'")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("_\\s-]") == 1
     assert [(r.pos, r.key) for r in v.tokens.orderBy("pos").collect()] == [(0, "words"), (1, "of"), (2, "one"), (3, "line"), (4, "words")]
+
+
+def test_many_distances_at_a_time_are_those_of_single_pairs():
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("abcdé 😀") for _ in range(n))
+    a, b = [], []
+    for _ in range(2500):
+        a.append(word(r.choice([0, 1, 5, 30, 64, 65, 130, 200])))
+        b.append("".join(c for c in a[-1] if r.random() > 0.05).replace("ab", r.choice(["ab", "c"])) if r.random() < 0.8 else word(r.randrange(200)))
+    assert edit_distances(a, b).tolist() == [edit_distance(x, y) for x, y in zip(a, b, strict=True)]
+    a, b = [t.split(" ") for t in a], [t.split(" ") for t in b]
+    assert edit_distances(a, b).tolist() == [edit_distance(x, y) for x, y in zip(a, b, strict=True)]
+    assert edit_distances([], []).tolist() == []
+
+
+def test_distances_of_many_lines_take_a_fraction_of_single_ones():
+    r = random.Random(4)
+    lines = [" ".join("".join(r.choice("abcdefghinrm") for _ in range(r.randrange(2, 12))) for _ in range(50)) for _ in range(600)]
+    for change in (str.upper, lambda t: t.replace("rn", "m").replace("in", "m"), lambda t: t.replace("e", "c")):
+        other = [change(t) for t in lines]
+        began = time.process_time()
+        edit_distances(lines, other)
+        many = time.process_time() - began
+        began = time.process_time()
+        for x, y in zip(lines[:60], other[:60], strict=True):
+            edit_distance(x, y)
+        assert many < 10 * (time.process_time() - began) / 2
