@@ -4,6 +4,7 @@ import random
 import time
 
 from scriptorium.functions.align import edit_distance, edit_distances
+from scriptorium.operators import lexicon, pages
 from scriptorium.plans.views import Views
 
 
@@ -57,3 +58,30 @@ def test_distances_of_many_lines_take_a_fraction_of_single_ones():
         for x, y in zip(lines[:60], other[:60], strict=True):
             edit_distance(x, y)
         assert many < 10 * (time.process_time() - began) / 2
+
+
+def test_a_line_of_one_long_word_takes_linear_time(spark):
+    rows = spark.createDataFrame([(1, 0, "a" * 100_000 + " 7"), (1, 1, "of." + "b" * 100_000 + " 8"), (1, 2, 'He said "no')], "page long, line long, text string")
+    began = time.time()
+    fixed = [r.fixed for r in pages.continue_lines(rows).orderBy("line").collect()]
+    assert time.time() - began < 15
+    assert fixed == ["a" * 100_000 + " 7", "of." + "b" * 100_000 + " 8", 'He said "no."']
+
+
+def test_pages_are_cleaned_many_at_a_time_and_once_exchanged(spark):
+    rows = spark.createDataFrame([(1, 2, "the same"), (1, 0, "The Same "), (1, 1, "Other words here, in full"), (2, 0, "the same")], "page long, line long, text string")
+    out = pages.finalize(rows)
+    assert sorted((r.page, r.line) for r in out.collect()) == [(1, 0), (1, 1), (2, 0)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "FlatMapGroups" not in plan
+
+
+def test_fuzzy_pairs_are_verified_before_they_are_exchanged(spark):
+    words = spark.createDataFrame([("morning",), ("mornign",), ("evening",), ("xy",)], "key string")
+    entries = spark.createDataFrame([("morning", "morning", 1.0), ("evenings", "evenings", 1.0), ("yx", "yx", 1.0)], "key string, word string, weight double")
+    found = lexicon.fuzzy(words, entries)
+    got = {(r.token, r.key): r.distance for r in found.collect()}
+    assert got == {("morning", "morning"): 0, ("mornign", "morning"): 1, ("evening", "evenings"): 1, ("xy", "yx"): 1}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    verified = plan.index("MapInPandas")
+    assert "Aggregate" not in plan[verified : plan.index("Join Inner", verified)]
