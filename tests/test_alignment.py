@@ -70,3 +70,30 @@ def test_mining_and_table_functions_agree(spark):
         assert {(r.op, r.a, r.b): r.n for r in found.collect()} == plain
     places = spark.sql("SELECT place, op, source, target FROM (SELECT array('a', null, 'torn') p, array('a', 'b', 'tom') c), LATERAL align(p, c)").collect()
     assert [tuple(r) for r in places] == [(2, "substitute", "rn", "m")]
+
+
+def test_local_corrections_need_no_table_or_a_small_one(monkeypatch):
+    rows, whole = [], MultigramAligner._banded
+
+    def counted(self, a, b, n, m, band, trace):
+        rows.append(int(n.max()))
+        return whole(self, a, b, n, m, band, trace)
+
+    monkeypatch.setattr(MultigramAligner, "_banded", counted)
+    rng = random.Random(4)
+    lines = [" ".join("".join(rng.choice(of) for _ in range(rng.randrange(2, 9))) for _ in range(30)) for of in ("etaoinshrdlum", "etaoinrm") for _ in range(2)]
+    various = ["".join(chr(rng.randrange(97, 160)) for _ in range(200)) for _ in range(2)]
+    walked = [(t.replace("rn", "m").replace("in", "m"), t) for t in lines] + [(t.replace("e", "c"), t) for t in lines]
+    cut = [(t[:-2], t) for t in various] + [(t[:100] + "é" + t[101:], t) for t in various]
+    aligner = MultigramAligner(TABLE)
+    for pairs, most in ((walked, 0), (cut, 100)):
+        rows.clear()
+        a, b = [p[0] for p in pairs], [p[1] for p in pairs]
+        cost, steps = aligner.steps(a, b)
+        assert max(rows, default=0) <= most
+        got = {}
+        for p, *step in steps.texts(a, b):
+            got.setdefault(p, []).append(tuple(step[:3]))
+        for k, pair in enumerate(pairs):
+            total, plain = align(*pair, TABLE)
+            assert total == cost[k] and got[k] == [s[:3] for s in plain if s[0] != "match"][::-1]
