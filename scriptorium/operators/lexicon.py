@@ -38,6 +38,27 @@ def phrases(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "line_no", "pos").agg(F.max_by(F.struct("word", "weight", "n"), "n").alias("m")).select("doc_id", "line_no", "pos", "m.word", "m.weight", F.col("m.n").cast("long").alias("n_words"))
 
 
+def contexts(lines: DataFrame, longest: int = PHRASE) -> DataFrame:
+    """The distinct runs of up to ``longest`` keys that start at the tokens of ``lines(keys)``, shorter ones only at the
+    end of a line, with their number: context, n. Lines meet nothing else, so that a run is exchanged once for all its places."""
+    runs = F.transform("keys", lambda _, i: F.array_join(F.slice("keys", i + 1, longest), " "))
+    return lines.select(F.explode(runs).alias("context")).groupBy("context").agg(F.count("*").alias("n"))
+
+
+def phrase_counts(runs: DataFrame, lexicon: DataFrame, longest: int = PHRASE) -> DataFrame:
+    """What ``phrases`` finds, counted: key, word, weight, n_words, n. ``runs`` are ``contexts`` of ``longest`` keys, as many as
+    any entry of ``lexicon(key, word, weight)`` has. Runs without an entry are shortened by a key and counted anew."""
+    found, entries = None, lexicon.select(F.col("key").alias("context"), "word", "weight", F.lit(True).alias("is_entry"))
+    for size in range(longest, 0, -1):
+        whole = F.size(F.split("context", " ")) == size  # those that a line's end cut short wait for their size
+        met = runs.join(entries, "context", "left")
+        hit = whole & F.coalesce("is_entry", F.lit(False))
+        rows = met.filter(hit).select(F.col("context").alias("key"), "word", "weight", F.lit(size).cast("long").alias("n_words"), "n")
+        found = rows if found is None else found.union(rows)
+        runs = met.filter(~hit).groupBy(F.substring_index("context", " ", size - 1).alias("context")).agg(F.sum("n").alias("n"))
+    return found
+
+
 def prefix_matches(queries: DataFrame, lexicon: DataFrame, most: int = 50) -> DataFrame:
     """For each ``query`` up to ``most`` words by weight, ties in key order. The lexicon's exploded prefixes are
     ranked and cut first, so that queries meet ``most`` rows each at most in one equi-join."""

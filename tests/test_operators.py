@@ -282,3 +282,18 @@ def test_labels_of_any_type(spark):
     got = rows.select(*[T.raw_label(F.col(c), rows.schema[c].dataType).alias(c) for c in rows.columns]).first()
     assert (got.b, got.t, got.n, got.e) == ("a�é", "True", "12", "")
     assert got.s == '{"a": null, "z": "q\\"a,:b"}' and got.m == '[{"k": 1}]' and got.v == '{"x": true, "y": [1, {"a": "\\\\", "b": ", "}]}'
+
+
+def test_phrases_are_counted_as_they_are_found(spark):
+    rng = random.Random(2)
+    lines = [(d, n, [rng.choice("abcde") for _ in range(rng.randrange(7))]) for d in range(8) for n in range(6)]
+    keys = spark.createDataFrame(lines, "doc_id long, line_no long, keys array<string>")
+    tokens = keys.select("doc_id", "line_no", F.posexplode("keys").alias("pos", "key"))
+    entries = [("a", "A", 1.0), ("b", "B", 1.5), ("a b", "AB", 2.0), ("c d", "CD", 2.0), ("b a c", "BAC", 2.5), ("a b c d", "ABCD", 3.0), ("e e", "EE", 1.0), ("d e a b c", "five", 9.0)]
+    for most in (4, 2):
+        known = spark.createDataFrame([e for e in entries if len(e[0].split()) <= most or len(e[0].split()) > 4], "key string, word string, weight double")
+        want = lexicon.phrases(tokens, known).groupBy("word", "weight", "n_words").count()
+        runs = lexicon.contexts(keys, most)
+        got = lexicon.phrase_counts(runs, known, most)
+        assert sorted(map(tuple, got.select("word", "weight", "n_words", "n").collect())) == sorted(map(tuple, want.collect()))
+        assert runs.count() < tokens.count() and "pos" not in got.columns  # runs meet the entries, not places
