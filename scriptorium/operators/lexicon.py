@@ -48,15 +48,20 @@ def contexts(lines: DataFrame, longest: int = PHRASE) -> DataFrame:
 def phrase_counts(runs: DataFrame, lexicon: DataFrame, longest: int = PHRASE) -> DataFrame:
     """What ``phrases`` finds, counted: key, word, weight, n_words, n. ``runs`` are ``contexts`` of ``longest`` keys, as many as
     any entry of ``lexicon(key, word, weight)`` has. Runs without an entry are shortened by a key and counted anew."""
-    found, entries = None, lexicon.select(F.col("key").alias("context"), "word", "weight", F.lit(True).alias("is_entry"))
+    entries = lexicon.select(F.col("key").alias("entry"), F.col("word").alias("its_word"), F.col("weight").alias("its_weight"))
+    types = {x.name: x.dataType for x in lexicon.schema}
+    none = lambda kind: F.lit(None).cast(kind)
+    runs = runs.select("context", none(types["word"]).alias("word"), none(types["weight"]).alias("weight"), none("long").alias("n_words"), "n")
     for size in range(longest, 0, -1):
-        whole = F.size(F.split("context", " ")) == size  # those that a line's end cut short wait for their size
-        met = runs.join(entries, "context", "left")
-        hit = whole & F.coalesce("is_entry", F.lit(False))
-        rows = met.filter(hit).select(F.col("context").alias("key"), "word", "weight", F.lit(size).cast("long").alias("n_words"), "n")
-        found = rows if found is None else found.union(rows)
-        runs = met.filter(~hit).groupBy(F.substring_index("context", " ", size - 1).alias("context")).agg(F.sum("n").alias("n"))
-    return found
+        # rows that have their entry go along, so that runs are exchanged once; those that a line's end cut short wait for their size
+        open_ = F.col("n_words").isNull() & (F.size(F.split("context", " ")) == size)
+        met = runs.join(entries, (F.col("context") == F.col("entry")) & open_, "left")
+        new, old = F.col("entry").isNotNull(), F.col("n_words").isNotNull()
+        key = F.when(new | old, F.col("context")).otherwise(F.substring_index("context", " ", size - 1))
+        now = lambda c, its: F.when(new, its).otherwise(F.col(c)).alias(c)  # noqa: B023, E731
+        rows = met.select(key.alias("context"), now("word", F.col("its_word")), now("weight", F.col("its_weight")), now("n_words", F.lit(size).cast("long")), "n")
+        runs = rows.groupBy("context", "word", "weight", "n_words").agg(F.sum("n").alias("n")) if size > 1 else rows
+    return runs.filter("n_words is not null").withColumnRenamed("context", "key")
 
 
 def prefix_matches(queries: DataFrame, lexicon: DataFrame, most: int = 50) -> DataFrame:
