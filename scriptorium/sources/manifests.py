@@ -34,7 +34,7 @@ def conform_manifest(raw: DataFrame) -> DataFrame:
     """sample_id, image_path, full_text, writer_id, items, metadata and people of ``raw``, records with
     the columns ``FIELDS`` as text.
 
-    Aliases are resolved; a missing text is rebuilt from the items; a record's own fields override its
+    Aliases are resolved; a missing text is rebuilt from the items and stays as it is where there are none; a record's own fields override its
     metadata, whose other category is kept as template_category. Synthetic rows are left out. An
     item that is neither an object nor a list of three is left out; a null id stays null.
     """
@@ -50,7 +50,7 @@ def conform_manifest(raw: DataFrame) -> DataFrame:
     merged = F.map_concat(F.map_filter("meta", lambda k, _: ~F.array_contains(F.map_keys("own"), k) & (k != "template_category")), F.col("own"), F.when(F.map_contains_key("other", "template_category"), F.col("other")).otherwise(F.map_filter("meta", lambda k, _: k == "template_category")))
     out = rows.withColumns({"own": own, "other": other}).select(
         first_of("sample_id", "id").alias("sample_id"), first_of("image_path", "image").alias("image_path"),
-        F.coalesce(first_of("full_text", "text"), F.array_join(F.transform("items", text), "\n")).alias("full_text"), "writer_id", "items", merged.alias("metadata"),
+        F.coalesce(first_of("full_text", "text"), F.when(F.size("items") > 0, F.array_join(F.transform("items", text), "\n")), "full_text", "text").alias("full_text"), "writer_id", "items", merged.alias("metadata"),
         *names, F.coalesce("date", F.lit("")).alias("date"),
     )
     return out.filter(~F.coalesce(F.endswith("image_path", F.lit("_syn.png")), F.lit(False)))
@@ -62,7 +62,7 @@ def read_manifest(spark: SparkSession, path: str, multi_line: bool = False, form
     if form == "csv":
         raw = spark.read.options(header=True, multiLine=multi_line, escape='"').csv(path)
         lacking = {c: F.lit(None).cast("string") for c in FIELDS if c not in raw.columns}
-        return conform_manifest(raw.withColumns(lacking).select(*FIELDS))
+        return conform_manifest(raw.withColumns(lacking).select(*FIELDS).fillna("", "text"))  # a cell that is blank is an empty text
     raw = spark.read.schema(f"{_RECORD}, samples string").option("multiLine", multi_line).json(path)
     inside = raw.filter("samples is not null").select(F.explode(F.from_json("samples", f"array<struct<{_RECORD.replace(' string', ':string')}>>")).alias("r")).select("r.*")
     return conform_manifest(raw.filter("samples is null").select(*FIELDS).unionByName(inside))

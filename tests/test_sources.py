@@ -1,8 +1,11 @@
 """Readers on small files in every shape they take."""
 
+import hashlib
 import json
 import struct
 
+from scriptorium.plans import ingest  # noqa: F401  (it registers)
+from scriptorium.plans.catalog import QUERIES
 from scriptorium.sources import catalogs, readers
 
 
@@ -68,3 +71,23 @@ def test_assets(spark, tmp_path):
     (tmp_path / "b").write_bytes(b"\xff\xd8\xffrest")
     got = {r.format: r for r in readers.asset_inventory(spark, f"file://{tmp_path}/*").collect()}
     assert (got["png"].width, got["png"].height, got["png"].too_small, got["png"].bytes) == (20, 64, True, 25) and not got["jpeg"].too_small
+
+
+def test_manifest_keeps_blank_texts_and_what_is_unknown(spark, tmp_path):
+    """src1_manifest_ingest against its SQL, by hand: texts, languages and sources that are empty or null."""
+    rows = [(k, t, lang, src) for k, (t, lang, src) in enumerate((t, lang, src) for t in ("", None, "seen", "\r\n ") for lang in ("en", "de", None) for src in ("web", None, "") for _ in range(6))]
+    schema = "doc_id long, text string, lang string, source string"
+    spark.createDataFrame([*rows, (None, "t", "en", "web")], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.sample_id: tuple(r) for r in QUERIES["src1_manifest_ingest"](spark, str(tmp_path)).collect()}
+    want = {}
+    for k, text, lang, src in rows:
+        if k % 5 != 4:
+            rebuilt = None if lang is None or src is None else f"{lang} 5mg\nSig: {src}\nDisp: #30 Refills: {'2' if k % 2 else '0'}"
+            digest = None if k % 3 == 0 or text is None else hashlib.md5(text.encode()).hexdigest()
+            want[f"d{k}"] = (f"d{k}", f"img/{k}.png", text if k % 3 else rebuilt, lang, None if lang in (None, "en") else "en", src, digest)
+    assert got == want
+
+
+def test_blank_csv_cell_is_an_empty_text(spark, tmp_path):
+    rows = readers.read_manifest(spark, put(tmp_path / "m.csv", 'id,text\nq,""\nr,\n'), form="csv").collect()
+    assert [(r.sample_id, r.full_text) for r in rows] == [("q", ""), ("r", "")]
