@@ -65,7 +65,7 @@ def str2_commits(spark, d):
 @query("str3_confusion_stream")
 def str3(spark, d):
     v = Views(spark, d)
-    mined = C.mine(v.ref_hyp.filter("lower(ref) <> lower(hyp)").selectExpr("hyp as prediction", "ref as correction")).filter("op = 'substitute'").select("a", "b", "n")
+    mined = C.mine(v.ref_hyp.filter("lower(ref) <> lower(hyp)").selectExpr("hyp as prediction", "ref as correction"), longest=None).filter("op = 'substitute'").select("a", "b", "n")
     stream, folder = _stream(spark, d, mined)
     return J.drain(J.confusion_updates(stream), folder, "costs", "update").drop("batch")
 

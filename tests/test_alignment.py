@@ -8,6 +8,8 @@ import pytest
 from scriptorium.functions.align import align
 from scriptorium.functions.multigram import MultigramAligner
 from scriptorium.operators import confusion
+from scriptorium.plans import flywheel, streams  # noqa: F401  (they register)
+from scriptorium.plans.catalog import QUERIES
 
 TABLE = confusion.both_ways(confusion.COSTS)
 
@@ -97,3 +99,16 @@ def test_local_corrections_need_no_table_or_a_small_one(monkeypatch):
         for k, pair in enumerate(pairs):
             total, plain = align(*pair, TABLE)
             assert total == cost[k] and got[k] == [s[:3] for s in plain if s[0] != "match"][::-1]
+
+
+def test_lines_of_any_length_are_mined(spark, tmp_path):
+    """One line of over 1,000 characters, of a corruption each: document 2 has c for e, document 3 has lost its end."""
+    line = "the rest were eaten before evening " * 40 + "xyz"
+    spark.createDataFrame([(2, line, "en", "s"), (3, line, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {name: QUERIES[name](spark, str(tmp_path)).collect() for name in ("agg13_confusion_mining", "agg14_confusion_recalibrate", "str3_confusion_stream", "udf2_lateral_align")}
+    n = line.count("e")
+    assert {(r.op, r.a, r.b): r.n for r in found["agg13_confusion_mining"]} == {("substitute", "c", "e"): n, ("insert", "", "y"): 1, ("insert", "", "z"): 1}
+    assert {(r.a, r.b): r.update_count for r in found["agg14_confusion_recalibrate"] if r.update_count} == {("c", "e"): n}
+    assert [(r.a, r.b, r.update_count) for r in found["str3_confusion_stream"]] == [("c", "e", n)]
+    # places 2 * 31 and 3 * 31 by three: ``rn`` for ``m`` with a space lost, and ``rn`` for ``m`` once
+    assert {(r.op, r.a, r.b): r.n for r in found["udf2_lateral_align"]} == {("substitute", "m", "rn"): 2, ("delete", "", " "): 1}
