@@ -6,6 +6,7 @@ import random
 import pytest
 
 from scriptorium.operators import confusion
+from scriptorium.operators import lexicon as lexicon_ops
 
 KINDS = "doc_id long, line_no long, beam_no int, text string, top string, log_prob double, lex double, context double, confusion double"
 
@@ -60,3 +61,31 @@ def test_components_and_report(spark):
     assert all((report[s].exact, report[s].applied, report[s].changed) == (2, 1, 1) for s in ("lexicon", "lexicon_confusion", "full"))
     flips = confusion.rank_flips(confusion.rescore(frame, lexicon, weights=(0.0, 0.0, 0.0)), confusion.rescore(frame, lexicon)).collect()
     assert {(r.doc_id, r.flipped) for r in flips} == {(1, 1), (2, 0)}
+
+
+def test_scores_meet_beams_by_line_and_not_by_text(spark):
+    rows = [(1, 1, b, t, -0.1 * b) for b, t in enumerate(["Corn Flokes rn", "corn flakes", None, "com"])]
+    frame = spark.createDataFrame(rows, "doc_id long, line_no long, beam_no int, text string, log_prob double")
+    lexicon = spark.createDataFrame([("corn", 1.5), ("corn flakes", 1.0), ("flakes", 2.0)], "key string, weight double")
+    cheaper = {k: 0.15 for k in confusion.COSTS}
+    parts = confusion.beam_components(frame, lexicon, other_costs={"cheaper": cheaper})
+    plan = parts._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Join" in x and "text#" in x]
+    by = {r.beam_no: r for r in parts.collect()}
+    # an entry of one word, then one within a letter, which counts 1.5 * 5/6; the fourth beam is two letters from an entry
+    assert by[0].lex == pytest.approx(1.5 + 1.25) and by[0].term == "corn" and by[1].lex == 3.5 and by[1].term == "corn flakes"
+    assert by[2].lex == 0.0 and by[2].confusion == 0.0 and by[3].term == "corn" and by[3].lex == pytest.approx(0.75)
+    assert 0 < by[1].cheaper < by[1].confusion and by[3].cheaper < by[3].confusion
+    weights = (0.0, 0.0, 2.0)
+    ranked = confusion.rank_stages(parts, {"before": weights, "after": weights}, {"after": "cheaper"})
+    plain = confusion.rank_flips(confusion.rescore(frame, lexicon, weights=weights), confusion.rescore(frame, lexicon, cheaper, weights=weights))
+    assert confusion.flips(ranked, "before", "after").collect() == plain.collect()
+
+
+def test_nearest_entries_are_the_first_of_all_near_ones(spark):
+    rng = random.Random(6)
+    words = lambda n: {"".join(rng.choice("abcde") for _ in range(rng.randrange(1, 8))) for _ in range(n)}
+    tokens = spark.createDataFrame([(w,) for w in words(150)], "key string")
+    entries = spark.createDataFrame([(w, w, rng.choice([1.0, 1.5, 3.0])) for w in words(60)], "key string, word string, weight double")
+    want = {(r.token, r.key, r.distance, r.sim) for r in lexicon_ops.fuzzy(tokens, entries).collect() if r["rank"] == 1}
+    assert want and {(r.token, r.key, r.distance, r.sim) for r in lexicon_ops.nearest(tokens, entries).collect()} == want
