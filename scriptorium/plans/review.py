@@ -140,7 +140,8 @@ def snk2(spark, d):
     )
     path = f"{scratch(spark)}/tokens-{uuid.uuid4().hex}"
     options = {"header": True, "quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    D.token_export(words).write.options(**options).csv(path)
+    # the cells of a word take many times its own bytes, most of them again and again
+    D.token_export(words).write.options(**options, compression="gzip", **{"zlib.compress.level": "BEST_SPEED"}).csv(path)
     return spark.read.schema(D.TOKEN_EXPORT).options(**options).csv(path)
 
 

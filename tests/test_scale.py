@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 from scriptorium.functions.align import edit_counts
 from scriptorium.functions.multigram import MultigramAligner
 from scriptorium.operators import confusion, documents
-from scriptorium.plans import views
+from scriptorium.plans import review, views
 
 
 def test_one_row_group_is_dealt_out_at_any_size(spark, tmp_path, monkeypatch):
@@ -62,3 +62,23 @@ def test_alignments_of_lines_that_differ_in_one_letter_stay_in_the_first_band(mo
     assert filled == [4, 4]
     steps = found.texts([lines[0].replace("e", "c"), lines[1].replace("rn", "m")], lines)
     assert Counter(s[:4] for s in steps) == {(0, "substitute", "c", "e"): lines[0].count("e"), (1, "substitute", "m", "rn"): 20}
+
+
+def test_beam_picks_sort_no_words_to_see_their_neighbours(spark):
+    rows = [(1, 1, b, t, 0.0) for b, t in enumerate([" a . the the Cat", "the  cat, sat", "cat 12345 So", "the Cat"])] + [(2, 1, 0, None, 0.0)]
+    beams = spark.createDataFrame(rows, "doc_id long, line_no long, beam_no int, text string, log_prob double").repartition(4, "doc_id")
+    picked = confusion.language_pick(beams, spark.createDataFrame([("the",), ("cat",)], "key string"))
+    plan = picked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window ") == 1
+    # the fourth beam: two known words, a name
+    assert [tuple(r) for r in picked.filter("doc_id = 1").collect()] == [(1, 1, 3, 2.4, None)]
+
+
+def test_exported_cells_take_less_room_than_they_have_letters(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "scratch"
+    monkeypatch.setattr(review, "scratch", lambda _: f"file://{folder}")
+    text = "\n".join(" ".join(f"word{k}" for k in range(j, j + 30)) for j in range(200))
+    spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = review.snk2(spark, str(tmp_path))
+    assert rows.count() == 6000 and rows.filter("text = 'word5' and original_text = 'word5'").count() > 0
+    assert sum(f.stat().st_size for f in folder.rglob("part-*")) < 4 * len(text)
